@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from httploom.functions import http
-from httploom.schema import conform
-from httploom.session import configure
+from httploom.schema import ITEMS, conform
+from httploom.session import configure, scratch
 
 TE_COLUMNS = {
     "idx": "event_id + 1",
@@ -98,10 +98,35 @@ def te(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(events, TE_COLUMNS)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Normalise once, keep the items as a table in the shared folder, let every analysis read that table."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        items = build(spark, sf_dir)
+        width = spark.sparkContext.defaultParallelism
+        if items.rdd.getNumPartitions() < width:  # one small input file would otherwise stay one task
+            items = items.repartition(width)
+        path = scratch(spark, name)
+        items.write.parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(ITEMS).parquet(_STORED[key])
+
+
+def te_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`te` rows with their raw request and response text."""
+    return te(spark, sf_dir).select("*", *[F.expr(text).alias(name) for name, text in TI_COLUMNS.items()])
+
+
+def build_te_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise(te_messages(spark, sf_dir).withColumnRenamed("idx", "index"))
+
+
 def te_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`te` as full items: raw messages, parsed headers, hash, slug and session tag."""
-    rows = te(spark, sf_dir).select("*", *[F.expr(text).alias(name) for name, text in TI_COLUMNS.items()])
-    return normalise(rows.withColumnRenamed("idx", "index"))
+    return stored(spark, sf_dir, "te_items", build_te_items)
 
 
 def normalise(rows: DataFrame) -> DataFrame:
@@ -127,15 +152,23 @@ def tp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(table(spark, sf_dir, "pages"), TP_COLUMNS)
 
 
-def tp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_tp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tp(spark, sf_dir).withColumnRenamed("idx", "index")
     return conform(rows.withColumn("slug", http.slug(F.col("index"), F.col("method"), F.col("path"))))
 
 
+def tp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "tp_items", build_tp_items)
+
+
 def td(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(table(spark, sf_dir, "documents"), TD_COLUMNS)
 
 
-def td_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_td_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = td(spark, sf_dir).withColumnRenamed("idx", "index")
     return conform(rows.withColumn("slug", http.slug(F.col("index"), F.col("method"), F.col("path"))))
+
+
+def td_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "td_items", build_td_items)
