@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import finding_queries, selection_queries  # noqa: F401
+from . import finding_queries, selection_queries, surface_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -89,6 +89,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on inputs with fewer splits than cores (a single small file); others are left alone."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def _view(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(text).alias(name) for name, text in columns.items()])
 
@@ -105,12 +111,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Normalise once, keep the items as a table in the shared folder, let every analysis read that table."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
-        items = build(spark, sf_dir)
-        width = spark.sparkContext.defaultParallelism
-        if items.rdd.getNumPartitions() < width:  # one small input file would otherwise stay one task
-            items = items.repartition(width)
         path = scratch(spark, name)
-        items.write.parquet(path)
+        build(spark, sf_dir).write.parquet(path)
         _STORED[key] = path
     return spark.read.schema(ITEMS).parquet(_STORED[key])
 
@@ -121,7 +123,7 @@ def te_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_te_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise(te_messages(spark, sf_dir).withColumnRenamed("idx", "index"))
+    return normalise(spread(te_messages(spark, sf_dir)).withColumnRenamed("idx", "index"))
 
 
 def te_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +155,7 @@ def tp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_tp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tp(spark, sf_dir).withColumnRenamed("idx", "index")
+    rows = spread(tp(spark, sf_dir)).withColumnRenamed("idx", "index")
     return conform(rows.withColumn("slug", http.slug(F.col("index"), F.col("method"), F.col("path"))))
 
 
@@ -166,7 +168,7 @@ def td(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_td_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = td(spark, sf_dir).withColumnRenamed("idx", "index")
+    rows = spread(td(spark, sf_dir)).withColumnRenamed("idx", "index")
     return conform(rows.withColumn("slug", http.slug(F.col("index"), F.col("method"), F.col("path"))))
 
 
