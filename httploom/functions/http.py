@@ -229,12 +229,16 @@ def slug(index: Column, method: Column, path: Column) -> Column:
 
 def portable_segment(value: Column) -> Column:
     """Reserved device names get a ``_`` prefix; names over 64 characters keep 48 plus a hash tail."""
-    stem = F.upper(tx.before(value, "."))
-    value = F.when(stem.isin(*names.RESERVED_STEMS), F.concat(F.lit("_"), value)).otherwise(value)
-    return F.when(
-        F.length(value) > 64,
-        F.concat(F.substring(value, 1, 48), F.lit("_"), F.substring(F.sha2(value.cast("binary"), 256), 1, 12)),
-    ).otherwise(value)
+
+    def shortened(v: Column) -> Column:
+        tail = F.substring(F.sha2(v.cast("binary"), 256), 1, 12)
+        return F.when(F.length(v) > 64, F.concat(F.substring(v, 1, 48), F.lit("_"), tail)).otherwise(v)
+
+    def renamed(v: Column) -> Column:
+        reserved = F.upper(tx.before(v, ".")).isin(*names.RESERVED_STEMS)
+        return tx.let(F.when(reserved, F.concat(F.lit("_"), v)).otherwise(v), shortened)
+
+    return tx.let(value, renamed)
 
 
 def _safe_name(value: Column, empty: str) -> Column:

@@ -21,7 +21,7 @@ def strip(text: Column) -> Column:
 
 def or_else(text: Column, fallback: str) -> Column:
     """The text, or ``fallback`` where it is empty or null."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(fallback)).otherwise(text)
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit(fallback))
 
 
 def before(text: Column, sep: str) -> Column:
@@ -31,8 +31,8 @@ def before(text: Column, sep: str) -> Column:
 
 def after(text: Column, sep: str) -> Column:
     """Everything after the first ``sep`` (empty where it does not occur)."""
-    at = F.locate(sep, text)
-    return F.when(at > 0, text.substr(at + F.lit(len(sep)), F.length(text))).otherwise(F.lit(""))
+    cut = F.length(F.substring_index(text, sep, 1)) + F.lit(len(sep) + 1)
+    return text.substr(cut, F.length(text))
 
 
 def bounded(text: Column, limit: int) -> Column:

@@ -267,7 +267,7 @@ def mount_prefixes(nodes: DataFrame, mounts: DataFrame, max_depth: int = 12) ->
     not resolvable, cycles are cut, an overriding mount replaces the child's own prefix.
     """
     spark = nodes.sparkSession
-    joined = "regexp_replace(concat('/', r.full_prefix, '/', m.prefix, '/', if(m.override, '', n.prefix)), '/{2,}', '/')"
+    joined = "regexp_replace(concat('/', r.full_prefix, '/', m.prefix, '/', if(m.override, '', n.prefix)), '//+', '/')"
     full = f"if(regexp_replace({joined}, '/$', '') = '', '/', regexp_replace({joined}, '/$', ''))"
     return spark.sql(
         f"""

@@ -49,5 +49,7 @@ def nearest(index: DataFrame, query_vector: Column, n_results: int = 5, metric:
     ``index``: id, embedding; ``query_vector``: a literal array or a scalar subquery. ``n_results`` is
     clamped to at least one and, by the limit itself, to the number of rows.
     """
-    scored = index.withColumn("distance", distance(F.col("embedding"), query_vector, metric))
-    return scored.orderBy("distance", "id").limit(max(1, int(n_results))).drop("embedding")
+    scored = index.withColumn("_query", query_vector).withColumn(
+        "distance", distance(F.col("embedding"), F.col("_query"), metric)
+    )
+    return scored.drop("embedding", "_query").orderBy("distance", "id").limit(max(1, int(n_results)))

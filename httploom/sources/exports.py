@@ -242,10 +242,10 @@ def from_item_json(rows: DataFrame) -> DataFrame:
     return gated.withColumn("reject_reason", reason).drop("_missing")
 
 
-def read_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings written as a JSON array or JSON lines."""
+def read_findings(spark: SparkSession, path: str, array_document: bool = False) -> DataFrame:
+    """Findings written as JSON lines, or as one JSON array per file."""
     schema = "category string, severity string, title string, detail string, host string, items array<string>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    return spark.read.schema(schema).option("multiLine", str(array_document).lower()).json(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
