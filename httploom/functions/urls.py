@@ -85,14 +85,14 @@ def encode_pairs(pairs: Column) -> Column:
     return F.array_join(F.transform(pairs, lambda p: F.concat(encode(p["name"]), F.lit("="), encode(p["value"]))), "&")
 
 
-def join(scheme_: Column, netloc_: Column, path_: Column, query_: Column) -> Column:
-    """Reassemble a URL without a fragment."""
-    return F.concat(
-        F.when(scheme_ == "", F.lit("")).otherwise(F.concat(scheme_, F.lit(":"))),
-        F.when(netloc_ == "", F.lit("")).otherwise(F.concat(F.lit("//"), netloc_)),
-        path_,
-        F.when(query_ == "", F.lit("")).otherwise(F.concat(F.lit("?"), query_)),
-    )
+def prefix(url: Column) -> Column:
+    """``scheme://authority`` as written."""
+    return F.regexp_extract(url, r"^((?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?)", 1)
+
+
+def question(query_: Column) -> Column:
+    """``?query``, or nothing for an empty query."""
+    return F.regexp_replace(query_, r"^(?=.)", "?")
 
 
 def fragment_suffix(url: Column) -> Column:

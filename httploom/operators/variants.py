@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import http, jsonx, names, urls
 from ..functions import text as tx
-from . import ordering
-
 MARKER = "review-marker"
 REVIEW_TARGET = "https://example.invalid/"
 DEFAULT_VALUES = {
@@ -21,6 +19,9 @@ DEFAULT_VALUES = {
     "Open Redirect": [("external", REVIEW_TARGET)],
 }
 POINT = "struct<type:string,param_name:string,original_value:string,position:int>"
+POINT_COLUMNS = {
+    "type": "injection_type", "param_name": "injection_point", "original_value": "original_value", "position": "position",
+}
 
 
 # -- finding -> item ---------------------------------------------------------
@@ -72,23 +73,22 @@ def first_get_item(findings: DataFrame, items: DataFrame) -> DataFrame:
     return findings.select("finding_id", "host").join(firsts, "host").select("finding_id", "index")
 
 
-def _attach_by_index(findings: DataFrame, chosen: DataFrame, items: DataFrame) -> DataFrame:
-    wide = items.select("index", _item_struct().alias("item"))
-    return findings.drop("item").join(chosen.join(wide, "index").select("finding_id", "item"), "finding_id", "left")
-
-
 def with_source_items(findings: DataFrame, items: DataFrame, fallback: str = "title") -> DataFrame:
-    """Findings with their item: by slug, else by the endpoint in the title (or the host's first GET item)."""
-    by_slug = items_by_slug(findings, items)
-    missing = by_slug.where(F.col("item").isNull())
+    """Findings with their item: by slug, else by the endpoint in the title (or the host's first GET item).
+
+    Which findings need the fallback is settled on slugs alone; wide items are joined once.
+    """
+    named = findings.withColumn("source_slug", F.get("items", F.lit(0)))
     if fallback == "get":  # only findings that name no item at all
-        missing = missing.where(F.col("source_slug").isNull())
+        missing = named.where(F.col("source_slug").isNull())
         chosen = first_get_item(missing, items)
     else:
+        missing = named.join(items.select(F.col("slug").alias("source_slug")), "source_slug", "left_anti")
         chosen = first_endpoint_in_title(missing, items)
-    return by_slug.where(F.col("item").isNotNull()).unionByName(_attach_by_index(missing, chosen, items)).where(
-        F.col("item").isNotNull()
-    )
+    resolved = items_by_slug(findings, items).where(F.col("item").isNotNull())
+    wide = items.select("index", _item_struct().alias("item"))
+    found = chosen.join(wide, "index").select("finding_id", "item")
+    return resolved.unionByName(missing.join(found, "finding_id"))
 
 
 # -- points of variation -----------------------------------------------------
@@ -139,8 +139,10 @@ def with_points(sourced: DataFrame) -> DataFrame:
         F.transform("_points", lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
         lambda x: x["i"] == F.array_position(F.transform("_points", lambda q: q["param_name"]), x["p"]["param_name"]) - 1,
     )
-    return found.withColumn("_first", first_only).select("*", F.explode("_first").alias("_x")).select(
-        *[c for c in sourced.columns], F.col("_x.p").alias("point"), F.col("_x.i").alias("point_order")
+    return found.withColumn("_first", first_only).select(*sourced.columns, F.explode("_first").alias("_x")).select(
+        *sourced.columns,
+        *[F.col(f"_x.p.{old}").alias(new) for old, new in POINT_COLUMNS.items()],
+        F.col("_x.i").alias("point_order"),
     )
 
 
@@ -149,20 +151,26 @@ def substituted_url(url: Column, point: Column, value: Column) -> Column:
     """URL with the value put at a path or query point; other points leave it unchanged."""
     parts = F.split(urls.path(url), "/")
     new_path = F.array_join(F.transform(parts, lambda s, i: F.when(i == point["position"], value).otherwise(s)), "/")
-    pairs = urls.query_pairs(urls.query(url), keep_blank=True)
-    names_of = F.transform(pairs, lambda p: p["name"])
-    at = F.array_position(names_of, point["param_name"])
-    replaced = F.transform(
-        pairs, lambda p, i: F.struct(p["name"].alias("name"), F.when(i == at - 1, value).otherwise(p["value"]).alias("value"))
-    )
-    appended = F.concat(replaced, F.array(F.struct(point["param_name"].alias("name"), value.alias("value"))))
-    new_query = urls.encode_pairs(F.when(at > 0, replaced).otherwise(appended))
-    rebuilt = lambda path, query: F.concat(
-        urls.join(urls.scheme(url), urls.netloc(url), path, query), urls.fragment_suffix(url)
-    )
+
+    def placed(pairs: Column) -> Column:
+        def at_position(at: Column) -> Column:
+            kept = F.transform(
+                pairs,
+                lambda p, i: F.struct(p["name"].alias("name"), F.when(i == at - 1, value).otherwise(p["value"]).alias("value")),
+            )
+            appended = F.array(F.struct(point["param_name"].alias("name"), value.alias("value")))
+            return F.when(at > 0, kept).otherwise(F.concat(kept, appended))
+
+        return tx.let(F.array_position(F.transform(pairs, lambda p: p["name"]), point["param_name"]), at_position)
+
+    new_query = urls.encode_pairs(tx.let(urls.query_pairs(urls.query(url), keep_blank=True), placed))
+    own_query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
     return (
-        F.when(point["type"] == "path_segment", rebuilt(new_path, urls.query(url)))
-        .when(point["type"] == "query_param", rebuilt(urls.path(url), new_query))
+        F.when(point["type"] == "path_segment", F.concat(urls.prefix(url), new_path, own_query, urls.fragment_suffix(url)))
+        .when(
+            point["type"] == "query_param",
+            F.concat(urls.prefix(url), urls.path(url), urls.question(new_query), urls.fragment_suffix(url)),
+        )
         .otherwise(url)
     )
 
@@ -173,15 +181,16 @@ def sendable_headers(headers: Column) -> Column:
 
 def substituted_request(rows: DataFrame, value: str = "value") -> DataFrame:
     """Add ``request`` (method, url, headers, body) with the value put at the row's point."""
-    is_json = F.col("point.type") == "json_body"
+    is_json = F.col("injection_type") == "json_body"
+    point = F.struct(*[F.col(new).alias(old) for old, new in POINT_COLUMNS.items()])
     new_body = F.when(
-        is_json, jsonx.substitute(F.col("item.request_body"), F.col("point.param_name"), F.col(value), is_json)
+        is_json, jsonx.substitute(F.col("item.request_body"), F.col("injection_point"), F.col(value), is_json)
     ).otherwise(F.col("item.request_body"))
     return rows.withColumn(
         "request",
         F.struct(
             tx.or_else(F.col("item.method"), "GET").alias("method"),
-            substituted_url(F.col("item.url"), F.col("point"), F.col(value)).alias("url"),
+            tx.let(point, lambda p: substituted_url(F.col("item.url"), p, F.col(value))).alias("url"),
             sendable_headers(F.col("item.request_headers")).alias("headers"),
             new_body.alias("body"),
         ),
@@ -189,45 +198,42 @@ def substituted_request(rows: DataFrame, value: str = "value") -> DataFrame:
 
 
 # -- manifest ----------------------------------------------------------------
+NEIGHBOURS = ["prev_id", "next_id"]
+
+
 def value_table(spark, values: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """Category / label / value rows in order, from a user mapping or the benign default."""
     chosen = DEFAULT_VALUES if values is None else values
     rows = [(category, n, label, value) for category, pairs in chosen.items() for n, (label, value) in enumerate(pairs)]
+    labels = [(category, label) for category, _, label, _ in rows]
+    if len(set(labels)) < len(labels) or any(label in NEIGHBOURS for _, label in labels):
+        raise ValueError(f"Labels must be unique per category and differ from {NEIGHBOURS}")
     return spark.createDataFrame(rows, "category string, value_order int, label string, value string")
 
 
 def manifest(findings: DataFrame, items: DataFrame, values: DataFrame) -> DataFrame:
     """One row per finding, point and value; numeric ids also get their neighbours. Case ids are unique.
 
-    ``findings`` need a unique ``finding_id``; ``values``: category, value_order, label, value.
+    ``findings`` need a unique ``finding_id``; ``values`` (see ``value_table``) count from 0 per category.
+    Neighbours come with the first value of the category, so everything is one pass over the points.
     """
     wanted = findings.join(values.select("category").distinct(), "category", "left_semi")
-    pointed = with_points(with_source_items(wanted, items))
-    original = F.col("point.original_value")
-    given = pointed.join(values, "category")
-    number = F.when(original.rlike(r"^\d{1,38}$"), original).cast("decimal(38,0)")
-    neighbours = (
-        pointed.where((F.col("category") == "IDOR") & original.rlike(r"^\d{1,37}$"))
-        .withColumn(
-            "_n",
-            F.explode(
-                F.array(
-                    F.struct(F.lit("prev_id").alias("label"), (number - 1).cast("string").alias("value")),
-                    F.struct(F.lit("next_id").alias("label"), (number + 1).cast("string").alias("value")),
-                )
-            ),
-        )
-        .select(*pointed.columns, F.lit(1 << 20).alias("value_order"), F.col("_n.label").alias("label"), F.col("_n.value").alias("value"))
-    )
-    cases = given.select(*neighbours.columns).unionByName(neighbours)
-    case_id = F.concat(F.lit("case_"), F.col("finding_id").cast("string"), F.lit("_"), F.col("point.param_name"), F.lit("_"), F.col("label"))
-    # A label listed twice for one category keeps its first value; groups are one finding wide.
-    unique = ordering.smallest_per_group(
-        cases.withColumn("case_id", case_id), ["finding_id", "case_id"], [F.col("point_order"), F.col("value_order")], 1, "_rank"
-    ).drop("_rank")
-    return substituted_request(unique).select(
-        "case_id", "finding_id", "title", "category", "severity", F.col("point.param_name").alias("injection_point"),
-        F.col("point.type").alias("injection_type"), F.col("point.original_value").alias("original_value"), "label", "value", "request",
+    pointed = with_points(with_source_items(wanted, items)).join(values, "category")
+    original = F.col("original_value")
+    numeric = (F.col("category") == "IDOR") & original.rlike(r"^\d{1,37}$")
+    number = F.when(numeric, original).cast("decimal(38,0)")
+    given = F.struct("label", "value")
+    beside = [
+        F.struct(F.lit(label).alias("label"), changed.cast("string").alias("value"))
+        for label, changed in zip(NEIGHBOURS, (number - 1, number + 1))
+    ]
+    chosen = F.when(numeric & (F.col("value_order") == 0), F.array(given, *beside)).otherwise(F.array(given))
+    kept = [c for c in pointed.columns if c not in ("label", "value")]
+    cases = pointed.select(*kept, F.explode(chosen).alias("_case")).select(*kept, "_case.label", "_case.value")
+    case_id = F.concat_ws("_", F.lit("case"), F.col("finding_id").cast("string"), "injection_point", "label")
+    return substituted_request(cases).select(
+        case_id.alias("case_id"), "finding_id", "title", "category", "severity", "injection_point", "injection_type",
+        "original_value", "label", "value", "request",
     )
 
 
@@ -284,8 +290,7 @@ def review_templates(findings: DataFrame, items: DataFrame) -> DataFrame:
     value = F.when(category == "IDOR", following).when(category == "Open Redirect", F.lit(REVIEW_TARGET)).otherwise(F.lit(MARKER))
 
     def target(url: Column) -> Column:
-        query = urls.query(url)
-        return F.concat(tx.or_else(urls.path(url), "/"), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+        return F.concat(tx.or_else(urls.path(url), "/"), urls.question(urls.query(url)))
 
     changed = target(substituted_url(F.col("item.url"), F.col("point"), value))
     own = target(F.col("item.url"))

@@ -151,10 +151,7 @@ _POINTS = f"""{_IDF}, pts as (
 def points(spark, sf):
     sourced = variants.with_source_items(id_findings(spark, sf), fx.te_items(spark, sf))
     pointed = variants.with_points(sourced)
-    return pointed.select(
-        "finding_id", F.col("point.type").alias("injection_type"), F.col("point.param_name").alias("injection_point"),
-        F.col("point.original_value").alias("original_value"),
-    )
+    return pointed.select("finding_id", "injection_type", "injection_point", "original_value")
 
 
 _CASES = f"""{_POINTS}, vals(label, value) as (values ('zero', '0'), ('one', '1'), ('negative', '-1')),
