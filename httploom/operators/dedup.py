@@ -130,7 +130,7 @@ def parameter_changes(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
         .where(F.col("before") != F.col("after"))
     )
     common = _by_endpoint(observed).where(F.col("in_baseline") & F.col("in_comparison")).select("endpoint")
-    return changed.join(common, "endpoint", "left_semi").select(
+    return ordering.lookup_join(changed, common, ["endpoint"], ["parameter"], "left_semi").select(
         "endpoint", "parameter", F.when(F.col("after"), F.lit("new")).otherwise(F.lit("removed")).alias("change")
     )
 

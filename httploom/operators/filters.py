@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, jsonx, names, urls
 from ..functions import text as tx
+from . import ordering
 
 
 def by_tools(items: DataFrame, tools: str = "") -> DataFrame:
@@ -115,6 +116,11 @@ def by_regex(items: DataFrame, pattern: str = "", target: str = "both") -> DataF
     return items.where(http.any_of(*sides))
 
 
+def first_items(items: DataFrame, max_items: int | None = None) -> DataFrame:
+    """The first ``max_items`` by index; no limit unless asked for."""
+    return items if max_items is None else items.orderBy("index").limit(max_items)
+
+
 def check_pattern(items: DataFrame, pattern: str) -> None:
     """Reject a bad pattern before any data is read."""
     try:
@@ -128,8 +134,8 @@ def in_scope(items: DataFrame, scope: DataFrame) -> DataFrame:
 
     ``scope``: protocol, host, prefix. No matching row means out of scope.
     """
-    rules = scope.select(
-        F.lower("protocol").alias("_protocol"), F.lower("host").alias("_host"), F.col("prefix").alias("_prefix")
+    rules = ordering.broadcast_if_small(
+        scope.select(F.lower("protocol").alias("_protocol"), F.lower("host").alias("_host"), F.col("prefix").alias("_prefix"))
     )
     matches = (
         (F.lower("protocol") == F.col("_protocol"))

@@ -46,7 +46,7 @@ def samples(items: DataFrame, limit: int = 3) -> DataFrame:
     """First item of each (status, session) variant, at most ``limit`` variants per endpoint."""
     variants = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session_tag").agg(F.min("index").alias("index"))
     chosen = ordering.smallest_per_group(variants, ENDPOINT_KEYS, [F.col("index")], limit)
-    named = chosen.join(session_groups(items), "session_tag", "left")
+    named = ordering.lookup_join(chosen, session_groups(items), ["session_tag"], ["index"], "left")
     return named.select(
         *ENDPOINT_KEYS, F.col("rank").cast("long").alias("rank"), "status",
         F.coalesce("session_group", F.lit("unknown")).alias("session_group"), "index",
@@ -187,7 +187,8 @@ def match_routes(endpoint_rows: DataFrame, routes: DataFrame) -> DataFrame:
     """Endpoint/route pairs that match. ``routes``: route_id, ord, method, path, framework, file, line.
 
     Both joins are equi-joins: endpoints meet the distinct shapes of their length, are reduced to
-    that shape's key, and then meet only the routes with the same key.
+    that shape's key, and then meet only the routes with the same key. Route tables of the usual size
+    are broadcast after a count; larger ones are shuffled on the same keys.
     """
     shaped = route_methods(route_shapes(routes))
     shapes = shaped.select("open", "length", "mask").distinct()
@@ -202,7 +203,7 @@ def match_routes(endpoint_rows: DataFrame, routes: DataFrame) -> DataFrame:
     reach = endpoint_rows.select("endpoint_id", "method", observed.alias("observed"), F.explode(lengths).alias("l")).select(
         "endpoint_id", F.col("method").alias("match_method"), "observed", F.col("l.open").alias("open"), F.col("l.length").alias("length")
     )
-    keyed = reach.join(shapes, ["open", "length"]).withColumn(
+    keyed = reach.join(ordering.broadcast_if_small(shapes), ["open", "length"]).withColumn(
         "match_key",
         F.array_join(
             F.transform(
@@ -217,7 +218,7 @@ def match_routes(endpoint_rows: DataFrame, routes: DataFrame) -> DataFrame:
         F.col("method").alias("route_method"), F.col("path").alias("route_path"), "framework", "file", "line",
         "literal_count", "parameters", "uncertain",
     )
-    pairs = keyed.join(route_side, ["match_method", "open", "length", "mask", "match_key"])
+    pairs = keyed.join(ordering.broadcast_if_small(route_side), ["match_method", "open", "length", "mask", "match_key"])
     typed = F.exists(F.zip_with("compared", F.slice("observed", F.lit(1), F.col("length")), _violates_type), lambda bad: bad)
     return pairs.where(~typed).select(
         "endpoint_id", "route_id", "ord", "route_method", "route_path", "framework", "file", "line",
@@ -288,4 +289,5 @@ def mount_prefixes(nodes: DataFrame, mounts: DataFrame, max_depth: int = 12) ->
 
 def compose_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Routes declared on routers, with every resolved prefix applied; unresolved routers give no row."""
-    return routes.join(prefixes, "node_id").withColumn("path", join_route(F.col("full_prefix"), F.col("path")))
+    resolved = ordering.lookup_join(routes, prefixes, ["node_id"], ["path"])
+    return resolved.withColumn("path", join_route(F.col("full_prefix"), F.col("path")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 PIECE_BITS = 20
 HOT_ROWS = 1 << 22
 SPREAD = 64
+SMALL_ROWS = 50_000
 
 
 def _piece(order_col: str, bits: int) -> Column:
@@ -87,6 +88,11 @@ def smallest_per_group(df: DataFrame, keys: list[str], order: list[Column], limi
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= limit)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Mark a user-sized table for broadcast after counting that it is small; larger ones join by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -96,7 +102,7 @@ def lookup_join(
     hot_rows: int = HOT_ROWS,
     spread: int = SPREAD,
 ) -> DataFrame:
-    """Join many facts to at most one ``lookup`` row per key, salting only the hot keys.
+    """Join many facts to a ``lookup`` with one row (or a fixed few) per key, salting only the hot keys.
 
     Keys with ``hot_rows`` facts or more are split over ``spread`` tasks and their single lookup
     row is repeated. At most rows / hot_rows keys can be hot, which bounds the broadcast.

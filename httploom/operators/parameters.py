@@ -55,9 +55,13 @@ def _arrival() -> Column:
 
 def index(parameter_rows: DataFrame) -> DataFrame:
     """One row per (source, lower name): first spelling, occurrences, endpoint and host counts, sensitivity."""
-    totals = parameter_rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        F.min_by("name", _arrival()).alias("name"),
+    # One row per (parameter, endpoint, host) first: the distinct counts then expand those rows only.
+    places = parameter_rows.groupBy(*KEYS, "endpoint", "host").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("index", "pos", "name")).alias("first")
+    )
+    totals = places.groupBy(*KEYS).agg(
+        F.sum("n").alias("occurrences"),
+        F.min("first")["name"].alias("name"),
         F.count_distinct("endpoint").alias("endpoint_count"),
         F.count_distinct("host").alias("host_count"),
     )

@@ -53,7 +53,7 @@ def citation_check(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     cited = findings.select("finding_id", F.explode_outer("evidence_ids").alias("evidence_id"))
     known = evidence.select("evidence_id", "kind")
     return (
-        cited.join(known, "evidence_id", "left")
+        ordering.lookup_join(cited, known, ["evidence_id"], ["finding_id"], "left")
         .groupBy("finding_id")
         .agg(
             F.bool_and(F.col("kind").isNotNull()).alias("all_known"),
@@ -134,9 +134,15 @@ def called_names(evidence: DataFrame) -> DataFrame:
 
 
 def related_declarations(evidence: DataFrame, files: DataFrame, limit: int = 8) -> DataFrame:
-    """Same-name declarations for calls in the evidence: the first ``limit`` per endpoint by file and line."""
-    joined = called_names(evidence).join(declarations(files), "name")
-    return ordering.smallest_per_group(joined, ["endpoint_id"], [F.col("file"), F.col("line")], limit)
+    """Same-name declarations for calls in the evidence: the first ``limit`` per endpoint by file and line.
+
+    A declaration beyond the first ``limit`` of its own name cannot be among an endpoint's first ``limit``,
+    so common names are cut to that before the join and cannot multiply it.
+    """
+    order = [F.col("file"), F.col("line")]
+    first = ordering.smallest_per_group(declarations(files), ["name"], order, limit).drop("rank")
+    joined = ordering.lookup_join(called_names(evidence), first, ["name"], ["endpoint_id"])
+    return ordering.smallest_per_group(joined, ["endpoint_id"], order, limit)
 
 
 # -- imports -----------------------------------------------------------------
@@ -179,7 +185,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         .select("file", "spec", "c.priority", "c.target")
     )
     existing = files.select(F.col("file").alias("target"))
-    return exploded.join(existing, "target").groupBy("file", "spec").agg(F.min_by("target", "priority").alias("target"))
+    found = ordering.lookup_join(exploded, existing, ["target"], ["file", "spec"])
+    return found.groupBy("file", "spec").agg(F.min_by("target", "priority").alias("target"))
 
 
 # -- evidence budgets --------------------------------------------------------

@@ -1,7 +1,7 @@
 """Offline request-variant tables for manual review: nothing here sends a request.
 
-Points of variation are arrays computed per finding; the value table is the user's. The shipped
-default holds boundary numbers and a marker word only.
+Points of variation are arrays computed per finding; the values are the user's. The shipped default
+holds boundary numbers and a marker word only.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, jsonx, names, urls
 from ..functions import text as tx
+from . import ordering
 MARKER = "review-marker"
 REVIEW_TARGET = "https://example.invalid/"
 DEFAULT_VALUES = {
@@ -64,13 +65,15 @@ def first_endpoint_in_title(findings: DataFrame, items: DataFrame) -> DataFrame:
     candidates = findings.select(
         "finding_id", "host", F.explode(F.array_distinct(F.flatten(F.transform(blanks, around)))).alias("endpoint")
     )
-    return candidates.join(known, ["host", "endpoint"]).groupBy("finding_id").agg(F.min("index").alias("index"))
+    found = ordering.lookup_join(candidates, known, ["host", "endpoint"], ["finding_id"])
+    return found.groupBy("finding_id").agg(F.min("index").alias("index"))
 
 
 def first_get_item(findings: DataFrame, items: DataFrame) -> DataFrame:
     """For each finding: index of the first GET item of its host."""
     firsts = items.where(F.col("method") == "GET").groupBy("host").agg(F.min("index").alias("index"))
-    return findings.select("finding_id", "host").join(firsts, "host").select("finding_id", "index")
+    found = ordering.lookup_join(findings.select("finding_id", "host"), firsts, ["host"], ["finding_id"])
+    return found.select("finding_id", "index")
 
 
 def with_source_items(findings: DataFrame, items: DataFrame, fallback: str = "title") -> DataFrame:
@@ -201,35 +204,48 @@ def substituted_request(rows: DataFrame, value: str = "value") -> DataFrame:
 NEIGHBOURS = ["prev_id", "next_id"]
 
 
-def value_table(spark, values: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
-    """Category / label / value rows in order, from a user mapping or the benign default."""
+def checked_values(values: dict[str, list[tuple[str, str]]] | None = None) -> dict[str, list[tuple[str, str]]]:
+    """The user's category -> (label, value) mapping, or the benign default; labels must be unique."""
     chosen = DEFAULT_VALUES if values is None else values
-    rows = [(category, n, label, value) for category, pairs in chosen.items() for n, (label, value) in enumerate(pairs)]
-    labels = [(category, label) for category, _, label, _ in rows]
-    if len(set(labels)) < len(labels) or any(label in NEIGHBOURS for _, label in labels):
-        raise ValueError(f"Labels must be unique per category and differ from {NEIGHBOURS}")
-    return spark.createDataFrame(rows, "category string, value_order int, label string, value string")
+    for pairs in chosen.values():
+        labels = [label for label, _ in pairs]
+        if len(set(labels)) < len(labels) or set(labels) & set(NEIGHBOURS):
+            raise ValueError(f"Labels must be unique per category and differ from {NEIGHBOURS}")
+    return chosen
 
 
-def manifest(findings: DataFrame, items: DataFrame, values: DataFrame) -> DataFrame:
+def values_of(category: Column, values: dict[str, list[tuple[str, str]]] | None = None) -> Column:
+    """Label/value structs of a category, empty for a category without values.
+
+    The mapping is a short literal, so findings meet their values without a join: one category may
+    hold most findings.
+    """
+    out = F.lit(None)
+    for name, pairs in checked_values(values).items():
+        rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(value).alias("value")) for label, value in pairs])
+        out = F.when(category == name, rows).otherwise(out)
+    return F.coalesce(out.cast("array<struct<label:string,value:string>>"), F.array().cast("array<struct<label:string,value:string>>"))
+
+
+def manifest(findings: DataFrame, items: DataFrame, values: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """One row per finding, point and value; numeric ids also get their neighbours. Case ids are unique.
 
-    ``findings`` need a unique ``finding_id``; ``values`` (see ``value_table``) count from 0 per category.
-    Neighbours come with the first value of the category, so everything is one pass over the points.
+    ``findings`` need a unique ``finding_id``. After the item lookup every step is row-local.
     """
-    wanted = findings.join(values.select("category").distinct(), "category", "left_semi")
-    pointed = with_points(with_source_items(wanted, items)).join(values, "category")
+    wanted = findings.where(F.col("category").isin(*checked_values(values)))
+    pointed = with_points(with_source_items(wanted, items))
     original = F.col("original_value")
     numeric = (F.col("category") == "IDOR") & original.rlike(r"^\d{1,37}$")
     number = F.when(numeric, original).cast("decimal(38,0)")
-    given = F.struct("label", "value")
-    beside = [
-        F.struct(F.lit(label).alias("label"), changed.cast("string").alias("value"))
-        for label, changed in zip(NEIGHBOURS, (number - 1, number + 1))
-    ]
-    chosen = F.when(numeric & (F.col("value_order") == 0), F.array(given, *beside)).otherwise(F.array(given))
-    kept = [c for c in pointed.columns if c not in ("label", "value")]
-    cases = pointed.select(*kept, F.explode(chosen).alias("_case")).select(*kept, "_case.label", "_case.value")
+    beside = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), changed.cast("string").alias("value"))
+            for label, changed in zip(NEIGHBOURS, (number - 1, number + 1))
+        ]
+    )
+    given = values_of(F.col("category"), values)
+    chosen = F.when(numeric, F.concat(given, beside)).otherwise(given)
+    cases = pointed.select(*pointed.columns, F.explode(chosen).alias("_case")).select(*pointed.columns, "_case.label", "_case.value")
     case_id = F.concat_ws("_", F.lit("case"), F.col("finding_id").cast("string"), "injection_point", "label")
     return substituted_request(cases).select(
         case_id.alias("case_id"), "finding_id", "title", "category", "severity", "injection_point", "injection_type",

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import http, urls
 from ..functions import text as tx
-from ..operators import filters
+from ..operators import filters, ordering
 from ..schema import conform
 
 _TEXT = T.StringType()
@@ -265,9 +263,8 @@ def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def attribute_checks(checks: DataFrame, sources: DataFrame) -> DataFrame:
     """Checks with their sources; ``known`` is false where the catalog lacks the cited source."""
     cited = checks.select("check_id", F.explode("source_ids").alias("source_id"))
-    return cited.join(sources.withColumn("known", F.lit(True)), "source_id", "left").withColumn(
-        "known", F.coalesce("known", F.lit(False))
-    )
+    joined = ordering.lookup_join(cited, sources.withColumn("known", F.lit(True)), ["source_id"], ["check_id"], "left")
+    return joined.withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def attributed_checks(checks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -275,6 +272,3 @@ def attributed_checks(checks: DataFrame, sources: DataFrame) -> DataFrame:
     error = F.raise_error(F.concat(F.lit("Unknown catalog source: "), "source_id")).cast("boolean")
     return attribute_checks(checks, sources).withColumn("known", F.when(F.col("known"), F.lit(True)).otherwise(error))
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)

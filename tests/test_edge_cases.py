@@ -487,7 +487,7 @@ def with_id(found):
 def test_json_substitution_keeps_numbers(spark):
     rows = items(spark, {"method": "POST", "path": "/x", "request_body": '{"id": 5, "n": "a"}', "request_headers": {"Content-Length": "9", "A": "b"}})
     found = with_id(findings.row_findings(rows, findings.id_rule()))
-    cases = {r["label"]: r for r in variants.manifest(found, rows, variants.value_table(spark)).collect()}
+    cases = {r["label"]: r for r in variants.manifest(found, rows).collect()}
     assert set(cases) == {"zero", "one", "negative", "prev_id", "next_id"}
     assert json.loads(cases["negative"]["request"]["body"]) == {"id": -1, "n": "a"}
     assert cases["next_id"]["value"] == "6" and [h["name"] for h in cases["one"]["request"]["headers"]] == ["A"]
@@ -496,7 +496,7 @@ def test_json_substitution_keeps_numbers(spark):
 def test_query_substitution(spark):
     rows = items(spark, {"path": "/r", "url": "https://a.test/r?next=https%3A%2F%2Fx.test&next=2&z=#f"})
     found = with_id(findings.row_findings(rows, findings.redirect_rule()))
-    case = variants.manifest(found, rows, variants.value_table(spark)).first()
+    case = variants.manifest(found, rows).first()
     assert case["request"]["url"] == "https://a.test/r?next=https%3A%2F%2Fexample.invalid%2F&next=2&z=#f"
 
 
@@ -512,10 +512,10 @@ def test_finding_without_slug_uses_its_title(spark):
     assert [(r["finding_id"], r["item"]["path"]) for r in by_get] == [(2, "/a")]
 
 
-def test_labels_must_be_unique(spark):
+def test_labels_must_be_unique():
     for bad in ({"IDOR": [("a", "1"), ("a", "2")]}, {"IDOR": [("next_id", "1")]}):
         with pytest.raises(ValueError):
-            variants.value_table(spark, bad)
+            variants.checked_values(bad)
 
 
 def test_header_templates(spark):

@@ -137,7 +137,8 @@ def first_get(spark, sf):
   select category, label, count(*) as findings from f join v using (category) group by all""".replace("with v", f"with {fq.ALL}, v").replace("from f join", "from findings join"))
 def values(spark, sf):
     found = findings.all_findings(fx.te_items(spark, sf))
-    return found.join(variants.value_table(spark), "category").groupBy("category", "label").agg(F.count(F.lit(1)).alias("findings"))
+    cases = found.select("category", F.explode(variants.values_of(F.col("category"))).alias("v")).select("category", "v.label")
+    return cases.groupBy("category", "label").agg(F.count(F.lit(1)).alias("findings"))
 
 
 # -- variants ----------------------------------------------------------------
@@ -165,21 +166,21 @@ _CASES = f"""{_POINTS}, vals(label, value) as (values ('zero', '0'), ('one', '1'
 
 @query("v02_requests", f"with {fx.TI}, {_CASES} select finding_id, injection_type, label, method, new_url as url, new_body as body from built")
 def requests(spark, sf):
-    cases = variants.manifest(id_findings(spark, sf), fx.te_items(spark, sf), variants.value_table(spark))
+    cases = variants.manifest(id_findings(spark, sf), fx.te_items(spark, sf))
     return cases.select("finding_id", "injection_type", "label", "request.method", "request.url", "request.body")
 
 
 @query("v03_manifest", f"""with {fx.TI}, {_CASES} select 'case_' || finding_id || '_' || injection_point || '_' || label as case_id, 'IDOR' as category, 'High' as severity,
   injection_point, injection_type, original_value, label, value from cs""")
 def manifest(spark, sf):
-    cases = variants.manifest(id_findings(spark, sf), fx.te_items(spark, sf), variants.value_table(spark))
+    cases = variants.manifest(id_findings(spark, sf), fx.te_items(spark, sf))
     return cases.select("case_id", "category", "severity", "injection_point", "injection_type", "original_value", "label", "value")
 
 
 @query("a17_manifest_summary", f"with {fx.TI}, {_CASES} select count(*) as cases, 'IDOR' as categories, (select count(*) from idf) as findings from cs")
 def manifest_summary(spark, sf):
     found = id_findings(spark, sf)
-    return variants.manifest_summary(found, variants.manifest(found, fx.te_items(spark, sf), variants.value_table(spark)))
+    return variants.manifest_summary(found, variants.manifest(found, fx.te_items(spark, sf)))
 
 
 @query("v04_templates", f"""with {fx.TI}, t as (

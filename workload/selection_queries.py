@@ -94,6 +94,12 @@ def tool_and_host(spark, sf):
     return _idx(filters.items_by_host(filters.items_by_tool(fx.te_items(spark, sf), "repeater"), "h2.example.test"))
 
 
+@query("w16_first_items", f"with {fx.TE} select idx from te order by idx limit 5000")
+def first_items(spark, sf):
+    """The optional item limit (off by default) at the size one process can hold."""
+    return _idx(filters.first_items(fx.te_items(spark, sf), 5000))
+
+
 # -- composite and presets ---------------------------------------------------
 _COMPOSITE = f"""with {fx.TI}, kept as (select * from ti where tool in ('proxy', 'intruder') and (status like '2%' or status = '500')),
   first as (select url, request_raw, response_raw, min(idx) as idx from kept group by all),
