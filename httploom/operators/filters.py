@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,12 @@ from . import ordering
 
 
 def by_tools(items: DataFrame, tools: str = "") -> DataFrame:
-    """Tool in a comma-separated list, case-insensitive; an empty list keeps everything."""
+    """Tool in a comma-separated list, case-insensitive; an empty list keeps everything.
+
+    Items hold lower-case tools, so this is a plain comparison the scan (or partition pruning) can use.
+    """
     wanted = tx.csv_values(tools)
-    return items.where(F.lower("tool").isin(*wanted)) if wanted else items
+    return items.where(F.col("tool").isin(*wanted)) if wanted else items
 
 
 def by_status(items: DataFrame, statuses: str = "") -> DataFrame:
@@ -21,9 +26,9 @@ def by_status(items: DataFrame, statuses: str = "") -> DataFrame:
     wanted = tx.csv_values(statuses)
     if not wanted:
         return items
-    status = tx.strip(F.col("status"))
-    family = F.when(status.rlike(r"^\d"), F.concat(F.substring(status, 1, 1), F.lit("xx")))
-    return items.where((status != "") & (status.isin(*wanted) | F.coalesce(family.isin(*wanted), F.lit(False))))
+    families = [w[0] for w in wanted if re.fullmatch(r"\dxx", w)]
+    matches = [F.col("status").isin(*wanted), *[F.col("status").startswith(digit) for digit in families]]
+    return items.where((F.col("status") != "") & http.any_of(*matches))
 
 
 def by_time(items: DataFrame, start: str = "", end: str = "") -> DataFrame:

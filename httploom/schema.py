@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import text as tx
+
 HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
 HEADERS = T.ArrayType(HEADER)
 PAIR = HEADER
@@ -65,7 +67,11 @@ def _missing(field: T.StructField) -> Column:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Project any frame onto ``ITEMS``: missing text is ``''``, missing headers an empty array."""
+    """Project any frame onto ``ITEMS``: missing text is ``''``, missing headers an empty array.
+
+    Tools are stored in lower case and statuses without surrounding blanks, so that filters on them are
+    plain comparisons that reach the Parquet scan.
+    """
     columns = []
     for field in ITEMS.fields:
         if field.name not in df.columns:
@@ -74,5 +80,9 @@ def conform(df: DataFrame) -> DataFrame:
             value = F.col(field.name).cast(field.dataType)
         else:
             value = F.coalesce(F.col(field.name).cast(field.dataType), _missing(field))
+            if field.name == "tool":
+                value = F.lower(value)
+            elif field.name == "status":
+                value = tx.strip(value)
         columns.append(value.alias(field.name))
     return df.select(*columns)
