@@ -63,11 +63,11 @@ def wasm(spark, sf):
 
 # -- vectors -----------------------------------------------------------------
 @query("t04_vector_documents", f"""with {fx.TI} select cast(idx as varchar) as id, method, path, host, status,
-  '{{"item":"' || slug || '","method":"' || method || '","url":"' || url || '","request":"' || regexp_replace(request_body, '(password=)[^&]+', '\\1[REDACTED]') || '","response":"' ||
+  '{{"item":"' || slug || '","method":"' || method || '","url":"' || url || '","request":"' || replace({fx.MASKED_BODY}, '"', '\\"') || '","response":"' ||
    case when response_body like '{{%' then replace(replace(response_body, ':', ': '), '"', '\\"') else response_body end || '"}}' as document
-  from ti where request_body not like '{{%'""")
+  from ti""")
 def vector_documents(spark, sf):
-    return vectors.documents(fx.te_items(spark, sf).where(~F.col("request_body").startswith("{")))
+    return vectors.documents(fx.te_items(spark, sf))
 
 
 _NEAREST = """with q as (select embedding as qv from embeddings where vec_id = 7)
@@ -353,7 +353,7 @@ def by_time(spark, sf):
 
 
 @query("k08_snapshot", f"""with {fx.TI} select idx as item_index, slug, tool, url, host, status, sha256, request_raw, response_raw,
-  '{{"' || replace(replace(response_headers_text, ': ', '":"'), chr(10), '","') || '"}}' as response_headers from ti where response_headers_text not like '%Set-Cookie%'""")
+  '{{"' || replace(replace(replace(response_headers_text, chr(10) || 'Set-Cookie: pref', '\\npref'), ': ', '":"'), chr(10), '","') || '"}}' as response_headers from ti""")
 def snapshot(spark, sf):
     """Written twice to the same path: the second snapshot replaces the first."""
     path = scratch(spark, "snapshot")
@@ -361,8 +361,7 @@ def snapshot(spark, sf):
     sink.write_snapshot(fx.te_items(spark, sf), path)
     rows = spark.read.parquet(path)
     assert rows.columns == sink.SNAPSHOT_COLUMNS
-    kept = rows.where(~F.col("response_headers").contains("Set-Cookie"))
-    return kept.select("item_index", "slug", "tool", "url", "host", "status", "sha256", "request_raw", "response_raw", "response_headers")
+    return rows.select("item_index", "slug", "tool", "url", "host", "status", "sha256", "request_raw", "response_raw", "response_headers")
 
 
 @query("k09_refusals", "select true as target_refused, true as empty_refused from events limit 1")

@@ -80,6 +80,11 @@ TI = (
     f"case when user_id % 3 = 0 and user_id % 2 <> 0 then 'session_anon' else concat('session_', left(sha256({_TAG_SOURCE}), 8)) end as session_tag "
     "from ti0)"
 )
+# A `te` request body with its secrets masked, as the oracle engine spells it.
+MASKED_BODY = (
+    """case when request_body like '{%' then '{"user_id": ' || user_id || ', "active": true, "profile": {"token": "[REDACTED]"}}' """
+    """else regexp_replace(request_body, '(password=)[^&]+', '\\1[REDACTED]') end"""
+)
 TP = f"tp as (select {_select(TP_COLUMNS)} from pages)"
 TD = f"td as (select {_select(TD_COLUMNS)} from documents)"
 

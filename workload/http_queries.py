@@ -255,16 +255,15 @@ def content_id(spark, sf):
 _MASKED_HEADERS = """regexp_replace(regexp_replace(request_headers_text, '(Authorization|Cookie): [^\\n]*', '\\1: [REDACTED]', 'g'), chr(10), chr(13) || chr(10), 'g')"""
 
 
-@query("r01_text", f"with {fx.TE} select idx, regexp_replace(request_body, '(password=)[^&]+', '\\1[REDACTED]') as text from te where request_body not like '{{%'")
+@query("r01_text", f"with {fx.TE} select idx, {fx.MASKED_BODY} as text from te")
 def redact_text(spark, sf):
-    rows = fx.te(spark, sf).where(~F.col("request_body").startswith("{"))
-    return rows.select("idx", redact.message_body(F.col("request_body")).alias("text"))
+    return fx.te(spark, sf).select("idx", redact.message_body(F.col("request_body")).alias("text"))
 
 
-@query("r02_json", f"""with {fx.TE} select idx, '{{"user_id": ' || user_id || ', "active": true, "profile": {{"token": "[REDACTED]"}}}}' as text from te where request_body like '{{%'""")
+@query("r02_json", f"with {fx.TE} select idx, case when request_body like '{{%' then {fx.MASKED_BODY} end as text from te")
 def redact_json(spark, sf):
-    rows = fx.te(spark, sf).where(F.col("request_body").startswith("{"))
-    return rows.select("idx", redact.message_body(F.col("request_body")).alias("text"))
+    """JSON bodies masked as trees; null for bodies that are not JSON."""
+    return fx.te(spark, sf).select("idx", redact.json_text(F.col("request_body")).alias("text"))
 
 
 @query("r03_url", f"""with {fx.TP} select idx, protocol || '://' || lower(host) || path || '?' || case when query = '' then '' else query || '&' end || 'api_key=%5BREDACTED%5D&key=%5BREDACTED%5D&n=1' as url from tp""")
@@ -278,10 +277,9 @@ def redact_url(spark, sf):
 
 
 @query("r04_message", f"""with {fx.TI} select idx, method || ' ' || path || case when query <> '' then '?' || query else '' end || ' HTTP/1.1' || chr(13) || chr(10) || {_MASKED_HEADERS}
-  || chr(13) || chr(10) || chr(13) || chr(10) || regexp_replace(request_body, '(password=)[^&]+', '\\1[REDACTED]') as message from ti where request_body not like '{{%'""")
+  || chr(13) || chr(10) || chr(13) || chr(10) || {fx.MASKED_BODY} as message from ti""")
 def redact_message(spark, sf):
-    rows = fx.te_messages(spark, sf).where(~F.col("request_body").startswith("{"))
-    return rows.select("idx", redact.message(_request()).alias("message"))
+    return fx.te_messages(spark, sf).select("idx", redact.message(_request()).alias("message"))
 
 
 @query("r05_items", f"""with {fx.TI} select idx, url, path, slug, length(request_body) > 0 as has_body, 0 as leaks from ti""")

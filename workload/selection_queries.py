@@ -116,15 +116,13 @@ def composite_filter(spark, sf):
     return kept.select(F.col("index").alias("idx"), "slug", "url", "session_tag")
 
 
-@query("f09_composite_redacted", f"""{_COMPOSITE} select n as idx, session_tag,
-   regexp_replace(request_body, '(password=)[^&]+', '\\1[REDACTED]') as request_body from numbered where request_body not like '{{%'""")
+@query("f09_composite_redacted", f"""{_COMPOSITE} select n as idx, session_tag, {fx.MASKED_BODY} as request_body from numbered""")
 def composite_redacted(spark, sf):
     """Session buckets survive masking, bodies do not."""
     from dataclasses import replace
 
     kept = composite.apply(fx.te_items(spark, sf), replace(_COMPOSITE_SELECTION, redact=True))
-    plain = kept.where(~F.col("request_body").startswith("{"))
-    return plain.select(F.col("index").alias("idx"), "session_tag", "request_body")
+    return kept.select(F.col("index").alias("idx"), "session_tag", "request_body")
 
 
 @query("f10_preset_triage", f"""with {fx.TI}, kept as (select * from ti where status in ('401', '403') or status like '5%'),

@@ -131,10 +131,10 @@ def flatten(spark, sf):
     return items.select(F.col("index").alias("idx"), F.inline(jsonx.flatten(F.col("request_body"))))
 
 
-@query("p21_api_schema", f"""with {fx.TE} select idx, '{{"type": "object", "properties": {{"user_id": {{"type": "integer"}}, "active": {{"type": "boolean"}}, "profile": {{"type": "object", "properties": {{"token": {{"type": "string"}}}}}}}}}}' as body_schema
-  from te where request_body like '{{%'""")
+@query("p21_api_schema", f"""with {fx.TE} select idx, case when request_body like '{{%' then '{{"type": "object", "properties": {{"user_id": {{"type": "integer"}}, "active": {{"type": "boolean"}}, "profile": {{"type": "object", "properties": {{"token": {{"type": "string"}}}}}}}}}}' end as body_schema
+  from te""")
 def api_schema(spark, sf):
-    items = fx.te_items(spark, sf).where(F.col("request_body").startswith("{"))
+    items = fx.te_items(spark, sf)
     return items.select(F.col("index").alias("idx"), jsonx.api_schema(F.col("request_body")).alias("body_schema"))
 
 
