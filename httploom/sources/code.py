@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import http, names
 
 MAX_FILE_BYTES = 300_000
+# The extension rule as a file-name glob in either case.
+SOURCE_GLOB = (
+    "*.{[jJtT][sS],[jJtT][sS][xX],[cCmM][jJtT][sS],[cCmM][jJtT][sS][xX],[pP][yY],[jJ][aA][vV][aA]}"
+)
 
 
 def skip_reason(path: Column, length: Column, content: Column, excludes: list[str] | None = None) -> Column:
@@ -40,8 +44,11 @@ def indexed_files(files: DataFrame, excludes: list[str] | None = None) -> DataFr
 
 
 def read_source(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
-    """Index a source folder: name rules are applied before any content is read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """Index a source folder. Extensions prune the listing and the size limit reaches the reader, so only
+    plausible files are opened."""
+    listing = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SOURCE_GLOB).load(folder)
+    )
     root = folder.rstrip("/")
     relative = F.regexp_replace(F.col("path"), "^(?:file:/*)?/?" + "\\Q" + root.lstrip("/") + "\\E/", "")
     return indexed_files(

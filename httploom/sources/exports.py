@@ -52,15 +52,19 @@ def read_xml(spark: SparkSession, path: str | list[str], checked: bool = True) -
 
 
 def number_by_block(rows: DataFrame) -> DataFrame:
-    """1..n over (_file, _block, _at): rows are ranked inside their file block, block sizes give the offsets."""
-    sizes = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    """1..n over (_file, _block, _at) without moving the rows.
+
+    ``_at`` counts up by one inside a block, so a row's place is its distance from the block's first row
+    plus the sizes of all earlier blocks. The broadcast holds one row per file block, fewer than the file
+    listing the driver keeps for the scan itself.
+    """
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_file", "_block").orderBy("_at")
+    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     return (
-        rows.join(offsets, ["_file", "_block"])
-        .withColumn("index", F.col("_offset") + F.row_number().over(within))
-        .drop("_file", "_block", "_at", "_offset")
+        rows.join(F.broadcast(offsets), ["_file", "_block"])
+        .withColumn("index", F.col("_offset") + F.col("_at") - F.col("_first") + 1)
+        .drop("_file", "_block", "_at", "_first", "_offset")
     )
 
 
