@@ -111,14 +111,15 @@ def lookup_join(
     hot = F.broadcast(
         facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot_rows).select(*keys, F.lit(1).alias("_hot"))
     )
-    salted = (
-        facts.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot") == 1, F.pmod(F.xxhash64(*spread_by), F.lit(spread))).otherwise(F.lit(0)).cast("int"))
-        .drop("_hot")
-    )
+    # Null keys match nothing; salting them as well keeps them from piling up in one task.
+    spread_out = F.col("_hot").isNotNull()
+    for key in keys:
+        spread_out = spread_out | F.col(key).isNull()
+    salt = F.when(spread_out, F.pmod(F.xxhash64(*spread_by), F.lit(spread))).otherwise(F.lit(0))
+    salted = facts.join(hot, keys, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     repeated = (
         lookup.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot") == 1, F.lit(spread - 1)).otherwise(F.lit(0)))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), F.lit(spread - 1)).otherwise(F.lit(0)))))
         .drop("_hot")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

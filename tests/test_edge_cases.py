@@ -326,6 +326,9 @@ def test_hot_key_join_keeps_every_row(spark):
     joined = ordering.lookup_join(facts, lookup, ["k"], ["row"], hot_rows=100, spread=7)
     assert joined.count() == 5000 and joined.where("v <> k * 2").count() == 0
     assert ordering.lookup_join(facts, lookup.where("k > 0"), ["k"], ["row"], how="left", hot_rows=100).count() == 5000
+    nulls = facts.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    assert ordering.lookup_join(nulls, lookup, ["k"], ["row"], how="left", hot_rows=100).count() == 5000
+    assert ordering.lookup_join(nulls, lookup, ["k"], ["row"], hot_rows=100).count() == nulls.where("k > 0").count()
 
 
 # -- mapping -----------------------------------------------------------------
