@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, quality, tokens, urls
+from . import base, bpe, chat, decontaminate, quality, simhash, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -61,6 +61,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, benchmark, with_matches=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = base.table(spark, sf_dir, "pages")
+    archives = warc.write(spark, warc.pack(pages))
+    return warc.read(archives, pages.schema["page_id"].dataType.simpleString())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(base.table(spark, sf_dir, "documents"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
@@ -76,11 +95,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.decode_turns(formatted, *vocabulary))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_simhash": op10_simhash,
 }
 ORACLE = {"op2_url_filter": OP2_SQL}
