@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, decontaminate, quality, simhash, tokens, urls, warc
+from . import base, bpe, chat, decontaminate, lines, quality, simhash, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -61,6 +61,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_recurring(base.table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "_lines.n_lines",
+        "_lines.n_recurring",
+        "_lines.n_dropped",
+        F.length("_lines.text").cast("long").alias("kept_chars"),
+        F.sha2(F.col("_lines.text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, benchmark, with_matches=False)
@@ -103,6 +115,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
     "op8_quality_rules": op8_quality_rules,
