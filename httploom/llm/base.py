@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_
 
 
 def byte_lengths(texts: pa.Array) -> np.ndarray:
-    return np.fromiter((len(v) for v in texts.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(texts))
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def fits_broadcast(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> bool:

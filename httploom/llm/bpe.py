@@ -230,6 +230,10 @@ def _as_digests(ids: list[bytes], vocab: Vocabulary) -> list:
     ]
 
 
+def _with_digests(ids: list[bytes], vocab: Vocabulary) -> list:
+    return [*_as_digests(ids, vocab), ids]
+
+
 def _read(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -261,11 +265,19 @@ def encode(
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode as ``encode`` does, decode, and keep digests only."""
+    """``(id, n_tokens, ids_sha256, decoded_sha256[, ids])``: encode as ``encode`` does, then decode the ids."""
     out = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    return _run(docs, path, pattern, id_col, text_col, _as_digests, out, slice_bytes)
+    if with_ids:
+        out["ids"] = "binary"
+    return _run(docs, path, pattern, id_col, text_col, _with_digests if with_ids else _as_digests, out, slice_bytes)
 
 
 def _decode(batches, content: bytes, pattern: str):

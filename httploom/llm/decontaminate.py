@@ -35,9 +35,9 @@ MATCH = T.StructType(
 _MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())]))
 
 
-def words(text: str) -> list[bytes]:
-    """Words of digits, letters and everything beyond ASCII, A-Z lower-cased."""
-    return _WORD.findall(text.encode().lower())
+def words(text: str | None) -> list[bytes]:
+    """Words of digits, letters and everything beyond ASCII, A-Z lower-cased; null has none."""
+    return [] if text is None else _WORD.findall(text.encode().lower())
 
 
 class Tests:
@@ -184,13 +184,16 @@ class _Block:
         return self.broadcast.value
 
 
-def _match(batches, blocks: list, with_matches: bool, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    for batch in base.slices(batches, limit=slice_bytes):
-        counts, hits, items, matches = _shard(batch.column(1).to_pylist(), blocks, with_matches)
+def _match(batches, blocks: list, with_matches: bool, slice_bytes: int, text_at: int, kept: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in base.slices(batches, text=text_at, limit=slice_bytes):
+        counts, hits, items, matches = _shard(batch.column(text_at).to_pylist(), blocks, with_matches)
         columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+        names = ["n_words", "n_hit", "items"]
         if with_matches:
             columns.append(pa.array(matches, _MATCH_ARROW))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_words", "n_hit", "items", "matches"][: 1 + len(columns)])
+            names.append("matches")
+        found = pa.StructArray.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*(batch.schema.names[c] for c in kept), "_found"])
 
 
 def _item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[bytes]:
@@ -206,19 +209,25 @@ def _item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[by
         yield pickle.dumps(Tests(block, window))
 
 
-def contamination(
+def _found_type(with_matches: bool) -> T.StructType:
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+    return T.StructType(fields + [T.StructField("matches", T.ArrayType(MATCH))] * with_matches)
+
+
+def marked(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
     with_matches: bool = True,
+    columns: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
     slice_bytes: int = base.SLICE_BYTES,
+    into: str = "_found",
 ) -> DataFrame:
-    """``(id, n_words, n_hit, items[, matches])`` per document row.
+    """Rows of ``docs`` (its ``columns``, all by default) with a struct ``into``: ``n_words, n_hit, items[, matches]``.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window. ``n_hit`` counts the
     document's words inside windows, ``items`` lists the ids (as strings, sorted) of the items with a window in it,
@@ -229,14 +238,23 @@ def contamination(
     block numbers its own words; others are 0).
 
     Null text has no words; null ids and repeated rows stay; items with a null id have the empty id, items without
-    words never occur; an empty benchmark hits nothing; an empty table gives no rows; other columns are ignored.
+    words never occur; an empty benchmark hits nothing; an empty table gives no rows; other columns are passed on, one
+    named ``into`` is replaced.
     """
-    rows = base.keyed_text(docs, id_col, text_col)
+    docs = docs.drop(into)
+    columns = docs.columns if columns is None else columns
     items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
     blocks = [_Block(context.broadcast(block)) for block in _item_blocks(items, window, block_bytes)]
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>"
-    if with_matches:
-        schema += f", matches array<{MATCH.simpleString()}>"
-    run = base.packaged(_match, blocks=blocks, with_matches=with_matches, slice_bytes=slice_bytes)
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("_found", _found_type(with_matches))])
+    kept = [docs.columns.index(c) for c in columns]
+    run = base.packaged(
+        _match, blocks=blocks, with_matches=with_matches, slice_bytes=slice_bytes, text_at=docs.columns.index(text_col), kept=kept
+    )
+    return docs.mapInArrow(run, schema).withColumnRenamed("_found", into)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``(id, n_words, n_hit, items[, matches])`` per document row; see ``marked`` for what they mean."""
+    rows = docs.select(id_col, text_col)
+    return marked(rows, benchmark, text_col, columns=[id_col], **options).select(id_col, "_found.*")

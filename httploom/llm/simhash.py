@@ -25,6 +25,7 @@ BITS = 64
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+_ALL_PAIRS = 256  # fingerprints of a key that are compared at once
 _CHUNK = 1 << 15  # shingles whose bits are counted at a time
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     return rows.mapInArrow(base.packaged(_fingerprints, shingle=shingle, seed=seed), schema)
 
 
-def plan_blocks(count: int, distance: int = DISTANCE, load: int = 8) -> list[int]:
+def plan_blocks(count: int, distance: int = DISTANCE, load: int = 64) -> list[int]:
     """Masks of the block choices to join on, for ``count`` distinct fingerprints.
 
     With ``distance + extra`` blocks, some ``extra`` of them agree. More extra blocks mean longer keys, and so fewer
@@ -98,6 +99,10 @@ def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarr
     A search that drops each fingerprint from the rest once it is reached: a dense group costs little more than its
     size, and no group gives more links than it has members.
     """
+    if len(fps) <= _ALL_PAIRS:
+        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= distance, 1))
+        if len(a) < len(fps):
+            return fps[a], fps[b]
     rest = fps
     left, right = [], []
     while len(rest):
@@ -200,6 +205,19 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` with the smallest id of their near-duplicate group; one row where that id is repeated.
+
+    ``options`` are those of ``near_duplicates``. A null id gives way to any other; of groups with null ids
+    alone one row stays for all of them.
+    """
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["_first"])).select(*docs.columns, "_n")
+    single = kept.where("_n = 1").select(*docs.columns)
+    return single.unionByName(kept.where("_n > 1").select(*docs.columns).dropDuplicates([id_col]))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
