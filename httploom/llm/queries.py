@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, decontaminate, lines, quality, simhash, tokens, urls, warc
+from . import base, bpe, chat, decontaminate, lines, quality, simhash, suffixes, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -92,6 +92,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, pages.schema["page_id"].dataType.simpleString())
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(base.table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(base.table(spark, sf_dir, "documents"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
@@ -118,6 +122,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
