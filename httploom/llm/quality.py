@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from httploom.functions.text import let
+from httploom.session import scratch
 
 WINDOW = 5
 GOOD, BAD, ABSTAIN = 1, -1, 0
@@ -171,6 +172,26 @@ def vote_weights(chances: list[tuple[float, float]]) -> list[tuple[float, float]
     return [(math.log(g) - math.log1p(-b), math.log1p(-g) - math.log(b)) for g, b in chances]
 
 
+def with_verdicts(measured_rows: DataFrame, threshold: float, into: str) -> DataFrame:
+    """Fit the rules on the struct ``into`` of all rows and add ``base_failed``, ``p_good`` and ``kept`` to it."""
+
+    def m(name: str) -> Column:
+        return F.col(f"{into}.{name}")
+
+    votes = rules(m)
+    code = reduce(lambda code, vote: code * 3 + vote + 1, votes.values(), F.lit(0))
+    counts = measured_rows.select(code.alias("code")).groupBy("code").count().collect()
+    digits = lambda code: tuple(code // 3 ** (len(votes) - 1 - r) % 3 - 1 for r in range(len(votes)))
+    prior, chances = estimate(sorted((digits(row["code"]), row["count"]) for row in counts))
+    odds = F.lit(math.log(prior) - math.log1p(-prior))
+    for vote, (good, bad) in zip(votes.values(), vote_weights(chances)):
+        odds = odds + F.when(vote == GOOD, F.lit(good)).when(vote == BAD, F.lit(bad)).otherwise(F.lit(0.0))
+    failed = (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
+    scored = F.col(into).withField("base_failed", failed).withField("p_good", 1 / (1 + F.exp(-odds)))
+    kept = ~m("base_failed") & (m("p_good") >= threshold)
+    return measured_rows.withColumn(into, scored).withColumn(into, F.col(into).withField("kept", kept))
+
+
 def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, into: str = "_quality") -> DataFrame:
     """Rows of ``docs`` with a struct column ``into``: measures, ``base_failed``, ``p_good`` and ``kept``.
 
@@ -181,19 +202,17 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, into
     one row per pattern and task. Null text counts as empty and fails; repeated rows are judged alike; an empty table
     gives no rows; a column of ``docs`` named like ``into`` or ``into`` + ``_raw`` is replaced.
     """
-    with_measures = measured(docs, text_col, into)
-    names = list(rules(lambda name: F.col(f"{into}.{name}")))
-    votes = lambda: list(rules(lambda name: F.col(f"{into}.{name}")).values())
-    code = reduce(lambda code, vote: code * 3 + vote + 1, votes(), F.lit(0))
-    counts = with_measures.select(code.alias("code")).groupBy("code").count().collect()
-    digits = lambda code: tuple(code // 3 ** (len(names) - 1 - r) % 3 - 1 for r in range(len(names)))
-    prior, chances = estimate(sorted((digits(row["code"]), row["count"]) for row in counts))
-    odds = F.lit(math.log(prior) - math.log1p(-prior))
-    for vote, (good, bad) in zip(votes(), vote_weights(chances)):
-        odds = odds + F.when(vote == GOOD, F.lit(good)).when(vote == BAD, F.lit(bad)).otherwise(F.lit(0.0))
-    m = lambda name: F.col(f"{into}.{name}")
-    failed = (m("n_words") < 10) | (100 * m("n_repeat_words") > 20 * m("n_words"))
-    return (
-        with_measures.withColumn(into, F.col(into).withField("base_failed", failed).withField("p_good", 1 / (1 + F.exp(-odds))))
-        .withColumn(into, F.col(into).withField("kept", ~m("base_failed") & (m("p_good") >= threshold)))
-    )
+    return with_verdicts(measured(docs, text_col, into), threshold, into)
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``(id, measures ..., base_failed, p_good, kept)`` per document row, as ``judged`` gives them.
+
+    The texts are scanned once: the measures are written to a table below the shared root, which has no texts. Null ids
+    stay; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    path = scratch(spark, "measures")
+    narrow = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "m").select("id", "m")
+    narrow.write.parquet(path)
+    return with_verdicts(spark.read.schema(narrow.schema).parquet(path), threshold, "m").select(F.col("id").alias(id_col), "m.*")

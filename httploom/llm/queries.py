@@ -97,9 +97,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judged(base.table(spark, sf_dir, "documents"))
-    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"]
-    return judged.select("doc_id", *[F.col(f"_quality.{c}").alias(c) for c in columns])
+    scores = quality.scores(base.table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
