@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from . import dedup, review
 
 
-def records(items: DataFrame, body_limit: int = 1000) -> DataFrame:
-    """One masked JSON record per item: slug, method, url, status, bounded bodies."""
+def records(items: DataFrame, body_limit: int | None = None) -> DataFrame:
+    """One masked JSON record per item: slug, method, url, status, bodies (cut at ``body_limit`` where that is set)."""
     masked = dedup.redact_items(items)
+    shown = lambda name: F.col(name) if body_limit is None else F.substring(name, 1, body_limit)
     record = F.to_json(
         F.struct(
             F.col("slug").alias("item"), "method", "url", "status",
-            F.substring("request_body", 1, body_limit).alias("request"),
-            F.substring("response_body", 1, body_limit).alias("response"),
+            shown("request_body").alias("request"),
+            shown("response_body").alias("response"),
         )
     )
     return masked.select("index", "slug", record.alias("record"))
 
 
-def item_context(items: DataFrame, considered: int = 100, budget: int = 60_000) -> DataFrame:
-    """Records of the first items in order while they fit; only those items are masked at all."""
-    first = items.orderBy("index").limit(considered)
-    return review.prefix_budget(records(first), "index", F.length("record"), budget, considered)
+def item_context(items: DataFrame, considered: int | None = None, budget: int = 60_000, body_limit: int | None = None) -> DataFrame:
+    """Records of the first items in order while they fit."""
+    return review.prefix_budget(records(items, body_limit), "index", F.length("record"), budget, considered)
 
 
-def corpus_context(items: DataFrame, considered: int, budget: int = 48_000, max_items: int = 50, floor: int = 500) -> DataFrame:
+def corpus_context(
+    items: DataFrame, considered: int | None = None, budget: int = 48_000, max_items: int = 50, floor: int = 500, body_limit: int | None = None
+) -> DataFrame:
     """Greedy selection in path order: what does not fit is skipped, at most ``max_items`` are kept."""
-    first = items.orderBy("slug", "index").limit(considered)
-    sized = records(first, 1200).withColumn("corpus", F.lit(1))
+    sized = records(items, body_limit).withColumn("corpus", F.lit(1))
     return review.within_budget(
         sized, "corpus", ["slug", "index"], F.length("record") + 1, budget, considered, max_items, floor
     ).drop("corpus")

@@ -172,22 +172,22 @@ def items_by_host(items: DataFrame, host: str) -> DataFrame:
     return items.where(F.col("host") == host)
 
 
-def validity(items: DataFrame) -> DataFrame:
+def validity(items: DataFrame, max_url: int | None = None) -> DataFrame:
     """Add ``reject_reason`` (null for usable rows): method list, URL length, http(s) only."""
     reason = (
         F.when(~F.upper("method").isin(*names.MAPPED_METHODS), F.lit("Unsupported item schema or method"))
         .when(
-            F.col("url").isNull() | (F.length("url") > 8192),
-            F.lit("Traffic URL exceeds the 8192-character limit or is invalid"),
+            F.col("url").isNull() | (F.lit(False) if max_url is None else F.length("url") > max_url),
+            F.lit("Traffic URL is invalid" if max_url is None else f"Traffic URL exceeds the {max_url}-character limit or is invalid"),
         )
         .when(~urls.scheme(F.col("url")).isin("http", "https"), F.lit("Non-HTTP URL"))
     )
     return items.withColumn("reject_reason", reason)
 
 
-def valid_items(items: DataFrame) -> DataFrame:
-    return validity(items).where(F.col("reject_reason").isNull()).drop("reject_reason")
+def valid_items(items: DataFrame, max_url: int | None = None) -> DataFrame:
+    return validity(items, max_url).where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def rejected_items(items: DataFrame) -> DataFrame:
-    return validity(items).where(F.col("reject_reason").isNotNull())
+def rejected_items(items: DataFrame, max_url: int | None = None) -> DataFrame:
+    return validity(items, max_url).where(F.col("reject_reason").isNotNull())

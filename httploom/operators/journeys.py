@@ -23,10 +23,9 @@ def transitions(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
     return pairs.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("transitions"))
 
 
-def drop_noise(counted: DataFrame, items: DataFrame) -> DataFrame:
-    """Keep counts of at least 2 in captures over 50 items, at least 1 otherwise."""
-    threshold = items.agg(F.when(F.count(F.lit(1)) > 50, F.lit(2)).otherwise(F.lit(1)).alias("t")).scalar()
-    return counted.where(F.col("transitions") >= threshold)
+def drop_noise(counted: DataFrame, least: int = 2) -> DataFrame:
+    """Keep transitions seen ``least`` times; captures of a few items, where each is seen once, pass 1."""
+    return counted.where(F.col("transitions") >= least)
 
 
 def top_transitions(counted: DataFrame, limit: int = 50) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, redact, urls
 from ..functions import text as tx
+from ..session import scratch
 from . import ordering
 
 ENDPOINT_KEYS = ["method", "origin", "path"]
@@ -78,10 +79,10 @@ _PREFIX = re.compile(r"/[^?#]*")
 _ORIGIN = re.compile(r"https?://[^/?#@\s]+")
 
 
-def check_rewrites(rewrites: list[dict]) -> list[dict]:
-    """Validated rules, longest prefix first; duplicates and malformed rules are errors."""
-    if not isinstance(rewrites, list) or len(rewrites) > 30:
-        raise ValueError("Path rewrites must be a list of at most 30 rules.")
+def check_rewrites(rewrites: list[dict], max_rules: int | None = None) -> list[dict]:
+    """Validated rules, longest prefix first; duplicates, malformed rules and more than ``max_rules`` are errors."""
+    if not isinstance(rewrites, list) or (max_rules is not None and len(rewrites) > max_rules):
+        raise ValueError("Path rewrites must be a list" + ("." if max_rules is None else f" of at most {max_rules} rules."))
     seen = set()
     for rule in rewrites:
         if not all(isinstance(rule.get(key), str) for key in ("origin", "from", "to")):
@@ -99,7 +100,7 @@ def check_rewrites(rewrites: list[dict]) -> list[dict]:
 def rewrite_paths(endpoint_rows: DataFrame, rewrites: list[dict]) -> DataFrame:
     """Add ``effective_path``: the longest matching prefix of the endpoint's own origin is replaced.
 
-    At most 30 rules, so they are one conditional expression and no join.
+    Rules are typed in by a user, so they are one conditional expression and no join.
     """
     effective = F.col("path")
     for rule in reversed(check_rewrites(rewrites)):
@@ -247,12 +248,10 @@ def state_counts(states: DataFrame, unobserved: DataFrame) -> DataFrame:
     )
 
 
-def ranked_candidates(matches: DataFrame, considered: int = 30) -> DataFrame:
-    """First ``considered`` matches of each endpoint in route order, ranked by literals, file and line."""
-    kept = ordering.smallest_per_group(matches, ["endpoint_id"], [F.col("ord")], considered, "position")
-    return ordering.smallest_per_group(
-        kept, ["endpoint_id"], [F.desc("literal_count"), F.col("file"), F.col("line"), F.col("ord")], considered
-    ).drop("position")
+def ranked_candidates(matches: DataFrame, limit: int = 30) -> DataFrame:
+    """The ``limit`` best matches of each endpoint, ranked by literals, file and line among all of its matches."""
+    order = [F.desc("literal_count"), F.col("file"), F.col("line"), F.col("ord")]
+    return ordering.smallest_per_group(matches, ["endpoint_id"], order, limit)
 
 
 # -- router mounts -----------------------------------------------------------
@@ -261,30 +260,46 @@ def join_route(a: Column, b: Column) -> Column:
     return tx.or_else(F.regexp_replace(text, r"/$", ""), "/")
 
 
-def mount_prefixes(nodes: DataFrame, mounts: DataFrame, max_depth: int = 12) -> DataFrame:
-    """Full prefix of every router reachable from an application root, one row per mount chain.
+def mount_prefixes(
+    nodes: DataFrame, mounts: DataFrame, max_depth: int | None = None, max_length: int | None = None
+) -> DataFrame:
+    """``(node_id, full_prefix, depth)`` of every router reachable from an application root, one row per mount chain.
 
     ``nodes``: node_id, is_root, prefix; ``mounts``: child, parent, prefix, override. A null prefix is
-    not resolvable, cycles are cut, an overriding mount replaces the child's own prefix.
+    not resolvable, cycles are cut, an overriding mount replaces the child's own prefix. Chains beyond ``max_depth``
+    mounts and prefixes beyond ``max_length`` characters are left out only where a caller sets these.
+
+    One join per level; each level is a table below the shared root, so any number of rows and levels goes through
+    and a lost executor costs one level.
     """
     spark = nodes.sparkSession
-    joined = "regexp_replace(concat('/', r.full_prefix, '/', m.prefix, '/', if(m.override, '', n.prefix)), '//+', '/')"
-    full = f"if(regexp_replace({joined}, '/$', '') = '', '/', regexp_replace({joined}, '/$', ''))"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE resolved(node_id, full_prefix, depth, chain) AS (
-          SELECT node_id, prefix, 0, array(node_id) FROM {{nodes}} WHERE is_root AND prefix IS NOT NULL
-          UNION ALL
-          SELECT m.child, {full}, r.depth + 1, array_append(r.chain, m.child)
-          FROM resolved r JOIN {{mounts}} m ON m.parent = r.node_id JOIN {{nodes}} n ON n.node_id = m.child
-          WHERE r.depth < {int(max_depth)} AND NOT n.is_root AND n.prefix IS NOT NULL AND m.prefix IS NOT NULL
-            AND NOT array_contains(r.chain, m.child) AND length({full}) <= 1024
-        )
-        SELECT node_id, full_prefix, depth FROM resolved
-        """,
-        nodes=nodes,
-        mounts=mounts,
+    children = (
+        mounts.where(F.col("prefix").isNotNull())
+        .select(F.col("child").alias("node_id"), "parent", F.col("prefix").alias("_mount"), "override")
+        .join(nodes.where(~F.col("is_root") & F.col("prefix").isNotNull()).select("node_id", F.col("prefix").alias("_own")), "node_id")
     )
+    step = F.concat_ws("/", "_above", "_mount", F.when(F.col("override"), F.lit("")).otherwise(F.col("_own")))
+    level = nodes.where(F.col("is_root") & F.col("prefix").isNotNull()).select(
+        "node_id", F.col("prefix").alias("full_prefix"), F.lit(0).alias("depth"), F.array("node_id").alias("_chain")
+    )
+    levels: list[str] = []
+    while True:
+        path = scratch(spark, "mounts")
+        level.write.parquet(path)
+        current = spark.read.schema(level.schema).parquet(path)
+        if current.isEmpty() and levels:
+            break
+        levels.append(path)
+        if max_depth is not None and len(levels) > max_depth:
+            break
+        above = current.select(F.col("node_id").alias("parent"), F.col("full_prefix").alias("_above"), "depth", "_chain")
+        found = children.join(above, "parent").where(~F.array_contains("_chain", F.col("node_id")))
+        level = found.select(
+            "node_id", join_route(step, F.lit("")).alias("full_prefix"), (F.col("depth") + 1).alias("depth"), F.array_append("_chain", F.col("node_id")).alias("_chain")
+        )
+        if max_length is not None:
+            level = level.where(F.length("full_prefix") <= max_length)
+    return spark.read.schema(level.schema).parquet(*levels).drop("_chain")
 
 
 def compose_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:

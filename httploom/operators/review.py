@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, redact
 from ..functions import text as tx
+from ..session import scratch
 from . import ordering
 
 # Review checks and the profiles that group them.
@@ -191,37 +192,82 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 # -- evidence budgets --------------------------------------------------------
 def within_budget(
-    evidence: DataFrame, key: str, order: list[str], size: Column, budget: int, considered: int, max_kept: int | None = None,
-    stop_below: int = 0,
+    evidence: DataFrame, key: str, order: list[str], size: Column, budget: int, considered: int | None = None, max_kept: int | None = None,
+    stop_below: int = 0, batch: int = 256,
 ) -> DataFrame:
     """Greedy selection per group: rows that do not fit are skipped, later smaller rows may still fit.
 
-    Sequential by nature, so each group is first cut to its first ``considered`` rows (a feature of the
-    bounded context, not a shortcut): the fold then runs over one short array of sizes per group.
-    ``stop_below`` ends the selection once less than that much budget is left.
+    ``order`` must be unique within a group. ``considered`` cuts groups to their first rows only where a caller
+    sets it; ``stop_below`` ends the selection once less than that much budget is left; ``position`` numbers the kept rows.
+
+    Sequential by nature, so it goes in rounds: each takes the next ``batch`` rows of every group that still fit what is
+    left of its budget, wherever they stand, and folds over these few sizes. The first of them always fits, so a
+    group of any length ends after a few rounds; Spark cuts groups to a batch before the shuffle.
     """
+    spark = evidence.sparkSession
     sized = evidence.withColumn("_size", size.cast("long"))
-    first = ordering.smallest_per_group(sized, [key], [F.col(c) for c in order], considered, "_position")
-    sizes = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_position", "_size"))).alias("_sizes"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    if considered is not None:
+        sized = ordering.smallest_per_group(sized, [key], [F.col(c) for c in order], considered, "_position").drop("_position")
+    narrow = sized.select(key, F.struct(*order).alias("_at"), "_size")
 
     def take(acc: Column, row: Column) -> Column:
         fits = (acc["used"] + row["_size"] <= budget) & (F.lit(budget) - acc["used"] >= stop_below)
         if max_kept is not None:
-            fits = fits & (F.size(acc["kept"]) < max_kept)
+            fits = fits & (acc["n"] < max_kept)
         return F.struct(
             F.when(fits, acc["used"] + row["_size"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["kept"], F.array(row["_position"]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+            F.when(fits, F.concat(acc["kept"], F.array(row["_at"]))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = sizes.select(key, F.explode(F.aggregate("_sizes", start, take)["kept"]).alias("_position"))
-    return first.join(kept, [key, "_position"]).withColumnRenamed("_position", "position").withColumnRenamed("_size", "size")
-
-
-def prefix_budget(rows: DataFrame, order_col: str, size: Column, budget: int = 60_000, considered: int = 100) -> DataFrame:
-    """The first ``considered`` rows while their running size stays within ``budget``; stops at the first overflow."""
-    from pyspark.sql import Window
-
-    first = rows.orderBy(order_col).limit(considered).withColumn("size", size.cast("long"))
-    running = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)  # over `considered` rows
-    return first.withColumn("running", F.sum("size").over(running)).where(F.col("running") <= budget)
+    at_type = narrow.schema["_at"].dataType.simpleString()
+    state, rounds = None, []
+    while True:
+        if state is None:
+            open_rows = narrow.where(F.col("_size") <= budget).withColumns({"_used": F.lit(0).cast("long"), "_n": F.lit(0)})
+        else:
+            left = state.where((F.lit(budget) - F.col("_used") >= stop_below) & (F.col("_n") < F.lit(max_kept or 2**31 - 1)))
+            open_rows = narrow.join(ordering.broadcast_if_small(left.drop("_kept")), key).where(
+                (F.col("_at") > F.col("_last")) & (F.col("_size") <= budget - F.col("_used"))
+            )
+        first = ordering.smallest_per_group(open_rows.drop("_last"), [key], [F.col("_at")], batch, "_place")
+        sizes = first.groupBy(key, "_used", "_n").agg(F.array_sort(F.collect_list(F.struct("_at", "_size"))).alias("_rows"))
+        start = F.struct(F.col("_used").alias("used"), F.col("_n").alias("n"), F.array().cast(f"array<{at_type}>").alias("kept"))
+        folded = sizes.select(key, F.element_at("_rows", -1)["_at"].alias("_last"), F.aggregate("_rows", start, take).alias("f")).select(
+            key, "_last", F.col("f.used").alias("_used"), F.col("f.n").alias("_n"), F.col("f.kept").alias("_kept")
+        )
+        path = scratch(spark, "budget")
+        folded.write.parquet(path)
+        state = spark.read.schema(folded.schema).parquet(path)
+        rounds.append(path)
+        if state.isEmpty():
+            break
+    kept = spark.read.schema(state.schema).parquet(*rounds).select(key, F.explode("_kept").alias("_at")).select(key, "_at.*")
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return sized.join(kept, [key, *order]).withColumn("position", number).withColumnRenamed("_size", "size")
+
+
+def prefix_budget(rows: DataFrame, order_col: str, size: Column, budget: int = 60_000, considered: int | None = None, batch: int = 1000) -> DataFrame:
+    """The first rows while their running size stays within ``budget``; stops at the first overflow.
+
+    ``considered`` cuts the rows only where a caller sets it. Rows are looked at in batches of the next ``batch`` in order,
+    until one does not fit; the running sums are over rows that fit, and so at most as many as the budget holds.
+    """
+    sized = rows.withColumn("size", size.cast("long"))
+    if considered is not None:
+        sized = sized.orderBy(order_col).limit(considered)
+    used, last, over = 0, None, None
+    while over is None:
+        narrow = sized.select(order_col, "size")
+        nearest = (narrow if last is None else narrow.where(F.col(order_col) > F.lit(last))).orderBy(order_col).limit(batch).collect()
+        for row in nearest:
+            used += row["size"]
+            if used > budget:
+                over = row[order_col]
+                break
+            last = row[order_col]
+        if len(nearest) < batch:
+            break
+    fitting = sized if over is None else sized.where(F.col(order_col) < F.lit(over))
+    running = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return fitting.withColumn("running", F.sum("size").over(running))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` where set, else a test-only temp folder."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset, as tests do; it then gets a folder of its own, which ends with the process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="httploom-")
+    root = tempfile.mkdtemp(prefix="httploom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def scratch(spark: SparkSession, name: str) -> str:

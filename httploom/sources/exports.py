@@ -208,22 +208,31 @@ ITEM_JSON = T.StructType(
 )
 
 
-def read_item_json(spark: SparkSession, path: str, per_item_files: bool = True, max_file_bytes: int = 1_000_000) -> DataFrame:
+def read_item_json(spark: SparkSession, path: str, per_item_files: bool = True, max_file_bytes: int | None = None) -> DataFrame:
     """Nested item JSON below a folder: one file per item (``0001_*.json``) or JSON lines.
 
-    Rows that are not usable keep a ``reject_reason``; use ``filters`` helpers to split them.
+    Rows that are not usable keep a ``reject_reason``; use ``filters`` helpers to split them. Files over
+    ``max_file_bytes``, where that is set, are not opened; ``oversized_files`` lists them.
     """
     reader = spark.read.schema(ITEM_JSON).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     if per_item_files:
         meta = F.col("_metadata")
-        rows = reader.option("multiLine", "true").json(path).where(
-            meta["file_name"].rlike(r"^\d+_.+\.json$") & (meta["file_size"] <= max_file_bytes)
-        )
+        named = meta["file_name"].rlike(r"^\d+_.+\.json$")
+        fits = F.lit(True) if max_file_bytes is None else meta["file_size"] <= max_file_bytes
+        rows = reader.option("multiLine", "true").json(path).where(named & fits)
     else:
         rows = reader.json(path)
     return from_item_json(rows)
 
 
+def oversized_files(spark: SparkSession, path: str, max_file_bytes: int) -> DataFrame:
+    """``(file, length, reason)`` of item files that ``read_item_json`` leaves out at this limit; contents stay unread."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
+    return files.where(F.col("length") > max_file_bytes).select(
+        F.col("path").alias("file"), "length", F.lit("Traffic byte limit").alias("reason")
+    )
+
+
 def from_item_json(rows: DataFrame) -> DataFrame:
     """Nested item structs to items, with a reason on rows lacking a section or failing the item gate."""
     entries = lambda c: F.transform(

@@ -162,7 +162,7 @@ def test_generalise_keeps_its_quirk(spark):
 def test_json_flatten(spark):
     text = '{"a": {"b": 1.50}, "l": [1, {"c": null}, {"d": true}, 4, 5, {"late": 1}], "s": "x"}'
     got = [(p["name"], p["value"]) for p in one(spark, jsonx.flatten(F.lit(text)))]
-    assert got == [("a.b", "1.50"), ("l[1].c", "null"), ("l[2].d", "true"), ("s", "x")]
+    assert got == [("a.b", "1.50"), ("l[1].c", "null"), ("l[2].d", "true"), ("l[5].late", "1"), ("s", "x")]
     assert one(spark, jsonx.flatten(F.lit("{broken"))) == []
 
 
@@ -374,7 +374,7 @@ def test_route_methods(spark):
 )
 def test_bad_rewrites_fail(rules):
     with pytest.raises(ValueError):
-        mapping.check_rewrites(rules)
+        mapping.check_rewrites(rules, max_rules=30)
 
 
 def test_rewrite_is_bound_to_its_origin(spark):
@@ -634,7 +634,10 @@ def test_source_tree(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
-    got = code.read_source(spark, str(tmp_path), excludes=["gen/"]).collect()
+    assert code.read_source(spark, str(tmp_path), excludes=["gen/"]).where("file = 'lib/big.ts'").count() == 1
+    omitted = {r.file: r.reason for r in code.omitted_source(spark, str(tmp_path), ["gen/"], 300_000).collect()}
+    assert omitted["lib/big.ts"] == "Source byte limit" and omitted["gen/skip.js"] == "excluded"
+    got = code.read_source(spark, str(tmp_path), excludes=["gen/"], max_bytes=300_000).collect()
     assert sorted(r["file"] for r in got) == ["app/main.py", "lib/ok.mjs"]
 
 
@@ -649,3 +652,67 @@ def test_published_build_survives_a_failed_one(spark, tmp_path):
 def test_merge_renumbers(spark):
     merged = captures.merge([items(spark, {"path": "/a"}, {"path": "/b"}), items(spark, {"path": "/c"})])
     assert [(r["index"], r["slug"]) for r in merged.orderBy("index").collect()] == [(1, "0001_GET_a"), (2, "0002_GET_b"), (3, "0003_GET_c")]
+
+
+# -- depth, long lists, nested texts --------------------------------------------
+def deep(inner, levels=5000):
+    return '{"a":' * levels + inner + "}" * levels
+
+
+def test_json_of_any_depth_is_walked(spark):
+    bodies = [(1, deep('{"token":"SECRET","k":[1,2,3,4,5,6,{"id":7}]}')), (2, "[" * 5000 + '{"password":"SECRET"}' + "]" * 5000), (3, "[" * 5000), (4, '{"n":%s,"token":"SECRET"}' % ("9" * 6000))]
+    df = spark.createDataFrame(bodies, "id int, body string")
+    masked = {r.id: r.m for r in df.select("id", redact.message_body(F.col("body")).alias("m")).collect()}
+    assert not any("SECRET" in m for m in masked.values()) and masked[1].count("[REDACTED]") == 1 and masked[3] == "[" * 5000
+    named = {r.id: [x["name"] for x in r.m] for r in df.select("id", jsonx.members(F.col("body")).alias("m")).collect()}
+    assert named == {1: ["token", "id"], 2: ["password"], 3: [], 4: ["n", "token"]}
+    flat = {r.id: r.m for r in df.select("id", jsonx.flatten(F.col("body")).alias("m")).collect()}
+    assert flat[1][1]["name"].endswith(".a.k[6].id") and flat[1][1]["value"] == "7"
+    short = df.select(jsonx.flatten(F.col("body"), list_sample=5).alias("m")).first().m
+    assert [x["value"] for x in short] == ["SECRET"]
+    schemas = {r.id: r.s for r in df.select("id", jsonx.api_schema(F.col("body")).alias("s")).collect()}
+    assert schemas[1].count('"object"') == 5001 and schemas[3] is None and '"n": {"type": "integer"}' in schemas[4]
+
+
+def test_messages_inside_json_strings_are_masked(spark):
+    inner = "GET /x?key=SECRET&b=1 HTTP/1.1\r\nCookie: sid=SECRET\r\nHost: h\r\n\r\n{\"token\":\"SECRET\"}"
+    twice = json.dumps({"m": "POST http://u:SECRET@h/ HTTP/1.1\n\n" + json.dumps({"again": inner})})
+    df = spark.createDataFrame([(json.dumps([inner]),), (twice,)], "body string")
+    for row in df.select(redact.json_text(F.col("body")).alias("m")).collect():
+        assert "SECRET" not in row.m and "Host: h" in row.m and "b=1" in row.m
+        json.loads(row.m)
+
+
+def test_parsers_agree(spark):
+    for text in ('{"a":[1,2.5,"x",null,true,{}],"b":[],"c":{"d":-1e3}}', " [ ] ", '"x"', "1", '{"a":{"a":1},"a":2}'):
+        assert jsonx._parse_deep(text, jsonx.integer, float) == json.loads(text)
+    for text in ("", "[1,]", '{"a"}', '{"a":1,}', "[1 2]", "[}", "{]", '{"a":1}}', "[1", "nul", '{1:2}', ",", "[,1]"):
+        with pytest.raises(ValueError):
+            jsonx._parse_deep(text, jsonx.integer, float)
+
+
+def test_mounts_have_no_depth_limit(spark):
+    nodes = [(i, i == 0, f"n{i}") for i in range(40)] + [(100, False, None), (101, False, "x")]
+    edges = [(i + 1, i, "m", False) for i in range(39)] + [(3, 39, "loop", False), (100, 0, "m", False), (101, 100, "m", False)]
+    nodes = spark.createDataFrame(nodes, "node_id int, is_root boolean, prefix string")
+    edges = spark.createDataFrame(edges, "child int, parent int, prefix string, override boolean")
+    found = {r.node_id: r.depth for r in mapping.mount_prefixes(nodes, edges).collect()}
+    assert found == {i: i for i in range(40)}
+    assert mapping.mount_prefixes(nodes, edges, max_depth=5).count() == 6
+
+
+def test_budgets_see_every_row(spark):
+    rows = spark.createDataFrame([(g, i, 90 if i % 3 else 30) for g in "ab" for i in range(300)] + [("a", 300, 10), ("c", 1, 500)], "g string, i int, n int")
+    kept = review.within_budget(rows, "g", ["i"], F.col("n"), 100, batch=4).select("g", "i", "position").collect()
+    assert sorted(map(tuple, kept)) == [("a", 0, 1), ("a", 3, 2), ("a", 6, 3), ("a", 300, 4), ("b", 0, 1), ("b", 3, 2), ("b", 6, 3)]
+    first = review.within_budget(rows, "g", ["i"], F.col("n"), 100, considered=4, max_kept=1)
+    assert first.count() == 2
+    a = rows.where("g = 'a'")
+    assert [r.running for r in review.prefix_budget(a, "i", F.col("n"), 1000, batch=3).orderBy("i").collect()][-1] <= 1000
+    assert review.prefix_budget(a, "i", F.col("n"), 10**6, batch=7).count() == 301
+
+
+def test_candidates_rank_all_matches(spark):
+    rows = spark.createDataFrame([("e", i, int(i == 39), "f", i) for i in range(40)], "endpoint_id string, ord int, literal_count int, file string, line int")
+    best = mapping.ranked_candidates(rows, 2).orderBy("rank").collect()
+    assert [r.ord for r in best] == [39, 0]

@@ -101,7 +101,7 @@ def tokens_from_documents(spark, sf):
     token = F.concat(segment(header), F.lit("."), segment(payload), F.lit(".sig"))
     items = fx.td_items(spark, sf)
     return items.withColumn(
-        "response_raw", F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), F.substring("response_body", 1, 200), F.lit(" "), token)
+        "response_raw", F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), F.col("response_body"), F.lit(" "), token)
     )
 
 

@@ -282,14 +282,17 @@ def redact_message(spark, sf):
     return fx.te_messages(spark, sf).select("idx", redact.message(_request()).alias("message"))
 
 
-@query("r05_items", f"""with {fx.TI} select idx, url, path, slug, length(request_body) > 0 as has_body, 0 as leaks from ti""")
+@query("r05_items", f"""with {fx.TI} select idx, url, path, slug, {fx.MASKED_BODY} as request_body,
+  case when response_body like '{{%' then replace(response_body, ':', ': ') else response_body end as response_body,
+  method || ' ' || path || case when query <> '' then '?' || query else '' end || ' HTTP/1.1' || chr(13) || chr(10) || {_MASKED_HEADERS}
+  || chr(13) || chr(10) || chr(13) || chr(10) || {fx.MASKED_BODY} as request_raw, 0 as leaks from ti""")
 def redact_items(spark, sf):
     """Every field of every item; ``leaks`` counts secrets still visible anywhere."""
     masked = dedup.redact_items(fx.te_items(spark, sf))
     everything = F.to_json(F.struct(*masked.columns))
     leak = everything.rlike(r"Bearer u\d|sid=s\d|password=p|theme=dark|token[\\\": ]+t\d")
     return masked.select(
-        F.col("index").alias("idx"), "url", "path", "slug", (F.length("request_body") > 0).alias("has_body"), leak.cast("int").alias("leaks")
+        F.col("index").alias("idx"), "url", "path", "slug", "request_body", "response_body", "request_raw", leak.cast("int").alias("leaks")
     )
 
 

@@ -112,8 +112,8 @@ _FILES = ", ".join(f"('{r[0]}', '{r[4]}', {r[5]}, {int(r[0][1:])})" for r in ROU
 
 
 @query("w15_candidates", f"""with {_PAGES}, {_MATCH}, f(route_id, file, line, ord) as (values {_FILES}),
-  o as (select m.*, file, line, ord, row_number() over (partition by method, origin, path order by ord) as position from m join f using (route_id))
-  select method, origin, path, route_id, cast(row_number() over (partition by method, origin, path order by literal_count desc, file, line) as int) as rank from o where position <= 30""")
+  o as (select m.*, file, line, ord, row_number() over (partition by method, origin, path order by literal_count desc, file, line, ord) as rank from m join f using (route_id))
+  select method, origin, path, route_id, cast(rank as int) as rank from o where rank <= 30""")
 def candidates(spark, sf):
     endpoints, matches = mapped(spark, sf, fx.tp_items(spark, sf))
     return _shown(endpoints, mapping.ranked_candidates(matches), "rank")
@@ -122,7 +122,7 @@ def candidates(spark, sf):
 # -- mounts, imports ---------------------------------------------------------
 @query("j14_mounts", """with recursive t as (select c_custkey as id, '/n' || c_custkey as full_prefix, 0 as depth from customer where c_custkey = 1
   union all select c.c_custkey, t.full_prefix || '/m' || c.c_custkey || case when c.c_custkey % 5 = 0 then '' else '/n' || c.c_custkey end, depth + 1
-   from t join customer c on c.c_custkey // 2 = t.id and c.c_custkey > 1 where depth < 12)
+   from t join customer c on c.c_custkey // 2 = t.id and c.c_custkey > 1)
   select id as node_id, full_prefix, depth from t""")
 def mounts(spark, sf):
     """A router tree over the customers: parent = key div 2, every fifth mount overrides the child's prefix."""
@@ -136,7 +136,7 @@ def mounts(spark, sf):
 
 
 @query("j14_composed_routes", """with recursive t as (select c_custkey as id, '/n' || c_custkey as full_prefix, 0 as depth from customer where c_custkey = 1
-  union all select c.c_custkey, t.full_prefix || '/n' || c.c_custkey, depth + 1 from t join customer c on c.c_custkey // 2 = t.id and c.c_custkey > 1 where depth < 12)
+  union all select c.c_custkey, t.full_prefix || '/n' || c.c_custkey, depth + 1 from t join customer c on c.c_custkey // 2 = t.id and c.c_custkey > 1)
   select id as node_id, full_prefix || '/' || lower(c_mktsegment) as path from t join customer on c_custkey = id""")
 def composed_routes(spark, sf):
     customers = fx.table(spark, sf, "customer").where("c_custkey > 0").withColumnRenamed("c_custkey", "node_id")
@@ -253,7 +253,7 @@ def excerpts(spark, sf):
     return review.excerpts(files, hits).select("evidence_id", "file", "start", "line", "truncated")
 
 
-@query("w08_prefix_budget", """with f as (select doc_id, length(text) as size from documents order by doc_id limit 100),
+@query("w08_prefix_budget", """with f as (select doc_id, length(text) as size from documents),
   r as (select doc_id, size, sum(size) over (order by doc_id) as running from f) select doc_id, size, cast(running as bigint) as running from r where running <= 60000""")
 def prefix_budget(spark, sf):
     docs = fx.table(spark, sf, "documents")
@@ -264,12 +264,12 @@ def prefix_budget(spark, sf):
    row_number() over (partition by source, lang order by doc_id) as position from documents),
   t as (select grp, position, size, case when size <= 55000 then size else 0 end as used, size <= 55000 as kept from d where position = 1
    union all select d.grp, d.position, d.size, t.used + case when t.used + d.size <= 55000 then d.size else 0 end, t.used + d.size <= 55000
-   from t join d on d.grp = t.grp and d.position = t.position + 1 where d.position <= 64)
-  select grp, cast(position as int) as position, size from t where kept""")
+   from t join d on d.grp = t.grp and d.position = t.position + 1)
+  select grp, cast(row_number() over (partition by grp order by position) as int) as position, size from t where kept""")
 def greedy_budget(spark, sf):
-    """Per source and language, over each group's first 64 documents (the bounded context's own limit)."""
+    """Per source and language, over all documents."""
     docs = fx.table(spark, sf, "documents").withColumn("grp", F.concat("source", F.lit("."), "lang"))
-    kept = review.within_budget(docs, "grp", ["doc_id"], F.length("text"), 55_000, 64)
+    kept = review.within_budget(docs, "grp", ["doc_id"], F.length("text"), 55_000)
     return kept.select("grp", "position", "size")
 
 
@@ -280,7 +280,7 @@ def item_context(spark, sf):
 
 @query("t07_corpus_context")
 def corpus_context(spark, sf):
-    return context.corpus_context(fx.td_items(spark, sf), considered=500).select("position", "slug", "record", "size")
+    return context.corpus_context(fx.td_items(spark, sf)).select("position", "slug", "record", "size")
 
 
 @query("w05_sample_records")

@@ -94,10 +94,10 @@ def tool_and_host(spark, sf):
     return _idx(filters.items_by_host(filters.items_by_tool(fx.te_items(spark, sf), "repeater"), "h2.example.test"))
 
 
-@query("w16_first_items", f"with {fx.TE} select idx from te order by idx limit 5000")
+@query("w16_first_items", f"with {fx.TE} select idx from te")
 def first_items(spark, sf):
-    """The optional item limit (off by default) at the size one process can hold."""
-    return _idx(filters.first_items(fx.te_items(spark, sf), 5000))
+    """The item limit is off by default: every item stays."""
+    return _idx(filters.first_items(fx.te_items(spark, sf)))
 
 
 # -- composite and presets ---------------------------------------------------
@@ -219,7 +219,7 @@ def validity(spark, sf):
         .when(F.col("index") % 17 == 0, F.concat("url", F.repeat(F.lit("a"), F.lit(9000))))
         .otherwise(F.col("url")),
     )
-    return filters.validity(mixed).select(F.col("index").alias("idx"), "reject_reason")
+    return filters.validity(mixed, max_url=8192).select(F.col("index").alias("idx"), "reject_reason")
 
 
 @query("s07_coverage", f"with {fx.TE} select count(*) filter (where method <> 'PUT') as indexed, count(*) as declared, count(*) filter (where method <> 'PUT') = count(*) as complete from te")

@@ -227,10 +227,9 @@ def conversation_roles(spark, sf):
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("transitions"))
 
 
-@query("w02_noise", f"with {_STEPS} select * from tr where transitions >= case when (select count(*) from ti) > 50 then 2 else 1 end")
+@query("w02_noise", f"with {_STEPS} select * from tr where transitions >= 2")
 def noise(spark, sf):
-    items = fx.te_items(spark, sf)
-    return journeys.drop_noise(journeys.transitions(items), items)
+    return journeys.drop_noise(journeys.transitions(fx.te_items(spark, sf)))
 
 
 @query("w03_top_transitions", f"with {_STEPS} select * from tr order by transitions desc, src, dst limit 50")
