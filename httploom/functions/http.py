@@ -299,8 +299,8 @@ def generalise(endpoint_text: Column) -> Column:
 
 
 # -- sessions ----------------------------------------------------------------
-def session_tag(headers: Column, url: Column) -> Column:
-    """Short bucket label from auth headers, else from session-like query keys."""
+def _session_sources(headers: Column, url: Column) -> Column:
+    """``name:value`` of the auth headers, else of session-like query keys."""
     from_headers = F.transform(
         F.filter(headers, lambda h: F.lower(h["name"]).isin(*names.AUTH_HEADERS)),
         lambda h: F.concat(F.lower(h["name"]), F.lit(":"), h["value"]),
@@ -312,10 +312,28 @@ def session_tag(headers: Column, url: Column) -> Column:
         ),
         lambda p: F.concat(p["name"], F.lit(":"), p["value"]),
     )
-    sources = F.when(F.size(from_headers) > 0, from_headers).otherwise(from_query)
+    return F.when(F.size(from_headers) > 0, from_headers).otherwise(from_query)
+
+
+def _session_name(sources: Column, digits: int) -> Column:
     joined = F.array_join(F.array_sort(sources), "|")
     return F.when(F.size(sources) == 0, F.lit("session_anon")).otherwise(
-        F.concat(F.lit("session_"), F.substring(F.sha2(joined.cast("binary"), 256), 1, 8))
+        F.concat(F.lit("session_"), F.substring(F.sha2(joined.cast("binary"), 256), 1, digits))
+    )
+
+
+def session_tag(headers: Column, url: Column) -> Column:
+    """Short bucket label from auth headers, else from session-like query keys; for display."""
+    return _session_name(_session_sources(headers, url), 8)
+
+
+def session_key(tag: Column, headers: Column, url: Column) -> Column:
+    """The tag with the whole hash, for grouping: 32 bits collide from some 80,000 sessions on.
+
+    A tag that does not come from these headers and this URL (another tool's, or of masked items) is its own key.
+    """
+    return tx.let(
+        _session_sources(headers, url), lambda s: F.when(tag == _session_name(s, 8), _session_name(s, 64)).otherwise(tag)
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import http, urls
@@ -34,14 +34,36 @@ def client_assets(items: DataFrame) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, order_col: str = "index", bits: int = ordering.PIECE_BITS) -> DataFrame:
-    """``name.ext``, ``name_1.ext``, ... in order; a name everybody uses is numbered piece by piece."""
+    """``name.ext``, ``name_1.ext``, ... in order; numbers that another file's own name uses are passed over.
+
+    A name everybody uses is numbered piece by piece. Of the names that use a number of another name, only
+    the ends of runs of used numbers are kept per name.
+    """
     numbered = ordering.group_row_number(rows, ["file_name"], order_col, "_copy", start=0, bits=bits)
     stem = F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1)
     extension = F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    unique = F.when(F.col("_copy") == 0, F.col("file_name")).otherwise(
-        F.concat(stem, F.lit("_"), F.col("_copy").cast("string"), extension)
+    suffixed = r"^(.*)_([1-9][0-9]{0,17})((?:\.[^.]*)?)$"
+    used = rows.select("file_name").distinct().where(F.col("file_name").rlike(suffixed)).select(
+        F.concat(F.regexp_extract("file_name", suffixed, 1), F.regexp_extract("file_name", suffixed, 3)).alias("file_name"),
+        F.regexp_extract("file_name", suffixed, 2).cast("long").alias("_number"),
+    )
+    repeated = numbered.where("_copy = 1").select("file_name")
+    place = F.row_number().over(Window.partitionBy("file_name").orderBy("_number"))
+    # With j used numbers up to u_j, the copy that comes after u_j - j others moves on by j.
+    shifts = (
+        used.join(repeated, "file_name", "left_semi")
+        .withColumn("_moved", place)
+        .groupBy("file_name", (F.col("_number") - F.col("_moved")).alias("_others"))
+        .agg(F.max("_moved").alias("_moved"))
+        .groupBy("file_name")
+        .agg(F.collect_list(F.struct("_others", "_moved")).alias("_shifts"))
     )
-    return numbered.withColumn("unique_name", unique).drop("_copy")
+    known = ordering.lookup_join(numbered, shifts, ["file_name"], [order_col], "left")
+    passed = F.filter("_shifts", lambda s: s["_others"] < F.col("_copy"))
+    moved = F.coalesce(F.array_max(F.transform(passed, lambda s: s["_moved"])), F.lit(0))
+    number = (F.col("_copy") + moved).cast("string")
+    unique = F.when(F.col("_copy") == 0, F.col("file_name")).otherwise(F.concat(stem, F.lit("_"), number, extension))
+    return known.withColumn("unique_name", unique).drop("_copy", "_shifts")
 
 
 def script_routes(scripts: DataFrame, prefix: str = "/api/") -> DataFrame:

@@ -361,11 +361,11 @@ def api_key_endpoints(items: DataFrame) -> DataFrame:
 
 
 def api_secret_findings(items: DataFrame) -> DataFrame:
-    """One finding per host. The endpoints stay a table (``api_key_endpoints``): a host may have any number."""
-    per_host = api_key_endpoints(items).groupBy("host").agg(F.min("index").alias("ord"), F.min_by("endpoint", "index").alias("first"))
+    """One finding per host and endpoint, so that none is left out and no array grows with the traffic."""
+    per_endpoint = api_key_endpoints(items).groupBy("host", "endpoint").agg(F.min("index").alias("ord"))
     return _grouped(
-        "api_secrets", per_host, "Sensitive Data", "High", F.lit("API Secrets Discovered"),
-        F.lit("Potential API keys (GitHub, Slack, etc.) were found in the HTTP traffic."), F.array("first"),
+        "api_secrets", per_endpoint, "Sensitive Data", "High", F.lit("API Secrets Discovered"),
+        F.lit("Potential API keys (GitHub, Slack, etc.) were found in the HTTP traffic."), F.array("endpoint"),
     )
 
 

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import http, names, urls
 from . import ordering
 
-FLOW_KEYS = ["host", "session_tag", "value"]
+FLOW_KEYS = ["host", "session", "value"]
+
+
+def _session():
+    return http.session_key(F.col("session_tag"), F.col("request_headers"), F.col("url")).alias("session")
 
 
 def transitions(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
     """Counts of (src, dst) generalised endpoints following each other within a host's session."""
     steps = items.select(
         "host",
-        http.journey_session(F.col("session_tag"), F.col("request_headers")).alias("session"),
+        http.journey_session(_session(), F.col("request_headers")).alias("session"),
         "index",
         http.generalise(http.endpoint(F.col("method"), F.col("path"))).alias("endpoint"),
     )
@@ -45,8 +49,9 @@ def response_values(items: DataFrame) -> DataFrame:
     found = F.array_distinct(F.concat(uuids, _json_ids("response_body")))
     return (
         items.where(F.col("response_body") != "")
+        .withColumn("session", _session())
         .select(
-            "host", "session_tag", "index", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"),
+            "host", "session", "index", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"),
             F.explode(found).alias("value"),
         )
         .groupBy(*FLOW_KEYS)
@@ -67,11 +72,11 @@ def request_values(items: DataFrame) -> DataFrame:
     )
     in_body = tagged(lambda v: F.lit("body_json"), _json_ids("request_body"))
     used = F.filter(F.concat(in_path, in_query, in_body), lambda u: u["value"] != "")
-    return items.select(
-        "host", "session_tag", F.col("index").alias("target_item"),
+    return items.withColumn("session", _session()).select(
+        "host", "session", F.col("index").alias("target_item"),
         http.endpoint(F.col("method"), F.col("path")).alias("target_endpoint"), F.posexplode(used).alias("pos", "u"),
     ).select(
-        "host", "session_tag", "target_item", "target_endpoint", "pos",
+        "host", "session", "target_item", "target_endpoint", "pos",
         F.col("u.context").alias("target_context"), F.col("u.value").alias("value"),
     )
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, redact, urls
+from ..functions import http, names, redact, urls
 from ..functions import text as tx
 from ..session import scratch
 from . import ordering
@@ -16,17 +16,21 @@ ENDPOINT_KEYS = ["method", "origin", "path"]
 
 
 # -- endpoints and samples ---------------------------------------------------
+def _session() -> Column:
+    return http.session_key(F.col("session_tag"), F.col("request_headers"), F.col("url")).alias("session")
+
+
 def _visits(items: DataFrame) -> DataFrame:
     url = F.col("url")
     return items.select(
         F.upper("method").alias("method"), urls.origin(url).alias("origin"), tx.or_else(urls.path(url), "/").alias("path"),
-        "status", "session_tag", "index",
+        "status", _session(), "index",
     )
 
 
 def endpoints(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
     """One row per (method, origin, path): id by first appearance, captures, distinct status/session variants."""
-    per_variant = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session_tag").agg(
+    per_variant = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session").agg(
         F.count(F.lit(1)).alias("n"), F.min("index").alias("first_index")
     )
     rolled = per_variant.groupBy(*ENDPOINT_KEYS).agg(
@@ -37,28 +41,34 @@ def endpoints(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
 
 
 def session_groups(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
-    """Anonymous ``session-group-n`` names for session tags, by first appearance."""
-    firsts = items.where(F.col("session_tag") != "").groupBy("session_tag").agg(F.min("index").alias("first_index"))
+    """Anonymous ``session-group-n`` names for session keys, by first appearance."""
+    firsts = items.where(F.col("session_tag") != "").groupBy(_session()).agg(
+        F.min("index").alias("first_index"), F.min("session_tag").alias("session_tag")
+    )
     numbered = ordering.sequential_index(firsts, "first_index", "number", bits=bits)
-    return numbered.select("session_tag", F.concat(F.lit("session-group-"), "number").alias("session_group"))
+    return numbered.select("session", "session_tag", F.concat(F.lit("session-group-"), "number").alias("session_group"))
 
 
 def samples(items: DataFrame, limit: int = 3) -> DataFrame:
     """First item of each (status, session) variant, at most ``limit`` variants per endpoint."""
-    variants = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session_tag").agg(F.min("index").alias("index"))
+    variants = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session").agg(F.min("index").alias("index"))
     chosen = ordering.smallest_per_group(variants, ENDPOINT_KEYS, [F.col("index")], limit)
-    named = ordering.lookup_join(chosen, session_groups(items), ["session_tag"], ["index"], "left")
+    named = ordering.lookup_join(chosen, session_groups(items).drop("session_tag"), ["session"], ["index"], "left")
     return named.select(
         *ENDPOINT_KEYS, F.col("rank").cast("long").alias("rank"), "status",
         F.coalesce("session_group", F.lit("unknown")).alias("session_group"), "index",
     )
 
 
-def sample_records(items: DataFrame, limit: int = 3) -> DataFrame:
-    """Samples with masked, bounded content: bodies to 2,400 characters, headers to 4,000."""
+def sample_records(items: DataFrame, limit: int = 3, body_limit: int | None = None) -> DataFrame:
+    """Samples with masked content; bodies are cut at ``body_limit`` where a caller sets it, header JSON never."""
 
     def header_text(column: str) -> Column:
-        return F.substring(F.to_json(F.map_from_entries(redact.headers(F.col(column)))), 1, 4000)
+        return F.to_json(F.map_from_entries(redact.headers(F.col(column))))
+
+    def body_text(column: str) -> Column:
+        masked = redact.message(F.col(column))
+        return masked if body_limit is None else F.substring(masked, 1, body_limit)
 
     content = items.select(
         "index",
@@ -67,9 +77,9 @@ def sample_records(items: DataFrame, limit: int = 3) -> DataFrame:
         F.sha2(F.concat("request_raw", F.lit("\n"), "response_raw").cast("binary"), 256).alias("hash"),
         redact.url(F.col("url")).alias("url"),
         header_text("request_headers").alias("request_headers"),
-        F.substring(redact.message(F.col("request_body")), 1, 2400).alias("request_body"),
+        body_text("request_body").alias("request_body"),
         header_text("response_headers").alias("response_headers"),
-        F.substring(redact.message(F.col("response_body")), 1, 2400).alias("response_body"),
+        body_text("response_body").alias("response_body"),
     )
     return samples(items, limit).join(content, "index")
 

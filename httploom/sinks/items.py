@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import http
@@ -74,15 +74,14 @@ def arranged(items: DataFrame, layout: str, include_host: bool = False) -> tuple
 def write_items(items: DataFrame, path: str, layout: str = "flat", fmt: str = "json", include_host: bool = False) -> None:
     """Write items in a layout. An existing target is refused, an empty selection is an error.
 
-    Rows are counted while they are written, so the selection runs once.
+    Emptiness is tested on one narrow column first, so a refused call leaves nothing behind.
     """
-    written = Observation("written")
-    rows, partition = arranged(items.observe(written, F.count(F.lit(1)).alias("items")), layout, include_host)
+    if items.select("index").isEmpty():
+        raise ValueError("No items match the selection")
+    rows, partition = arranged(items, layout, include_host)
     if fmt == "json":
         rows = nested(rows, *partition, *(["path_segments"] if layout == "site_map" else []))
     rows.write.mode("errorifexists").partitionBy(*partition).format(fmt).save(path)
-    if written.get["items"] == 0:
-        raise ValueError("No items match the selection")
 
 
 # -- snapshot ----------------------------------------------------------------

@@ -716,3 +716,18 @@ def test_candidates_rank_all_matches(spark):
     rows = spark.createDataFrame([("e", i, int(i == 39), "f", i) for i in range(40)], "endpoint_id string, ord int, literal_count int, file string, line int")
     best = mapping.ranked_candidates(rows, 2).orderBy("rank").collect()
     assert [r.ord for r in best] == [39, 0]
+
+
+def test_unique_names_are_unique(spark):
+    given = ["a.js", "a.js", "a_1.js", "a_2.js", "a.js", "a_4.js", "a.js", "a.js", "b", "b", "b_1", "a_1.js", "c_01.js", "c.js", "c.js", "d_1_1.js", "d_1.js", "d_1.js"]
+    rows = spark.createDataFrame(list(enumerate(given)), "index long, file_name string")
+    names = [r.unique_name for r in assets.unique_names(rows, bits=2).orderBy("index").collect()]
+    assert len(set(names)) == len(names)
+    assert names == ["a.js", "a_3.js", "a_1.js", "a_2.js", "a_5.js", "a_4.js", "a_6.js", "a_7.js", "b", "b_2", "b_1", "a_1_1.js", "c_01.js", "c.js", "c_1.js", "d_1_1.js", "d_1.js", "d_1_2.js"]
+
+
+def test_sessions_are_grouped_by_the_whole_hash(spark):
+    rows = items(spark, {"request_headers": {"Cookie": "a"}}, {"request_headers": {"Cookie": "b"}}, {"session_tag": "mine"})
+    tagged = rows.withColumn("session_tag", F.coalesce(F.nullif("session_tag", F.lit("")), http.session_tag(F.col("request_headers"), F.col("url"))))
+    keys = [r.k for r in tagged.orderBy("index").select(http.session_key(F.col("session_tag"), F.col("request_headers"), F.col("url")).alias("k")).collect()]
+    assert [len(k) for k in keys] == [72, 72, 4] and len(set(keys)) == 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from httploom.functions import http
@@ -364,22 +365,36 @@ def snapshot(spark, sf):
     return rows.select("item_index", "slug", "tool", "url", "host", "status", "sha256", "request_raw", "response_raw", "response_headers")
 
 
-@query("k09_refusals", "select true as target_refused, true as empty_refused from events limit 1")
+@query("k09_refusals", f"with {fx.TE} select tool, count(*) as kept, true as target_refused, true as empty_refused, true as nothing_left from te group by tool")
 def refusals(spark, sf):
-    """An existing target and an empty selection are both errors."""
+    """An existing target and an empty selection are errors; the target keeps its rows, the empty selection leaves no folder."""
     items = fx.te_items(spark, sf)
     path = scratch(spark, "refused")
     sink.write_items(items, path, "flat")
 
-    def refused(df, target):
+    def refused(df, target, kind):
         try:
             sink.write_items(df, target, "flat")
-        except Exception:
+        except kind:
             return True
         return False
 
-    outcome = (refused(items, path), refused(items.where("status = 'none'"), scratch(spark, "empty")))
-    return items.limit(1).select(F.lit(outcome[0]).alias("target_refused"), F.lit(outcome[1]).alias("empty_refused"))
+    empty = scratch(spark, "empty")
+    outcome = {
+        "target_refused": refused(items, path, AnalysisException),
+        "empty_refused": refused(items.where("status = 'none'"), empty, ValueError),
+        "nothing_left": refused_read(spark, empty),
+    }
+    kept = spark.read.json(path).groupBy("metadata.tool").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.select("tool", "kept", *[F.lit(v).alias(k) for k, v in outcome.items()])
+
+
+def refused_read(spark, path):
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return True
+    return False
 
 
 @query("k10_artifacts", f"with {fx.TI} select count(*) as n from ti where status like '2%' and user_id % 3 = 0 and user_id % 2 <> 0")
@@ -389,12 +404,12 @@ def artifacts(spark, sf):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k11_published_build", f"with {fx.TE} select idx from te where idx % 3 = 0")
+@query("k11_published_build", f"with {fx.TE} select idx from te where idx % 3 <> 1")
 def published_build(spark, sf):
     root = scratch(spark, "build")
     rows = fx.te_items(spark, sf).select(F.col("index").alias("idx"))
     sink.publish_build(rows.where("idx % 3 = 1"), root)
-    sink.publish_build(rows.where("idx % 3 = 0"), root)
+    sink.publish_build(rows.where("idx % 3 <> 1"), root)
     return sink.read_build(spark, root)
 
 

@@ -216,7 +216,7 @@ def api_key_endpoints(spark, sf):
 
 @query("d12_api_secrets", f"""with {fx.TD} select 'Sensitive Data' as category, 'High' as severity, 'API Secrets Discovered' as title,
   'Potential API keys (GitHub, Slack, etc.) were found in the HTTP traffic.' as detail, host,
-  arg_min(method || ' ' || path, idx) as slug from td where {_KEYED} group by host""")
+  method || ' ' || path as slug from td where {_KEYED} group by host, method || ' ' || path""")
 def api_secrets(spark, sf):
     return shown(fd.api_secret_findings(keyed_documents(spark, sf)))
 

@@ -198,7 +198,7 @@ _GROUPS = "g as (select session_tag, 'session-group-' || row_number() over (orde
 
 @query("w06_session_groups", f"with {fx.TI}, {_GROUPS} select * from g")
 def session_groups(spark, sf):
-    return mapping.session_groups(fx.te_items(spark, sf), bits=6)
+    return mapping.session_groups(fx.te_items(spark, sf), bits=6).drop("session")
 
 
 @query("w05_samples", f"""with {fx.TI}, {_GROUPS}, v as (select method, host, path, status, session_tag, min(idx) as idx from ti group by all),
