@@ -113,21 +113,22 @@ FALSE_ALARMS = 0.001
 def rules(m: Callable[[str], Column]) -> dict[str, Column]:
     """Vote of each rule on the measures ``m(name)``; documents without words get no vote but ``length``'s."""
     n = m("n_words")
-    some = n > 0
-    mean = m("word_chars") / n
-    share = lambda name, of: m(name) / m(of)
 
     def vote(good: Column, bad: Column) -> Column:
-        return F.when(some & bad, F.lit(BAD)).when(some & good, F.lit(GOOD)).otherwise(F.lit(ABSTAIN))
+        return F.when((n > 0) & bad, F.lit(BAD)).when((n > 0) & good, F.lit(GOOD)).otherwise(F.lit(ABSTAIN))
+
+    def by_share(name: str, of: str, good: float, bad: float) -> Column:
+        """Good up to one share of ``of``, bad beyond another; products, so that nothing is divided by 0."""
+        return vote(m(name) <= good * m(of), m(name) > bad * m(of))
 
     return {
         "length": F.when(n < 10, F.lit(BAD)).when(n >= 50, F.lit(GOOD)).otherwise(F.lit(ABSTAIN)),
-        "word_length": vote((mean >= 3) & (mean <= 10), (mean < 2) | (mean > 15)),
-        "symbols": vote(share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.1),
-        "dup_lines": vote(m("n_dup_lines") == 0, share("n_dup_lines", "n_lines") > 0.5),
-        "repeats": vote(share("n_repeat_words", "n_words") <= 0.02, share("n_repeat_words", "n_words") > 0.2),
-        "capitals": vote(share("n_capitals", "word_chars") <= 0.1, share("n_capitals", "word_chars") > 0.3),
-        "calls": vote(share("n_calls", "n_words") <= 0.02, share("n_calls", "n_words") > 0.1),
+        "word_length": vote((m("word_chars") >= 3 * n) & (m("word_chars") <= 10 * n), (m("word_chars") < 2 * n) | (m("word_chars") > 15 * n)),
+        "symbols": by_share("n_symbols", "n_words", 0.02, 0.1),
+        "dup_lines": by_share("n_dup_lines", "n_lines", 0.0, 0.5),
+        "repeats": by_share("n_repeat_words", "n_words", 0.02, 0.2),
+        "capitals": by_share("n_capitals", "word_chars", 0.1, 0.3),
+        "calls": by_share("n_calls", "n_words", 0.02, 0.1),
         "variety": vote(m("n_distinct") >= 4 * F.sqrt(n), m("n_distinct") <= 1.5 * F.sqrt(n)),
     }
 
@@ -192,27 +193,30 @@ def with_verdicts(measured_rows: DataFrame, threshold: float, into: str) -> Data
     return measured_rows.withColumn(into, scored).withColumn(into, F.col(into).withField("kept", kept))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, into: str = "_quality") -> DataFrame:
     """Rows of ``docs`` with a struct column ``into``: measures, ``base_failed``, ``p_good`` and ``kept``.
 
     ``base_failed``: under 10 words, or over 20 % of the words in repeated windows. ``p_good`` is the posterior of
     the rule votes, ``kept`` is false for failed documents and ``p_good >= threshold`` for others.
 
-    The documents are scanned twice: for the counts of vote patterns, and for the result; nothing is shuffled but
-    one row per pattern and task. Null text counts as empty and fails; repeated rows are judged alike; an empty table
-    gives no rows; a column of ``docs`` named like ``into`` or ``into`` + ``_raw`` is replaced.
+    Rows and measures are written once to a table below the shared root, so that filters on the verdict read measures
+    and do not compute them; nothing is shuffled but one row per vote pattern and task. Null text counts as empty and
+    fails; repeated rows are judged alike; an empty table gives no rows; a column of ``docs`` named like ``into`` or
+    ``into`` + ``_raw`` is replaced.
     """
-    return with_verdicts(measured(docs, text_col, into), threshold, into)
+    return with_verdicts(_stored(measured(docs, text_col, into), "judged"), threshold, into)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``(id, measures ..., base_failed, p_good, kept)`` per document row, as ``judged`` gives them.
-
-    The texts are scanned once: the measures are written to a table below the shared root, which has no texts. Null ids
-    stay; other columns are ignored.
+    """``(id, measures ..., base_failed, p_good, kept)`` per document row, as ``judged`` gives them; only ids and
+    measures are written in between. Null ids stay; other columns are ignored.
     """
-    spark = docs.sparkSession
-    path = scratch(spark, "measures")
-    narrow = measured(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "m").select("id", "m")
-    narrow.write.parquet(path)
-    return with_verdicts(spark.read.schema(narrow.schema).parquet(path), threshold, "m").select(F.col("id").alias(id_col), "m.*")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = _stored(measured(rows, "text", "m").select("id", "m"), "measures")
+    return with_verdicts(narrow, threshold, "m").select(F.col("id").alias(id_col), "m.*")
