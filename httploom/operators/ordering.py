@@ -25,17 +25,20 @@ def group_row_number(
 ) -> DataFrame:
     """``row_number`` per group (or overall, with no keys) over a unique long, one piece per task.
 
-    The unpartitioned window runs over piece sizes only: rows / 2**bits of them.
+    Only keys and order values are numbered, in windows of at most 2**bits such rows; whole rows meet their number in a
+    join on the unique order value, spread by its hash, however wide they are. The unpartitioned window runs over
+    piece sizes only: rows / 2**bits of them.
     """
-    pieces = df.withColumn("_piece", _piece(order_col, bits))
+    pieces = df.select(*keys, order_col).withColumn("_piece", _piece(order_col, bits))
     sizes = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*keys, "_piece").orderBy(order_col)
-    numbered = pieces.join(offsets, [*keys, "_piece"]).withColumn(
-        "_number", F.row_number().over(within) + F.col("_offset") + F.lit(start - 1)
+    numbers = pieces.join(offsets, [*keys, "_piece"]).select(
+        F.col(order_col).alias("_ordered"), (F.row_number().over(within) + F.col("_offset") + F.lit(start - 1)).alias("_number")
     )
-    return numbered.drop("_piece", "_offset", out).withColumnRenamed("_number", out)
+    joined = df.join(numbers, F.col(order_col) == F.col("_ordered")).drop("_ordered")
+    return joined.drop(out).withColumnRenamed("_number", out)
 
 
 def sequential_index(

@@ -72,6 +72,14 @@ def test_first_rows_per_group_are_cut_before_the_shuffle(spark):
         assert "WindowGroupLimit" in plan(df)
 
 
+def test_no_window_carries_bodies(spark):
+    items = fx.te_items(spark, SF_DIR)
+    for df in (dedup.reindex(items), dedup.union_captures(items, items)):
+        for node in plan(df).split("\n\n"):
+            if "Window" in node.split("\n")[0]:
+                assert "request_raw" not in node and "response_body" not in node
+
+
 def test_top_k_is_not_a_full_sort(spark):
     items = fx.te_items(spark, SF_DIR)
     index = fx.table(spark, SF_DIR, "embeddings").withColumnRenamed("vec_id", "id")

@@ -413,7 +413,8 @@ def published_build(spark, sf):
     return sink.read_build(spark, root)
 
 
-@query("f10_preset_redacted_sessions")
+@query("f10_preset_redacted_sessions", f"""with {fx.TI}, first as (select url, request_raw, response_raw, min(idx) as idx from ti group by all)
+  select session_tag as session_dir, count(*) as items from ti join first using (idx) group by session_tag""")
 def preset_redacted(spark, sf):
     kept = composite.apply(fx.te_items(spark, sf), composite.preset("redacted", "by_session"))
     session = http.safe_dirname(F.col("session_tag"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from httploom.functions import names
 from httploom.functions import text as tx
 from httploom.operators import context, mapping, review
 
@@ -273,16 +274,57 @@ def greedy_budget(spark, sf):
     return kept.select("grp", "position", "size")
 
 
-@query("t07_item_context")
+_QUOTED = lambda text: f"cast(to_json({text}) as varchar)"
+# Response texts as masking leaves them: JSON bodies are written anew with a blank after each colon.
+_TE_RESPONSE = "case when response_body like '{%' then replace(response_body, ':', ': ') else response_body end"
+
+
+def _record(slug: str, url: str, request: str, response: str) -> str:
+    return (
+        f"""'{{"item":"' || {slug} || '","method":"' || method || '","url":"' || {url} || '","status":"' || status || """
+        f"""'","request":' || {_QUOTED(request)} || ',"response":' || {_QUOTED(response)} || '}}'"""
+    )
+
+
+@query("t07_item_context", f"""with {fx.TI}, r as (select idx as index, slug, {_record('slug', 'url', fx.MASKED_BODY, _TE_RESPONSE)} as record from ti),
+  s as (select *, cast(sum(length(record)) over (order by index) as bigint) as running from r) select * from s where running <= 60000""")
 def item_context(spark, sf):
     return context.item_context(fx.te_items(spark, sf)).select("index", "slug", "record", "running")
 
 
-@query("t07_corpus_context")
+_MASKED_DOCUMENT = "response_body"
+for _pattern, _mask in (
+    (r"(?m)^([^:\r\n]*(?:" + names.SECRET_NAME.replace("(?i)", "(?i:") + r"))[^:\r\n]*):[^\S\r\n]*.*$", r"\1: " + names.MASK),
+    (names.SECRET_ASSIGNMENT, r"\1" + names.MASK),
+    (names.SECRET_TOKEN, names.MASK),
+):
+    _MASKED_DOCUMENT = "regexp_replace({}, '{}', '{}', 'g')".format(_MASKED_DOCUMENT, _pattern.replace("'", "''"), _mask)
+_TD_SLUG = "printf('%04d', idx) || '_GET_docs_' || ((idx - 1) % 100)"
+
+
+@query("t07_corpus_context", f"""with recursive {fx.TD}, r as (select idx, {_TD_SLUG} as slug, {_record(_TD_SLUG, "''", "''", _MASKED_DOCUMENT)} as record from td),
+  d as (select *, length(record) + 1 as size, row_number() over (order by slug, idx) as p from r),
+  t as (select p, size, slug, record, case when size <= 48000 then size else 0 end as used, case when size <= 48000 then 1 else 0 end as n, size <= 48000 as kept from d where p = 1
+   union all select d.p, d.size, d.slug, d.record, t.used + case when t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50 then d.size else 0 end,
+    t.n + case when t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50 then 1 else 0 end, t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50
+   from t join d on d.p = t.p + 1)
+  select cast(row_number() over (order by p) as int) as position, slug, record, size from t where kept""")
 def corpus_context(spark, sf):
     return context.corpus_context(fx.td_items(spark, sf)).select("position", "slug", "record", "size")
 
 
-@query("w05_sample_records")
+def _header_json(text: str) -> str:
+    merged = f"regexp_replace({text}, '(Set-Cookie: [^\\n]*)\\nSet-Cookie: [^\\n]*', '\\1')"
+    entry = """'"' || split_part(h, ': ', 1) || '":"' || case when split_part(h, ': ', 1) in ('Authorization', 'Cookie', 'Set-Cookie') then '[REDACTED]' else substr(h, instr(h, ': ') + 2) end || '"'"""
+    return f"'{{' || array_to_string(list_transform(string_split({merged}, chr(10)), lambda h: {entry}), ',') || '}}'"
+
+
+@query("w05_sample_records", f"""with {fx.TI}, g as (select session_tag, 'session-group-' || row_number() over (order by min(idx)) as session_group from ti group by session_tag),
+  v as (select method, host, path, status, session_tag, min(idx) as idx from ti group by all),
+  r as (select *, row_number() over (partition by method, host, path order by idx) as rank from v)
+  select ti.idx as index, ti.method, 'https://' || ti.host as origin, ti.path, rank, ti.status, session_group, 'T' || left(sha256(slug), 12) as evidence_id, slug as file,
+   sha256(request_raw || chr(10) || response_raw) as hash, url, {_header_json('request_headers_text')} as request_headers, {fx.MASKED_BODY} as request_body,
+   {_header_json('response_headers_text')} as response_headers, {_TE_RESPONSE} as response_body
+  from r join g using (session_tag) join ti on ti.idx = r.idx where rank <= 3""")
 def sample_records(spark, sf):
     return mapping.sample_records(fx.te_items(spark, sf))
