@@ -45,27 +45,34 @@ def items_by_slug(findings: DataFrame, items: DataFrame) -> DataFrame:
 def first_endpoint_in_title(findings: DataFrame, items: DataFrame) -> DataFrame:
     """For each finding: index of the first item of its host whose ``METHOD path`` occurs in the title.
 
-    Containment becomes an equi-join: every text that could be an endpoint in the title (a word end, a
-    blank, any continuation) is looked up among the distinct endpoints of the host.
+    Containment becomes an equi-join: at each blank of the title that follows one of the host's methods, the texts of
+    the lengths that the host's endpoints of that method have are looked up among them.
     """
     known = (
         items.where(~F.col("method").contains(" "))
-        .groupBy("host", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"))
+        .groupBy("host", "method", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"))
         .agg(F.min("index").alias("index"))
     )
+    # At most methods x path lengths structs a host.
+    shapes = known.groupBy("host").agg(F.collect_set(F.struct("method", F.length("endpoint").alias("size"))).alias("_shapes"))
+    titled = ordering.lookup_join(findings.select("finding_id", "host", "title"), shapes, ["host"], ["finding_id"])
     title = F.col("title")
     blanks = F.filter(F.sequence(F.lit(1), F.greatest(F.length(title), F.lit(1))), lambda p: F.substr(title, p, F.lit(1)) == " ")
 
-    def around(p: Column) -> Column:
-        word = F.regexp_extract(F.substr(title, F.lit(1), p - 1), r"(\S*)$", 1)
-        verbs = F.transform(F.sequence(F.lit(0), F.length(word)), lambda n: F.substr(word, n + 1, F.length(word)))
-        ends = F.sequence(p, F.length(title))
-        return F.flatten(F.transform(verbs, lambda v: F.transform(ends, lambda e: F.concat(v, F.substr(title, p, e - p + 1)))))
+    def texts(blank: Column) -> Column:
+        def text(shape: Column) -> Column:
+            start = blank - F.length(shape["method"])
+            fits = (start >= 1) & (start + shape["size"] - 1 <= F.length(title))
+            here = F.substr(title, start, F.length(shape["method"])) == shape["method"]
+            return F.when(fits & here, F.substr(title, start, shape["size"]))
 
-    candidates = findings.select(
-        "finding_id", "host", F.explode(F.array_distinct(F.flatten(F.transform(blanks, around)))).alias("endpoint")
+        return F.array_compact(F.transform("_shapes", text))
+
+    candidates = titled.select(
+        "finding_id", "host", F.explode(F.array_distinct(F.flatten(F.transform(blanks, texts)))).alias("endpoint")
     )
-    found = ordering.lookup_join(candidates, known, ["host", "endpoint"], ["finding_id"])
+    by_text = known.groupBy("host", "endpoint").agg(F.min("index").alias("index"))
+    found = ordering.lookup_join(candidates, by_text, ["host", "endpoint"], ["finding_id"])
     return found.groupBy("finding_id").agg(F.min("index").alias("index"))
 
 
@@ -227,6 +234,35 @@ def values_of(category: Column, values: dict[str, list[tuple[str, str]]] | None
     return F.coalesce(out.cast("array<struct<label:string,value:string>>"), F.array().cast("array<struct<label:string,value:string>>"))
 
 
+def _plain_digits(digits: Column) -> Column:
+    return F.regexp_replace(digits, r"^0+(?=[0-9])", "")
+
+
+def number_after(digits: Column) -> Column:
+    """The next whole number, on digit text of any length."""
+
+    def after(d: Column) -> Column:
+        nines = F.regexp_extract(d, r"(9*)$", 1)
+        kept = F.substring(d, F.lit(1), F.length(d) - F.length(nines))
+        raised = (F.coalesce(F.nullif(F.right(kept, F.lit(1)), F.lit("")), F.lit("0")).cast("int") + 1).cast("string")
+        return F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), raised, F.repeat(F.lit("0"), F.length(nines)))
+
+    return tx.let(_plain_digits(digits), after)
+
+
+def number_before(digits: Column) -> Column:
+    """The whole number before, on digit text of any length; -1 before 0."""
+
+    def before(d: Column) -> Column:
+        zeros = F.regexp_extract(d, r"(0*)$", 1)
+        kept = F.substring(d, F.lit(1), F.length(d) - F.length(zeros))
+        lowered = (F.right(kept, F.lit(1)).cast("int") - 1).cast("string")
+        joined = F.concat(F.substring(kept, F.lit(1), F.length(kept) - 1), lowered, F.repeat(F.lit("9"), F.length(zeros)))
+        return F.when(d == "0", F.lit("-1")).otherwise(_plain_digits(joined))
+
+    return tx.let(_plain_digits(digits), before)
+
+
 def manifest(findings: DataFrame, items: DataFrame, values: dict[str, list[tuple[str, str]]] | None = None) -> DataFrame:
     """One row per finding, point and value; numeric ids also get their neighbours. Case ids are unique.
 
@@ -235,12 +271,11 @@ def manifest(findings: DataFrame, items: DataFrame, values: dict[str, list[tuple
     wanted = findings.where(F.col("category").isin(*checked_values(values)))
     pointed = with_points(with_source_items(wanted, items))
     original = F.col("original_value")
-    numeric = (F.col("category") == "IDOR") & original.rlike(r"^\d{1,37}$")
-    number = F.when(numeric, original).cast("decimal(38,0)")
+    numeric = (F.col("category") == "IDOR") & original.rlike(r"^[0-9]+$")
     beside = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), changed.cast("string").alias("value"))
-            for label, changed in zip(NEIGHBOURS, (number - 1, number + 1))
+            F.struct(F.lit(label).alias("label"), changed.alias("value"))
+            for label, changed in zip(NEIGHBOURS, (number_before(original), number_after(original)))
         ]
     )
     given = values_of(F.col("category"), values)
@@ -301,8 +336,8 @@ def review_templates(findings: DataFrame, items: DataFrame) -> DataFrame:
     in_url = F.filter("_points", lambda p: p["type"].isin("path_segment", "query_param"))
     varies = category.isin("IDOR", "Reflected Input (XSS candidate)", "Open Redirect")
     pointed = usable.withColumn("point", F.when(varies, F.get(in_url, F.lit(0)))).where(~varies | F.col("point").isNotNull())
-    pointed = pointed.where((category != "IDOR") | F.col("point.original_value").rlike(r"^\d{1,37}$"))
-    following = (F.when(category == "IDOR", F.col("point.original_value")).cast("decimal(38,0)") + 1).cast("string")
+    pointed = pointed.where((category != "IDOR") | F.col("point.original_value").rlike(r"^[0-9]+$"))
+    following = F.when(category == "IDOR", number_after(F.col("point.original_value")))
     value = F.when(category == "IDOR", following).when(category == "Open Redirect", F.lit(REVIEW_TARGET)).otherwise(F.lit(MARKER))
 
     def target(url: Column) -> Column:

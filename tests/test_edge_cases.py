@@ -731,3 +731,21 @@ def test_sessions_are_grouped_by_the_whole_hash(spark):
     tagged = rows.withColumn("session_tag", F.coalesce(F.nullif("session_tag", F.lit("")), http.session_tag(F.col("request_headers"), F.col("url"))))
     keys = [r.k for r in tagged.orderBy("index").select(http.session_key(F.col("session_tag"), F.col("request_headers"), F.col("url")).alias("k")).collect()]
     assert [len(k) for k in keys] == [72, 72, 4] and len(set(keys)) == 3
+
+
+def test_neighbours_of_long_numbers(spark):
+    given = ["0", "1", "9", "10", "007", "99", "1000", "9" * 60, "1" + "0" * 60, "123456789012345678901234567890123456789012345"]
+    rows = spark.createDataFrame([(g,) for g in given], "d string")
+    got = rows.select("d", variants.number_before(F.col("d")).alias("b"), variants.number_after(F.col("d")).alias("a")).collect()
+    assert [(r.b, r.a) for r in got] == [(str(int(g) - 1), str(int(g) + 1)) for g in given]
+
+
+def test_titles_of_any_length_are_searched(spark):
+    rows = items(spark, {"path": "/a"}, {"path": "/a/b c"}, {"path": "/long" + "x" * 3000, "method": "POST"}, {"path": "/a", "host": "b.test"})
+    long = "GET " * 500 + "see POST /long" + "x" * 3000 + " y" * 2000
+    found = spark.createDataFrame(
+        [(1, "a.test", "found on XGET /a/b c today"), (2, "a.test", long), (3, "a.test", "GET /zzz"), (4, "b.test", "POST /a"), (5, "a.test", "")],
+        "finding_id int, host string, title string",
+    )
+    got = {r.finding_id: r["index"] for r in variants.first_endpoint_in_title(found, rows).collect()}
+    assert got == {1: 1, 2: 3}
