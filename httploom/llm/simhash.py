@@ -30,37 +30,49 @@ _CHUNK = 1 << 15  # shingles whose bits are counted at a time
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of the word shingles (repeats count), A-Z lower-cased; 0 without words."""
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED, n_parts: int = 1) -> np.ndarray:
+    """SimHash of the word shingles (repeats count), A-Z lower-cased, in ``n_parts`` 64-bit parts; 0 without words.
+
+    One part takes XXH64 of each shingle, two take the 128 bits of XXH3.
+    """
     words = _WORD.findall(text.encode().lower())
     if not words:
-        return 0
+        return np.zeros(n_parts, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     size = min(shingle, len(words))
     stops = ends[size - 1 :].tolist()
     starts = [0, *(ends[: len(stops) - 1] + 1).tolist()]
-    total = np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
+    total = np.zeros(BITS * n_parts, np.int64)
+    wide = n_parts == 2
+    digest = xxhash.xxh3_128_digest if wide else xxhash.xxh64_intdigest
     for at in range(0, len(stops), _CHUNK):
         pairs = zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])
-        hashes = np.array([digest(joined[a:b], seed) for a, b in pairs], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found = [digest(joined[a:b], seed) for a, b in pairs]
+        raw = np.frombuffer(b"".join(found), np.uint8) if wide else np.array(found, "<u8").view(np.uint8)
+        total += np.unpackbits(raw.reshape(-1, 8 * n_parts), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = (2 * total > len(stops)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits(bits, bitorder="little").view("<u8")
 
 
-def _fingerprints(batches, shingle: int, seed: int):
+def _fingerprints(batches, shingle: int, seed: int, n_parts: int):
     for batch in base.slices(batches):
-        values = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "fp"])
+        values = np.array([fingerprint(t, shingle, seed, n_parts) for t in batch.column(1).to_pylist()]).view(np.int64)
+        parts = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(n_parts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *parts], ["id", *_parts(n_parts)])
+
+
+def _parts(n_parts: int) -> list[str]:
+    return [f"fp{k}" for k in range(n_parts)]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(id, fp)`` per document row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, seed: int = SEED, n_parts: int = 1
+) -> DataFrame:
+    """``(id, fp0[, fp1])`` per document row; each part holds 64 bits as a signed long."""
     rows = base.keyed_text(docs, id_col, text_col)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, fp long"
-    return rows.mapInArrow(base.packaged(_fingerprints, shingle=shingle, seed=seed), schema)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{p} long" for p in _parts(n_parts))
+    return rows.mapInArrow(base.packaged(_fingerprints, shingle=shingle, seed=seed, n_parts=n_parts), schema)
 
 
 def plan_blocks(count: int, distance: int = DISTANCE, load: int = 64) -> list[int]:
@@ -80,58 +92,76 @@ def plan_blocks(count: int, distance: int = DISTANCE, load: int = 64) -> list[in
     return masks
 
 
-def _keys(batches, masks: list[int]):
-    """Rows (key, fp): per mask a mixed hash of the masked bits and the mask's number."""
-    wide = np.array(masks, np.uint64)
-    salt = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
-        fp = np.asarray(batch.column(0)).view(np.uint64)
-        key = (fp[:, None] & wide) ^ salt
-        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(29)
-        repeated = np.repeat(fp, len(masks))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(repeated.view(np.int64))], ["key", "fp"])
+def _columns(batch: pa.RecordBatch, start: int) -> np.ndarray:
+    """Longs from column ``start`` on as rows of unsigned parts."""
+    return np.stack([np.asarray(c) for c in batch.columns[start:]], axis=1).view(np.uint64)
 
 
-def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect everything that chains of close pairs connect within ``fps``.
+def _keys(batches, masks: list[int], names: list[str]):
+    """Rows (key, node, parts): per part and mask a mixed hash of the masked bits and their place."""
+    wide = np.array(masks, np.uint64)
+    for batch in batches:
+        node, fp = np.asarray(batch.column(0)), _columns(batch, 1)
+        keys = []
+        for part in range(fp.shape[1]):
+            salt = np.arange(1 + part * len(masks), 1 + (part + 1) * len(masks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            key = (fp[:, part, None] & wide) ^ salt
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append(key ^ (key >> np.uint64(29)))
+        key = np.concatenate(keys, axis=1)
+        repeated = np.repeat(np.column_stack([node.view(np.uint64), fp]), key.shape[1], axis=0).view(np.int64)
+        columns = [key.ravel().view(np.int64), *(np.ascontiguousarray(c) for c in repeated.T)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _close(left: np.ndarray, right: np.ndarray, distance: int, block_distance: int) -> np.ndarray:
+    """Whether fingerprints (rows of parts) differ in few bits in all, and in few enough in one part to be sure to meet."""
+    bits = np.bitwise_count(left ^ right)
+    if bits.shape[-1] == 1:
+        return bits[..., 0] <= distance
+    return (bits.sum(axis=-1, dtype=np.int64) <= distance) & (bits.min(axis=-1) <= block_distance)
+
+
+def spanning_links(fps: np.ndarray, distance: int, block_distance: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of links that connect everything that chains of close pairs connect among the rows of ``fps``.
 
     A search that drops each fingerprint from the rest once it is reached: a dense group costs little more than its
     size, and no group gives more links than it has members.
     """
     if len(fps) <= _ALL_PAIRS:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= distance, 1))
+        a, b = np.nonzero(np.triu(_close(fps[:, None], fps[None], distance, block_distance), 1))
         if len(a) < len(fps):
-            return fps[a], fps[b]
-    rest = fps
+            return a, b
+    rest = np.arange(len(fps))
     left, right = [], []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             here = queue.pop()
-            near = np.bitwise_count(rest ^ here) <= distance
+            near = _close(fps[rest], fps[here], distance, block_distance)
             if near.any():
                 reached = rest[near]
                 left.append(np.full(len(reached), here))
                 right.append(reached)
-                queue.extend(reached)
+                queue.extend(reached.tolist())
                 rest = rest[~near]
-    none = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _links(batches, distance: int) -> Iterator[pa.RecordBatch]:
+def _links(batches, distance: int, block_distance: int) -> Iterator[pa.RecordBatch]:
     """Links within each key; the rows come sorted by key, so one key's fingerprints are held at a time."""
     open_key, parts = None, []
 
     def finish() -> tuple[np.ndarray, np.ndarray]:
-        fps = np.concatenate(parts)
-        return spanning_links(fps, distance) if len(fps) > 1 else (fps[:0], fps[:0])
+        rows = np.concatenate(parts)
+        a, b = spanning_links(rows[:, 1:], distance, block_distance)
+        return rows[a, 0], rows[b, 0]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, fps = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+        keys, rows = np.asarray(batch.column(0)), _columns(batch, 1)
         cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -142,7 +172,7 @@ def _links(batches, distance: int) -> Iterator[pa.RecordBatch]:
                     right.append(y)
                 parts = []
             open_key = keys[a]
-            parts.append(fps[a:b])
+            parts.append(rows[a:b])
         if left:
             yield _link_batch(np.concatenate(left), np.concatenate(right))
     if parts:
@@ -154,11 +184,17 @@ def _link_batch(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def links(distinct: DataFrame, masks: list[int], distance: int = DISTANCE) -> DataFrame:
-    """``(a, b)`` fingerprints within ``distance`` bits, enough of them to connect all that are connected."""
-    keyed = distinct.select("fp").mapInArrow(base.packaged(_keys, masks=masks), "key long, fp long")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return ordered.mapInArrow(base.packaged(_links, distance=distance), "a long, b long").distinct()
+def links(distinct: DataFrame, masks: list[int], distance: int = DISTANCE, block_distance: int | None = None) -> DataFrame:
+    """``(a, b)`` nodes whose fingerprints are close, enough of them to connect all that are connected.
+
+    ``distinct`` has ``node`` and the parts of distinct fingerprints.
+    """
+    names = [c for c in distinct.columns if c.startswith("fp")]
+    block_distance = distance if block_distance is None else block_distance
+    out = ["key", "node", *names]
+    keyed = distinct.select("node", *names).mapInArrow(base.packaged(_keys, masks=masks, names=out), ", ".join(f"{c} long" for c in out))
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
+    return ordered.mapInArrow(base.packaged(_links, distance=distance, block_distance=block_distance), "a long, b long").distinct()
 
 
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -225,28 +261,40 @@ def near_duplicates(
     distance: int = DISTANCE,
     shingle: int = SHINGLE,
     seed: int = SEED,
+    n_parts: int = 1,
+    block_distance: int | None = None,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` per document row; ``component_id`` is the smallest id of the group.
 
-    Documents are linked where their fingerprints differ in at most ``distance`` bits; equal texts collapse to one
-    fingerprint before any join, so copies cost one row per task. Links are found among distinct fingerprints and
-    verified; a key shared by many of them gives at most one link per member. Fingerprints are computed once and kept
-    in a table below the shared root.
+    Documents are linked where their fingerprints of ``64 * n_parts`` bits differ in at most ``distance`` bits and, with
+    two parts, in at most ``block_distance`` bits of one of them: pigeonhole keys are taken from each part, and
+    two fingerprints within ``2 * block_distance + 1`` bits always meet.
+
+    Equal texts collapse to one fingerprint before any join, so copies cost one row per task. Links are found among
+    distinct fingerprints and verified; a key shared by many of them gives at most one link per member. Fingerprints
+    are computed once and kept in a table below the shared root.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other; null ids get the component of the
     others in their group, or null; repeated rows give repeated rows; an empty table gives no rows; other columns are
     ignored.
     """
     spark = docs.sparkSession
-    path = scratch(spark, "fingerprints")
-    found = fingerprints(docs, id_col, text_col, shingle, seed)
-    found.write.parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
-    distinct = found.groupBy("fp").agg(F.min("id").alias("first"))
-    groups = components(spark, links(distinct, plan_blocks(distinct.count(), distance), distance))
-    rooted = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    block_distance = distance if block_distance is None else block_distance
+    names = _parts(n_parts)
+    node = F.col("fp0") if n_parts == 1 else F.xxhash64(*names)
+    found = stored(fingerprints(docs, id_col, text_col, shingle, seed, n_parts).withColumn("node", node), "fingerprints")
+    distinct = found.groupBy("node", *names).agg(F.min("id").alias("first"))
+    masks = plan_blocks(distinct.count(), block_distance)
+    groups = components(spark, links(distinct, masks, distance, block_distance))
+    rooted = stored(distinct.join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
+    # A table of its own, so that Spark can split a group of very many fingerprints in the join after it.
+    named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "groups")
+    by_node = rooted.join(named, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    text = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in reversed(names)])
+    return found.join(by_node, "node").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")

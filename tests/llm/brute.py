@@ -127,17 +127,18 @@ def conversations(turns):
         yield key, len(rows), sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows)), len(loss), sha(loss)
 
 
-def fingerprint(text, shingle=4, seed=42):
+def fingerprint(text, shingle=4, seed=42, n_parts=1):
     import xxhash
 
     words = WORD.findall(lower(text or ""))
     grams = [" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)] or ([" ".join(words)] if words else [])
-    counts = [0] * 64
+    counts = [0] * (64 * n_parts)
     for gram in grams:
-        value = xxhash.xxh64_intdigest(gram.encode(), seed)
-        for bit in range(64):
+        raw = xxhash.xxh3_128_digest(gram.encode(), seed) if n_parts == 2 else xxhash.xxh64_intdigest(gram.encode(), seed).to_bytes(8, "little")
+        value = int.from_bytes(raw, "little")
+        for bit in range(64 * n_parts):
             counts[bit] += value >> bit & 1
-    return sum(1 << bit for bit in range(64) if 2 * counts[bit] > len(grams))
+    return sum(1 << bit for bit in range(64 * n_parts) if 2 * counts[bit] > len(grams))
 
 
 def components(items, close):
@@ -161,10 +162,16 @@ def components(items, close):
     return [least.get(root(i)) for i in range(len(items))]
 
 
-def near_duplicates(docs, distance=4, shingle=4):
-    prints = [(key, fingerprint(text, shingle)) for key, text in docs]
-    roots = components(prints, lambda a, b: (a ^ b).bit_count() <= distance)
-    return [(key, f"{value:016x}", root) for (key, value), root in zip(prints, roots)]
+def near_duplicates(docs, distance=4, shingle=4, n_parts=1, block_distance=64):
+    prints = [(key, fingerprint(text, shingle, n_parts=n_parts)) for key, text in docs]
+
+    def close(a, b):
+        bits = a ^ b
+        parts = [(bits >> 64 * k & (1 << 64) - 1).bit_count() for k in range(n_parts)]
+        return sum(parts) <= distance and min(parts) <= block_distance
+
+    roots = components(prints, close)
+    return [(key, f"{value:0{16 * n_parts}x}", root) for (key, value), root in zip(prints, roots)]
 
 
 def recurring_lines(docs, min_docs, depth=4, similar=0.7):

@@ -208,10 +208,10 @@ def test_escape_is_reversible(text):
     assert chat.unescape_role(chat.escape_role(text + "\n\\n")) == text + "\n\\n"
 
 
-@pytest.mark.parametrize(("distance", "shingle"), [(4, 4), (7, 5)])
-def test_near_duplicates(frame, odd_docs, distance, shingle):
-    found = simhash.near_duplicates(frame(odd_docs), distance=distance, shingle=shingle)
-    same(found, ["doc_id", "fingerprint", "component_id"], brute.near_duplicates(odd_docs, distance, shingle))
+@pytest.mark.parametrize("options", [{"distance": 4, "shingle": 4}, {"distance": 20, "shingle": 5, "n_parts": 2, "block_distance": 8}])
+def test_near_duplicates(frame, odd_docs, options):
+    found = simhash.near_duplicates(frame(odd_docs), **options)
+    same(found, ["doc_id", "fingerprint", "component_id"], brute.near_duplicates(odd_docs, **options))
 
 
 def test_keep_one(frame, odd_docs):
@@ -237,11 +237,12 @@ def test_spanning_links_connect_what_chains_connect():
     noise = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(600)], np.uint64)
     fps = np.unique(np.repeat(centre, 50) ^ noise)
     for group in (fps, fps[:40]):
-        a, b = simhash.spanning_links(group, 4)
+        a, b = simhash.spanning_links(group[:, None], 4)
         items = [(i, int(v)) for i, v in enumerate(group)]
         linked = set(zip(a.tolist(), b.tolist())) | set(zip(b.tolist(), a.tolist()))
         wanted = brute.components(items, lambda x, y: (x ^ y).bit_count() <= 4)
-        assert brute.components(items, lambda x, y: (x, y) in linked) == wanted and len(a) < len(group)
+        places = [(i, i) for i, _ in items]
+        assert brute.components(places, lambda x, y: (x, y) in linked) == wanted and len(a) < len(group)
 
 
 def test_components_of_chains_and_stars(spark):

@@ -66,7 +66,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert Counter(after) == Counter(r[:2] for r in brute.line_dedup(kept))
             assert docs.where("n_chars <> length(text)").count() == 0
         elif name == "near-duplicates":
-            groups = brute.near_duplicates(kept, corpus_pipeline.DISTANCE, corpus_pipeline.SHINGLE)
+            groups = brute.near_duplicates(kept, **corpus_pipeline.NEAR)
             assert sorted(k for k, _ in after) == sorted(k for k, _, root in groups if k == root)
         else:
             items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
