@@ -51,11 +51,13 @@ def response_values(items: DataFrame) -> DataFrame:
         items.where(F.col("response_body") != "")
         .withColumn("session", _session())
         .select(
-            "host", "session", "index", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"),
+            "host", "session", "session_tag", "index", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"),
             F.explode(found).alias("value"),
         )
         .groupBy(*FLOW_KEYS)
-        .agg(F.min("index").alias("source_item"), F.min_by("endpoint", "index").alias("source_endpoint"))
+        .agg(
+            F.min("index").alias("source_item"), F.min_by("endpoint", "index").alias("source_endpoint"), F.min("session_tag").alias("session_tag")
+        )
     )
 
 

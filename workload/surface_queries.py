@@ -248,7 +248,7 @@ _FLOW = f"""{fx.TI}, rv as (select host, session_tag, idx, method || ' ' || path
 
 @query("w04_first_values", f"with {_FLOW} select * from src")
 def first_values(spark, sf):
-    return journeys.response_values(fx.te_items(spark, sf))
+    return journeys.response_values(fx.te_items(spark, sf)).drop("session")
 
 
 @query("j04_id_flow", f"with {_FLOW} select * from edges")
