@@ -293,8 +293,8 @@ def near_duplicates(
     masks = plan_blocks(distinct.count(), block_distance)
     groups = components(spark, links(distinct, masks, distance, block_distance))
     rooted = stored(distinct.join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "roots")
-    # A table of its own, so that Spark can split a group of very many fingerprints in the join after it.
+    # Tables of their own, so that Spark can split a hot group, or the many copies of one text, in the joins after them.
     named = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "groups")
-    by_node = rooted.join(named, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    by_node = stored(rooted.join(named, "root").groupBy("node").agg(F.min("component_id").alias("component_id")), "nodes")
     text = F.concat(*[F.lower(F.lpad(F.hex(p), 16, "0")) for p in reversed(names)])
     return found.join(by_node, "node").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
