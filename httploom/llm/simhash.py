@@ -241,6 +241,39 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def keep_first(marked: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``marked`` (rows with their ``_node``) per component: smallest id, null ids last, then smallest text hash.
+
+    ``roots`` are the ``(node, root)`` of nodes that have a link; any other node is a component of its own. Rows that repeat
+    id and text give one row. Columns ``_digest``, ``_id``, ``_n``, ``_first`` are used inside.
+    """
+    columns = marked.columns
+    rows = marked.withColumn("_digest", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    counted = rows.groupBy("_node", F.col(id_col).alias("_id"), "_digest").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_digest", "_node", "_n")
+    # One row per node first, so that the many copies of one text do not meet in the join.
+    nodes = counted.groupBy("_node").agg(F.min(order).alias("_first"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "_node"), "_node", "left").select(F.coalesce("root", "_node").alias("root"), "_first")
+    first = rooted.groupBy("root").agg(F.min("_first").alias("_first")).select("_first.*")
+    same = (rows["_node"] == first["_node"]) & rows[id_col].eqNullSafe(first["_id"]) & (rows["_digest"] == first["_digest"])
+    kept = rows.join(first, same).select(*[rows[c] for c in columns], first["_n"])
+    single = kept.where("_n = 1").select(*columns)
+    return single.unionByName(kept.where("_n > 1").select(*columns).dropDuplicates(["_node"]))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` with the smallest id of their near-duplicate group; one row where that id is repeated.
+
+    ``options`` are those of ``near_duplicates``. A null id gives way to any other; of groups with null ids
+    alone one row stays for all of them.
+    """
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = docs.join(first, docs[id_col].eqNullSafe(first["_first"])).select(*docs.columns, "_n")
+    single = kept.where("_n = 1").select(*docs.columns)
+    return single.unionByName(kept.where("_n > 1").select(*docs.columns).dropDuplicates([id_col]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` with the smallest id of their near-duplicate group; one row where that id is repeated.
 
