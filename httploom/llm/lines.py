@@ -69,7 +69,11 @@ def _lines(batches, depth: int):
 
 
 class Leaf:
-    """Templates of one leaf; all its lines have the same number of tokens."""
+    """Templates of one leaf; all its lines have the same number of tokens.
+
+    A template is compared by its first line, which stays as it is, so a line's template depends on the order of the lines
+    alone and not on the pieces they come in. Positions where members differ from it are the variable fields.
+    """
 
     def __init__(self, similar: float):
         self.similar = similar
@@ -87,16 +91,9 @@ class Leaf:
             if at == len(self.templates):
                 self.templates.append(coded[rest[0]].copy())
                 self.names.append(hashes[rest[0]])
-            template = self.templates[at]
-            same = (coded[rest] == template).mean(axis=1) >= self.similar
-            members = rest[same]
-            if len(members):
-                out[members] = self.names[at]
-                self.templates[at] = np.where((coded[members] == template).all(axis=0), template, 0)
-                rest = rest[~same]
-            elif self.names[at] == hashes[rest[0]]:  # a template of fields alone is not similar to itself
-                out[rest[0]] = self.names[at]
-                rest = rest[1:]
+            same = (coded[rest] == self.templates[at]).mean(axis=1) >= self.similar
+            out[rest[same]] = self.names[at]
+            rest = rest[~same]
             at += 1
         return out.tolist()
 
