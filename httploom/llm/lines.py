@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,7 @@ DEPTH = 4
 SIMILAR = 0.7
 MIN_DOCS = 10
 MAX_SHARE = 0.5
+COPY_SHARE = 8 / 9  # shared characters of two documents that are 0.8 similar, which the near-duplicate stage joins
 LEAF_LINES = 1 << 14  # lines of a leaf that are matched at a time
 _DIGIT = re.compile(r"[0-9]")
 _FIELD = "<*>"
@@ -55,17 +56,26 @@ def _leaves(batches, depth: int):
 
 
 def _lines(batches, depth: int):
-    """The distinct generalised lines of each document row."""
+    """The distinct generalised lines of each document row, its hash (``row``) and their share of its characters."""
     for batch in base.slices(batches):
-        places, leaves, hashes, lines = [], [], [], []
+        places, leaves, hashes, lines, shares = [], [], [], [], []
         for at, text in enumerate(batch.column(1).to_pylist()):
-            for line in {" ".join(t): t for t in map(generalise, text.split("\n")) if t}.items():
+            raw = text.split("\n")
+            found: dict[str, list] = {}
+            for line in raw:
+                if tokens := generalise(line):
+                    found.setdefault(" ".join(tokens), [tokens, 0])[1] += len(line)
+            total = sum(map(len, raw))
+            for line, (tokens, size) in found.items():
                 places.append(at)
-                leaves.append(leaf_of(line[1], depth))
-                hashes.append(_hash(line[0]))
-                lines.append(line[0])
-        columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(leaves, pa.int64()), pa.array(hashes, pa.int64()), pa.array(lines, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "leaf", "hash", "line"])
+                leaves.append(leaf_of(tokens, depth))
+                hashes.append(_hash(line))
+                lines.append(line)
+                shares.append(size / total)
+        taken = pa.array(places, pa.int64())
+        longs = (pa.array(v, pa.int64()) for v in (leaves, hashes))
+        columns = [batch.column(0).take(taken), *longs, pa.array(lines, pa.string()), batch.column(2).take(taken), pa.array(shares, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "leaf", "hash", "line", "row", "share"])
 
 
 class Leaf:
@@ -126,7 +136,7 @@ def recurring(
 ) -> tuple[DataFrame, DataFrame]:
     """``(lines, hashes)`` for ``(id, text)`` rows.
 
-    ``lines`` are the distinct generalised lines ``(id, leaf, hash, line)`` of each row, as far as their leaf is reached
+    ``lines`` are the distinct generalised lines ``(id, leaf, hash, line, row, share)`` of each row, as far as their leaf is reached
     by ``min_docs`` rows: in other leaves no template can recur. ``hashes`` are ``(hash, template, n_docs)`` of the lines
     whose template occurs in ``min_docs`` documents.
     """
@@ -140,9 +150,17 @@ def recurring(
     reached = rows.select("text").mapInArrow(base.packaged(_leaves, depth=depth), "leaf long").groupBy("leaf").count()
     leaves = stored(reached.where(F.col("count") >= min_docs).select("leaf"), "leaves")
     schema = T.StructType(
-        [rows.schema["id"], T.StructField("leaf", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("line", T.StringType())]
+        [
+            rows.schema["id"],
+            T.StructField("leaf", T.LongType()),
+            T.StructField("hash", T.LongType()),
+            T.StructField("line", T.StringType()),
+            T.StructField("row", T.LongType()),
+            T.StructField("share", T.DoubleType()),
+        ]
     )
-    lines = stored(rows.mapInArrow(base.packaged(_lines, depth=depth), schema).join(_joinable(leaves, 16), "leaf", "left_semi"), "lines")
+    numbered = rows.select("id", "text", F.xxhash64("text").alias("row"))
+    lines = stored(numbered.mapInArrow(base.packaged(_lines, depth=depth), schema).join(_joinable(leaves, 16), "leaf", "left_semi"), "lines")
     distinct = lines.select("leaf", "hash", "line").distinct()
     ordered = distinct.repartition("leaf").sortWithinPartitions("leaf", "line", "hash").select("leaf", "hash", "line")
     placed = stored(ordered.mapInArrow(base.packaged(_templates, similar=similar), "leaf long, hash long, template long"), "templates")
@@ -153,6 +171,18 @@ def recurring(
     return lines, placed.join(frequent, ["leaf", "template"]).select("hash", "template", "n_docs")
 
 
+def copied(lines: DataFrame, hashes: DataFrame, copy_share: float) -> DataFrame:
+    """``(template)`` of recurring lines that are copied text: most of the different texts that hold them are copies.
+
+    A copy is a text whose recurring lines hold ``copy_share`` of its characters or more. Boilerplate stands in other
+    documents too, and stays boilerplate in a short document that it fills.
+    """
+    held = lines.select("row", "hash", "share").distinct().join(_joinable(hashes.select("hash", "template"), 24), "hash")
+    copy = (F.sum("share").over(Window.partitionBy("row")) >= copy_share - 1e-9).cast("int")
+    judged = held.select("row", "template", copy.alias("copy")).groupBy("template").agg(F.avg("copy").alias("copies"))
+    return judged.where("copies > 0.5").select("template")
+
+
 KEPT = T.StructType(
     [
         T.StructField("text", T.StringType()),
@@ -197,6 +227,7 @@ def drop_recurring(
     similar: float = SIMILAR,
     max_share: float = MAX_SHARE,
     into: str = "_lines",
+    copy_share: float | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` with a struct ``into``: ``text`` without recurring lines, ``n_lines``, ``n_dropped``, ``n_recurring``.
 
@@ -216,6 +247,11 @@ def drop_recurring(
     docs = docs.drop(into)
     rows = base.keyed_text(docs, id_col, text_col)
     lines, hashes = recurring(rows, min_docs, depth, similar)
+    if copy_share is not None:
+        max_share = 1.0
+        path = scratch(docs.sparkSession, "boilerplate")
+        hashes.join(copied(lines, hashes, copy_share), "template", "left_anti").write.parquet(path)
+        hashes = docs.sparkSession.read.parquet(path)
     marked = lines.select("id", "hash").join(_joinable(hashes.select("hash").distinct(), 16), "hash", "left_semi")
     by_doc = marked.groupBy("id").agg(F.collect_set("hash").alias("_recurring")).withColumnRenamed("id", "_id")
     joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_id"]), "left").select(*docs.columns, "_id", "_recurring")

@@ -62,7 +62,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.drop_recurring(base.table(spark, sf_dir, "documents"))
+    kept = lines.drop_recurring(base.table(spark, sf_dir, "documents"), copy_share=lines.COPY_SHARE)
     return kept.select(
         "doc_id",
         "_lines.n_lines",
