@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from httploom.session import scratch
 
@@ -261,30 +262,40 @@ def keep_first(marked: DataFrame, roots: DataFrame, id_col: str, text_col: str)
     return single.unionByName(kept.where("_n > 1").select(*columns).dropDuplicates(["_node"]))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` with the smallest id of their near-duplicate group; one row where that id is repeated.
-
-    ``options`` are those of ``near_duplicates``. A null id gives way to any other; of groups with null ids
-    alone one row stays for all of them.
-    """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["_first"])).select(*docs.columns, "_n")
-    single = kept.where("_n = 1").select(*docs.columns)
-    return single.unionByName(kept.where("_n > 1").select(*docs.columns).dropDuplicates([id_col]))
+def _with_node(batches, text_at: int, shingle: int, seed: int, n_parts: int):
+    for batch in base.slices(batches, text=text_at):
+        texts = batch.column(text_at).to_pylist()
+        values = np.array([fingerprint(t or "", shingle, seed, n_parts) for t in texts]).view(np.int64)
+        parts = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(n_parts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *parts], [*batch.schema.names, *(f"_{p}" for p in _parts(n_parts))])
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` with the smallest id of their near-duplicate group; one row where that id is repeated.
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    distance: int = DISTANCE,
+    shingle: int = SHINGLE,
+    seed: int = SEED,
+    n_parts: int = 1,
+    block_distance: int | None = None,
+) -> DataFrame:
+    """One row of ``docs`` per near-duplicate group of ``near_duplicates``, whatever ids its rows have (see ``keep_first``).
 
-    ``options`` are those of ``near_duplicates``. A null id gives way to any other; of groups with null ids
-    alone one row stays for all of them.
+    ``_fp0``, ``_fp1``, ``_node`` must not occur in ``docs`` either.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    first = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_first")).agg(F.count(F.lit(1)).alias("_n"))
-    kept = docs.join(first, docs[id_col].eqNullSafe(first["_first"])).select(*docs.columns, "_n")
-    single = kept.where("_n = 1").select(*docs.columns)
-    return single.unionByName(kept.where("_n > 1").select(*docs.columns).dropDuplicates([id_col]))
+    spark = docs.sparkSession
+    names = _parts(n_parts)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{p}", T.LongType()) for p in names)])
+    run = base.packaged(_with_node, text_at=docs.columns.index(text_col), shingle=shingle, seed=seed, n_parts=n_parts)
+    node = F.col("_fp0") if n_parts == 1 else F.xxhash64(*(f"_{p}" for p in names))
+    path = scratch(spark, "fingerprints")
+    docs.mapInArrow(run, schema).withColumn("_node", node).write.parquet(path)
+    marked = spark.read.parquet(path)
+    distinct = marked.select(F.col("_node").alias("node"), *(F.col(f"_{p}").alias(p) for p in names)).distinct()
+    block_distance = distance if block_distance is None else block_distance
+    roots = components(spark, links(distinct, plan_blocks(distinct.count(), block_distance), distance, block_distance))
+    return keep_first(marked, roots, id_col, text_col).select(*docs.columns)
 
 
 def near_duplicates(

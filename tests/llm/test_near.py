@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from httploom.llm import near
+from httploom.llm import near, simhash
 
 
 def plain(text, size=5):
@@ -22,12 +22,6 @@ def kept_ids(docs):
     return sorted(k for (k, _), r in zip(docs, roots) if k == r)
 
 
-def edited(start, changes):
-    """100 words of their own, every ``changes``-th replaced."""
-    words = [f"w{start}x{i}" for i in range(100)]
-    return " ".join(words), " ".join("new" + w if changes and i % changes == changes - 1 else w for i, w in enumerate(words))
-
-
 def test_pairs_around_the_limit(spark):
     """Similarities from 0.74 to 0.92 in many pairs: those of 0.8 and more go, no others do."""
     docs, high = [], set()
@@ -66,3 +60,12 @@ def test_spanning_connects_chains():
     wanted = brute.components(items, close)
     assert brute.components([(i, i) for i in range(len(sets))], lambda a, b: frozenset((a, b)) in joined) == wanted
     assert all(close(sets[a], sets[b]) for a, b in links) and len(links) < len(sets)
+
+
+@pytest.mark.parametrize("keep_one", [near.keep_one, simhash.keep_one])
+def test_ids_do_not_make_copies(spark, keep_one):
+    """Different texts with no id, or with one id, all stay; copies go whatever their ids."""
+    texts = [" ".join(f"w{n}x{i}" for i in range(100)) for n in range(5)]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[2]), (None, texts[0])]
+    found = keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in found) == sorted([(0, texts[0]), (0, texts[1]), (8, texts[2]), (7, texts[3]), (7, texts[4])])
