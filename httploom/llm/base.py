@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from httploom.session import scratch
+
 SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
@@ -52,3 +54,10 @@ def packaged(fn: Callable, **fixed) -> Callable:
         return fn(batches, **fixed)
 
     return run
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared root and read again: evaluated once, and safe from lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, decontaminate, lines, quality, simhash, suffixes, tokens, urls, warc
+from . import base, bpe, chat, decontaminate, divergence, lines, quality, simhash, suffixes, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -114,6 +114,50 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(base.table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = f"""
+with docs as (
+    select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+    from documents
+),
+found as (select row, lang, source, unnest(terms) as term from docs),
+kept as (select lang, term from found group by all having count(distinct row) >= 30),
+cells as (select lang, source, term, count(*) as n from found semi join kept using (lang, term) group by all),
+langs as (
+    select lang, (select count(*) from kept k where k.lang = l.lang) as v,
+        (select coalesce(sum(n), 0) from cells c where c.lang = l.lang) as total
+    from (select distinct lang from docs) l
+),
+groups as (
+    select lang, source, v, total as lang_total, (select coalesce(sum(n), 0) from cells c where c.lang = g.lang and c.source = g.source) as total
+    from (select distinct lang, source from docs) g join langs using (lang)
+),
+shares as (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 5)::hugeint) // (g.total + 5 * g.v)::hugeint as p,
+        1 + (1000000000 * (sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) + 5)::hugeint) // (g.lang_total + 5 * g.v)::hugeint as q
+    from groups g join kept k using (lang) left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term
+),
+differences as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+parts as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0) as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join differences d on d.lang = a.lang and d.source = a.source and d.item = b.source
+    union all
+    select lang, source, 'term', term, p - q from shares where n > 0 and p > q
+),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from parts)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 50
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -125,5 +169,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op12_source_divergence": op12_source_divergence,
 }
-ORACLE = {"op2_url_filter": OP2_SQL}
+ORACLE = {"op2_url_filter": OP2_SQL, "op12_source_divergence": OP12_SQL}
