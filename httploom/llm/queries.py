@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, decontaminate, divergence, lines, quality, simhash, suffixes, tokens, urls, warc
+from . import base, bpe, chat, decontaminate, divergence, fptree, lines, quality, simhash, suffixes, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -114,11 +114,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(base.table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.search(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RANKED_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+with docs as (select row_number() over () as row, doc_id, {_RANKED_TERMS} as terms from documents),
+whole as (select count(*) as n_docs, sum(len(terms))::bigint as n_terms from docs where len(terms) > 0),
+items as (select row_number() over () as item, item_id, {_RANKED_TERMS} as terms from benchmark),
+asked as (select distinct item, item_id, unnest(terms) as term from items),
+cells as (
+    select row, doc_id, term, count(*) as tf, any_value(n) as n
+    from (select row, doc_id, len(terms) as n, unnest(terms) as term from docs) where term in (select term from asked) group by all
+),
+weights as (
+    select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from cells, whole group by term, n_docs
+),
+scored as (
+    select item, any_value(item_id) as item_id, row, any_value(doc_id) as doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::bigint as score
+    from asked join cells using (term) join weights using (term), whole group by item, row
+),
+ranked as (
+    select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 50
+"""
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(base.table(spark, sf_dir, "documents"))
 
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP12_SQL = f"""
 with docs as (
     select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
@@ -169,6 +198,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_simhash": op10_simhash,
+    "op11_ranked_search": op11_ranked_search,
     "op12_source_divergence": op12_source_divergence,
 }
-ORACLE = {"op2_url_filter": OP2_SQL, "op12_source_divergence": OP12_SQL}
+ORACLE = {"op2_url_filter": OP2_SQL, "op11_ranked_search": OP11_SQL, "op12_source_divergence": OP12_SQL}
