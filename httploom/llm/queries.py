@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import base, bpe, chat, decontaminate, divergence, fptree, lines, quality, simhash, suffixes, tokens, urls, warc
+from . import base, bpe, chat, decontaminate, divergence, fptree, langcodes, lines, quality, simhash, suffixes, tokens, urls, warc
 
 MAX_TOKENS = 4096
 URL_RULES = [
@@ -187,6 +187,11 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked where part = 'pair' or rank <= 50
 """
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return langcodes.identify(base.table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -200,5 +205,6 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_ranked_search": op11_ranked_search,
     "op12_source_divergence": op12_source_divergence,
+    "op13_language_id": op13_language_id,
 }
 ORACLE = {"op2_url_filter": OP2_SQL, "op11_ranked_search": OP11_SQL, "op12_source_divergence": OP12_SQL}
