@@ -192,7 +192,7 @@ def _share(count: Column, total: Column) -> Column:
     return out
 
 
-def _distances(table: pa.Table) -> pa.Table:
+def _distances(table: pa.Table, tile_size: int) -> pa.Table:
     """Summed share differences of the pairs of groups in one block of terms, and how many of its terms were seen.
 
     Rows with a null term are the groups of the two tiles, with the share of a term that they lack.
@@ -207,7 +207,7 @@ def _distances(table: pa.Table) -> pa.Table:
     n_terms = len(term.dictionary)
     shares = np.repeat(base_share[:, None], n_terms, axis=1)
     shares[np.searchsorted(numbers, number[~group]), codes[~group]] = share[~group]
-    tile = numbers // TILE
+    tile = numbers // tile_size
     right = np.flatnonzero(tile == high)
     a, b, sums = [], [], []
     for i in np.flatnonzero(tile == low).tolist():
@@ -219,15 +219,15 @@ def _distances(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([lang] * len(a), pa.string()), a, b, sums, np.full(len(a), n_terms)], names=["lang", "a", "b", "part", "seen"])
 
 
-def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(cells: DataFrame, groups: DataFrame, tile_size: int) -> DataFrame:
     """``(lang, source, item, value)`` for each group and each other source of its language.
 
-    Groups of a language meet in tiles of ``TILE`` and blocks of about ``BLOCK_TERMS`` terms, so a task holds two tiles of one
+    Groups of a language meet in tiles of ``tile_size`` and in blocks of terms, so a task holds two tiles of one
     block however large the language is. Terms that both groups lack differ by their base shares alone.
     """
     block = F.pmod(F.xxhash64("prefix"), F.col("n_blocks"))
     tiles = F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1)
-    tile = _div(F.col("number"), F.lit(TILE))
+    tile = _div(F.col("number"), F.lit(tile_size))
     spread = [F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "number"]
     numbered = groups.withColumn("tile", tile).withColumn("other", F.explode(tiles))
     filled = cells.join(groups.select("lang", "source", "number", "n_blocks", "n_tiles"), ["lang", "source"])
@@ -236,7 +236,11 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     bases = numbered.withColumn("block", blocks).select("lang", "block", *spread, F.lit(None).cast("binary").alias("term"), F.col("base").alias("share"))
     schema = "lang string, a long, b long, part long, seen long"
-    parts = present.union(bases).groupBy("lang", "block", "low", "high").applyInArrow(_distances, schema)
+
+    def distances(table: pa.Table) -> pa.Table:
+        return _distances(table, tile_size)
+
+    parts = present.union(bases).groupBy("lang", "block", "low", "high").applyInArrow(distances, schema)
     summed = parts.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
     named = groups.select("lang", "number", "source", "base", "n_terms")
     left, right = (named.select("lang", F.col("number").alias(k), F.col("source").alias(f"source_{k}"), F.col("base").alias(f"base_{k}"), *extra) for k, extra in (("a", ["n_terms"]), ("b", [])))
@@ -255,6 +259,8 @@ def audit(
     top: int = TOP_TERMS,
     first_level: int = FIRST_LEVEL,
     slice_bytes: int = SLICE_BYTES,
+    block_terms: int = BLOCK_TERMS,
+    tile_size: int = TILE,
 ) -> DataFrame:
     """``(lang, source, part, item, value, rank)``: how each (language, source) group differs from others and its language.
 
@@ -298,15 +304,15 @@ def audit(
             "total",
             (F.col("lang_size") + SMOOTHING * F.col("n_terms")).alias("lang_total"),
             F.when(F.col("n_terms") > 0, _share(F.lit(0).cast("long"), F.col("total"))).otherwise(0).alias("base"),
-            _div(F.col("n_terms") + (BLOCK_TERMS - 1), F.lit(BLOCK_TERMS)).alias("n_blocks"),
-            _div(F.col("n_sources") + (TILE - 1), F.lit(TILE)).alias("n_tiles"),
+            _div(F.col("n_terms") + (block_terms - 1), F.lit(block_terms)).alias("n_blocks"),
+            _div(F.col("n_sources") + (tile_size - 1), F.lit(tile_size)).alias("n_tiles"),
         ),
         "groups",
     )
     groups = groups.withColumn("n_blocks", F.greatest("n_blocks", F.lit(1).cast("long")))
     shared = cells.join(groups.select("lang", "source", "total", "lang_total"), ["lang", "source"])
     shared = shared.select("lang", "source", "prefix", "n", _share(F.col("n"), F.col("total")).alias("share"), "lang_total")
-    pairs = _pairs(shared.select("lang", "source", "prefix", "share"), groups)
+    pairs = _pairs(shared.select("lang", "source", "prefix", "share"), groups, tile_size)
 
     whole = cells.groupBy("lang", "prefix").agg(F.sum("n").alias("lang_n"))
     excess = F.col("share") - _share(F.col("lang_n"), F.col("lang_total"))
