@@ -24,7 +24,6 @@ from . import base
 DEPTH = 4
 SIMILAR = 0.7
 MIN_DOCS = 10
-MAX_SHARE = 0.5
 COPY_SHARE = 8 / 9  # shared characters of two documents that are 0.8 similar, which the near-duplicate stage joins
 LEAF_LINES = 1 << 14  # lines of a leaf that are matched at a time
 _DIGIT = re.compile(r"[0-9]")
@@ -193,29 +192,25 @@ KEPT = T.StructType(
 )
 
 
-def strip(text: str | None, hashes: list[int] | None, max_share: float) -> tuple[str | None, int, int, int]:
-    """Text without the lines of these hashes, its number of lines with a word, of lines dropped, of recurring ones."""
+def strip(text: str | None, hashes: list[int] | None) -> tuple[str | None, int, int]:
+    """Text without the lines of these hashes, its number of lines with a word, of lines dropped."""
     lines = [] if text is None else text.split("\n")
     tokens = [generalise(line) for line in lines]
     filled = sum(map(bool, tokens))
     if not hashes:
-        return text, filled, 0, 0
+        return text, filled, 0
     gone = set(hashes)
     out = [bool(t) and _hash(" ".join(t)) in gone for t in tokens]
-    marked = sum(out)
-    share = sum(len(line) for line, o in zip(lines, out) if o) / max(1, sum(map(len, lines)))
-    if share > max_share:
-        return text, filled, 0, marked
-    return "\n".join(line for line, o in zip(lines, out) if not o), filled, marked, marked
+    return "\n".join(line for line, o in zip(lines, out) if not o), filled, sum(out)
 
 
-def _strip(batches, text_at: int, max_share: float):
+def _strip(batches, text_at: int, into: str):
     for batch in base.slices(batches, text=text_at):
         hashes = batch.column(batch.num_columns - 1).to_pylist()
-        rows = [strip(t, h, max_share) for t, h in zip(batch.column(text_at).to_pylist(), hashes)]
+        rows = [(*found, found[2]) for found in map(strip, batch.column(text_at).to_pylist(), hashes)]
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
         kept = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], KEPT.names)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], kept], [*batch.schema.names[:-2], "_lines"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], kept], [*batch.schema.names[:-2], into])
 
 
 def drop_recurring(
@@ -225,16 +220,14 @@ def drop_recurring(
     min_docs: int = MIN_DOCS,
     depth: int = DEPTH,
     similar: float = SIMILAR,
-    max_share: float = MAX_SHARE,
+    copy_share: float = COPY_SHARE,
     into: str = "_lines",
-    copy_share: float | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` with a struct ``into``: ``text`` without recurring lines, ``n_lines``, ``n_dropped``, ``n_recurring``.
 
-    A line recurs if its template occurs in ``min_docs`` documents. Where recurring lines hold more than ``max_share``
-    of a document's characters, the document is a copy or a form and not a text with boilerplate in it: it is
-    left whole for the near-duplicate stage, which keeps one of its group; without this rule all copies of a text would
-    lose it at once.
+    A line recurs if its template occurs in ``min_docs`` documents and is not copied text (see ``copied``); it goes from
+    every document, so ``n_recurring`` and ``n_dropped`` are equal. Copies of a text keep it for the near-duplicate stage,
+    which leaves one of them; otherwise all of them would lose it at once.
 
     The tree is built from distinct lines, and only from leaves that enough documents reach, so prose never
     leaves its task; counts are map-side-combined. A leaf's lines stream through one task against its templates
@@ -242,19 +235,17 @@ def drop_recurring(
 
     Null text stays null and has no lines; empty and blank lines are kept and never recur; null ids count as one
     document, as do repeated rows of an id; an empty table gives no rows; a column of ``docs`` named ``into`` is
-    replaced, ``_recurring`` and ``_id`` must not occur.
+    replaced, no other can clash.
     """
     docs = docs.drop(into)
+    marks, own_id = base.free_names(docs, "_recurring", "_id")
     rows = base.keyed_text(docs, id_col, text_col)
     lines, hashes = recurring(rows, min_docs, depth, similar)
-    if copy_share is not None:
-        max_share = 1.0
-        path = scratch(docs.sparkSession, "boilerplate")
-        hashes.join(copied(lines, hashes, copy_share), "template", "left_anti").write.parquet(path)
-        hashes = docs.sparkSession.read.parquet(path)
+    path = scratch(docs.sparkSession, "boilerplate")
+    hashes.join(copied(lines, hashes, copy_share), "template", "left_anti").write.parquet(path)
+    hashes = docs.sparkSession.read.parquet(path)
     marked = lines.select("id", "hash").join(_joinable(hashes.select("hash").distinct(), 16), "hash", "left_semi")
-    by_doc = marked.groupBy("id").agg(F.collect_set("hash").alias("_recurring")).withColumnRenamed("id", "_id")
-    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_id"]), "left").select(*docs.columns, "_id", "_recurring")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lines", KEPT)])
-    run = base.packaged(_strip, text_at=docs.columns.index(text_col), max_share=max_share)
-    return joined.mapInArrow(run, schema).withColumnRenamed("_lines", into)
+    by_doc = marked.groupBy("id").agg(F.collect_set("hash").alias(marks)).withColumnRenamed("id", own_id)
+    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc[own_id]), "left").select(*docs.columns, own_id, marks)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, KEPT)])
+    return joined.mapInArrow(base.packaged(_strip, text_at=docs.columns.index(text_col), into=into), schema)

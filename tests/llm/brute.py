@@ -175,7 +175,7 @@ def near_duplicates(docs, distance=4, shingle=4, n_parts=1, block_distance=64):
 
 
 def recurring_lines(docs, min_docs, depth=4, similar=0.7):
-    """Generalised lines whose template recurs, by placing distinct lines in order, template by template."""
+    """Template of each generalised line whose template recurs, by placing distinct lines in order, template by template."""
     general = lambda line: tuple("<*>" if re.search("[0-9]", t) else t for t in line.split())
     holders = defaultdict(set)
     reached = defaultdict(int)
@@ -188,7 +188,7 @@ def recurring_lines(docs, min_docs, depth=4, similar=0.7):
     leaves = defaultdict(list)
     for line in holders:
         leaves[len(line), line[:depth]].append(line)
-    out = set()
+    out = {}
     for leaf, lines in leaves.items():
         if reached[leaf] < min_docs:
             continue
@@ -198,19 +198,25 @@ def recurring_lines(docs, min_docs, depth=4, similar=0.7):
             members = [x for x in rest if x is rest[0] or sum(a == b for a, b in zip(x, template)) / len(x) >= similar]
             rest = [x for x in rest if x not in members]
             if len(set().union(*(holders[x] for x in members))) >= min_docs:
-                out.update(members)
+                out.update(dict.fromkeys(members, template))
     return out, general
 
 
-def line_dedup(docs, min_docs=10, max_share=0.5):
-    gone, general = recurring_lines(docs, min_docs)
+def line_dedup(docs, min_docs=10):
+    """A template that is held mostly by copies (8/9 of their characters are recurring lines) is not boilerplate."""
+    templates, general = recurring_lines(docs, min_docs)
+    copies = defaultdict(list)
+    for text in {text or "" for _, text in docs}:
+        size = defaultdict(int)
+        for line in text.split("\n"):
+            if general(line) in templates:
+                size[general(line)] += len(line)
+        copy = 9 * sum(size.values()) >= 8 * sum(map(len, text.split("\n")))
+        for line in size:
+            copies[templates[line]].append(copy)
+    gone = {line for line, template in templates.items() if 2 * sum(copies[template]) <= len(copies[template])}
     for key, text in docs:
         lines = [] if text is None else text.split("\n")
         marks = [general(line) in gone for line in lines]
-        words = sum(bool(line.split()) for line in lines)
-        share = sum(len(line) for line, m in zip(lines, marks) if m) / max(1, sum(map(len, lines)))
-        if share > max_share:
-            yield key, text, words, 0, sum(marks)
-        else:
-            kept = None if text is None else "\n".join(line for line, m in zip(lines, marks) if not m)
-            yield key, kept, words, sum(marks), sum(marks)
+        kept = None if text is None else "\n".join(line for line, m in zip(lines, marks) if not m)
+        yield key, kept, sum(bool(line.split()) for line in lines), sum(marks), sum(marks)

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from compare import compare, oracle
 from conftest import SF_DIR
+from test_near import kept_ids
 
 from httploom.llm import queries
 
@@ -24,6 +25,14 @@ def test_oracle(spark, name):
     assert compare(spark, oracle(SF_DIR), name, queries.QUERIES[name], queries.ORACLE[name], SF_DIR) == ""
 
 
+@pytest.mark.parametrize("sf_dir", [SF_DIR, "/root/testdata/sf0.01"])
+def test_line_dedup_query(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    stripped = Counter((k, w, r, d, len(t), brute.sha(t)) for k, t, w, d, r in brute.line_dedup(docs))
+    columns = ["doc_id", "n_lines", "n_recurring", "n_dropped", "kept_chars", "kept_sha256"]
+    assert Counter(tuple(r) for r in queries.op4_line_dedup(spark, sf_dir).select(*columns).collect()) == stripped
+
+
 def test_registered_queries(spark, rows):
     docs = rows("documents", "doc_id", "text")
     counts = brute.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -33,8 +42,6 @@ def test_registered_queries(spark, rows):
     ids = brute.bpe_ids([t for _, t in docs], RANKS, PATTERN)
     wanted = Counter((k, len(i), brute.sha(np.array(i, "<u4").tobytes()), brute.sha(t)) for (k, t), i in zip(docs, ids))
     assert rows_of(spark, "op3_byte_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == wanted
-    stripped = Counter((k, w, r, d, len(t), brute.sha(t)) for k, t, w, d, r in brute.line_dedup(docs))
-    assert rows_of(spark, "op4_line_dedup", "doc_id", "n_lines", "n_recurring", "n_dropped", "kept_chars", "kept_sha256") == stripped
     found = brute.contamination(docs, rows("benchmark", "item_id", "text"))
     wanted = Counter((k, w, h, len(i), brute.sha(",".join(i)), h > 0) for k, w, h, i in found)
     assert rows_of(spark, "op5_decontaminate", "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == wanted
@@ -66,8 +73,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert Counter(after) == Counter(r[:2] for r in brute.line_dedup(kept))
             assert docs.where("n_chars <> length(text)").count() == 0
         elif name == "near-duplicates":
-            groups = brute.near_duplicates(kept, **corpus_pipeline.NEAR)
-            assert sorted(k for k, _ in after) == sorted(k for k, _, root in groups if k == root)
+            assert sorted(k for k, _ in after) == kept_ids(kept)
         else:
             items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
             assert sorted(k for k, _ in after) == sorted(r[0] for r in brute.contamination(kept, items) if not r[2])
