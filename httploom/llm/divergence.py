@@ -8,6 +8,7 @@ Documents are tokenised once, into packed slices of sorted terms and postings; t
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,11 @@ def _packed(batches, slice_bytes: int) -> Iterator[pa.RecordBatch]:
         langs, sources, texts = (c.to_pylist() for c in batch.columns)
         for lang in sorted(set(langs)):
             rows = [i for i, found in enumerate(langs) if found == lang]
-            numbers: dict[bytes, int] = {}
+            numbers: defaultdict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__  # a new term gets the next number
             codes, sizes = [], []
             for i in rows:
                 words = _TERM.findall(texts[i].encode().lower())
-                for word in set(words).difference(numbers):
-                    numbers[word] = len(numbers)
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 sizes.append(len(words))
             names = list(numbers)
@@ -54,7 +54,8 @@ def _packed(batches, slice_bytes: int) -> Iterator[pa.RecordBatch]:
             pairs, counts = np.unique(pairs, return_counts=True)
             term, doc = np.divmod(pairs, len(rows))
             named = sorted({sources[i] for i in rows})
-            source_of = [named.index(sources[i]) for i in rows]
+            source_at = {name: k for k, name in enumerate(named)}
+            source_of = [source_at[sources[i]] for i in rows]
             n_docs = np.bincount(term, minlength=len(names))
             packed = [np.asarray(c).astype("<u4").tobytes() for c in (source_of, n_docs, doc, counts)]
             columns = [[lang], [named], [packed[0]], [b"\0".join(names[i] for i in order)], *([p] for p in packed[1:])]
@@ -122,15 +123,16 @@ def _prefixes(batches, before: int, length: int, broadcast) -> Iterator[pa.Recor
     for part in _slices(batches):
         wanted = np.flatnonzero([len(k) > before for k in part.keys])
         if before and len(wanted):
-            wanted = wanted[broadcast.value.passed(part.lang, [part.keys[i][:before] for i in wanted])]
+            wanted = wanted[broadcast.value.passed(part.lang, [part.keys[i][:before] for i in wanted.tolist()])]
         if not len(wanted):
             continue
-        cut = [part.keys[i][:length] for i in wanted]
+        cut = [part.keys[i][:length] for i in wanted.tolist()]
         first = np.array([True, *(a != b for a, b in zip(cut[1:], cut))])
         number = np.full(len(part.keys), -1)
         number[wanted] = np.cumsum(first) - 1
         held, n_docs = number[part.term] >= 0, len(part.source_of)
-        pairs = np.unique(number[part.term[held]] * n_docs + part.doc[held])
+        pairs = np.sort(number[part.term[held]] * n_docs + part.doc[held])
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         counts = np.bincount(pairs // n_docs, minlength=int(first.sum()))
         names = [cut[i] for i in np.flatnonzero(first)]
         columns = [pa.array([part.lang] * len(names), pa.string()), pa.array(names, pa.binary()), pa.array(counts)]
@@ -165,18 +167,40 @@ def frequent_terms(packed: DataFrame, min_docs: int = MIN_DOCS, first_level: int
     return found
 
 
-def _cells(batches, broadcast) -> Iterator[pa.RecordBatch]:
-    """Occurrences by source, in each slice, of the terms that may be kept."""
+def _cells(batches, broadcast, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Occurrences by source of the terms that may be kept, added up over the slices of a task until ``limit`` cells are held."""
+    held: dict[str, tuple] = {}
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, (terms, sources, keys, counts) in held.items():
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, at, np.concatenate(counts))
+            term, source = key >> 32, key & 0xFFFFFFFF
+            names = [pa.array([lang] * len(key), pa.string()), pa.array(list(sources), pa.string()).take(pa.array(source))]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(terms), pa.binary()).take(pa.array(term)), pa.array(n)], ["lang", "source", "prefix", "n"])
+        held.clear()
+
     for part in _slices(batches):
-        if not part.keys:
+        passed = broadcast.value.passed(part.lang, part.keys) if part.keys else np.zeros(0, bool)
+        if not passed.any():
             continue
-        held = broadcast.value.passed(part.lang, part.keys)[part.term]
-        keys, at = np.unique(part.term[held] * len(part.sources) + part.source_of[part.doc[held]], return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, at, part.n[held])
-        term, source = np.divmod(keys, len(part.sources))
-        names = [pa.array([part.lang] * len(keys), pa.string()), pa.array(part.sources, pa.string()).take(pa.array(source))]
-        yield pa.RecordBatch.from_arrays([*names, pa.array(part.keys, pa.binary()).take(pa.array(term)), pa.array(counts)], ["lang", "source", "prefix", "n"])
+        terms, sources, keys, counts = held.setdefault(part.lang, ({}, {}, [], []))
+        term_at = np.full(len(part.keys), -1)
+        term_at[passed] = [terms.setdefault(part.keys[i], len(terms)) for i in np.flatnonzero(passed).tolist()]
+        source_at = np.array([sources.setdefault(s, len(sources)) for s in part.sources])
+        kept = passed[part.term]
+        key, at = np.unique(term_at[part.term[kept]] << 32 | source_at[part.source_of[part.doc[kept]]], return_inverse=True)
+        n = np.zeros(len(key), np.int64)
+        np.add.at(n, at, part.n[kept])
+        keys.append(key)
+        counts.append(n)
+        size += len(key)
+        if size >= limit:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
 def _div(left: Column, right: Column) -> Column:
