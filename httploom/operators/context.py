@@ -22,16 +22,31 @@ def records(items: DataFrame, body_limit: int | None = None) -> DataFrame:
     return masked.select("index", "slug", record.alias("record"))
 
 
+def _sizes(items: DataFrame, body_limit: int | None) -> DataFrame:
+    return records(items, body_limit).select("index", "slug", F.length("record").cast("long").alias("size"))
+
+
 def item_context(items: DataFrame, considered: int | None = None, budget: int = 60_000, body_limit: int | None = None) -> DataFrame:
-    """Records of the first items in order while they fit."""
-    return review.prefix_budget(records(items, body_limit), "index", F.length("record"), budget, considered)
+    """Records of the first items in order while they fit.
+
+    A record has two characters or more, so only the first ``budget / 2`` items can matter; they alone are masked to be measured,
+    and those that fit are masked once more to be shown.
+    """
+    reach = budget // 2 + 1
+    first = review.first_rows(items, "index", reach if considered is None else min(reach, considered))
+    kept = review.prefix_budget(_sizes(first, body_limit).select("index", "size"), "index", F.col("size"), budget)
+    shown = records(first.join(F.broadcast(kept.select("index")), "index", "left_semi"), body_limit)
+    return shown.join(kept, "index")
 
 
 def corpus_context(
     items: DataFrame, considered: int | None = None, budget: int = 48_000, max_items: int = 50, floor: int = 500, body_limit: int | None = None
 ) -> DataFrame:
-    """Greedy selection in path order: what does not fit is skipped, at most ``max_items`` are kept."""
-    sized = records(items, body_limit).withColumn("corpus", F.lit(1))
-    return review.within_budget(
-        sized, "corpus", ["slug", "index"], F.length("record") + 1, budget, considered, max_items, floor
-    ).drop("corpus")
+    """Greedy selection in path order: what does not fit is skipped, at most ``max_items`` are kept.
+
+    All items are masked once to be measured; the kept ones, at most ``max_items``, once more to be shown.
+    """
+    sized = _sizes(items, body_limit).select(F.lit(1).alias("corpus"), "slug", "index", (F.col("size") + 1).alias("size"))
+    kept = review.budget_keys(sized, "corpus", ["slug", "index"], budget, considered, max_items, floor).drop("corpus", "slug")
+    shown = records(items.join(F.broadcast(kept.select("index")), "index", "left_semi"), body_limit)
+    return shown.join(kept, "index")

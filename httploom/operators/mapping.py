@@ -270,27 +270,33 @@ def join_route(a: Column, b: Column) -> Column:
     return tx.or_else(F.regexp_replace(text, r"/$", ""), "/")
 
 
+TRAIL = "array<struct<file:string,line:int>>"
+
+
 def mount_prefixes(
-    nodes: DataFrame, mounts: DataFrame, max_depth: int | None = None, max_length: int | None = None
+    nodes: DataFrame, mounts: DataFrame, max_depth: int | None = None, max_length: int | None = None, max_chains: int | None = None
 ) -> DataFrame:
-    """``(node_id, full_prefix, depth)`` of every router reachable from an application root, one row per mount chain.
+    """``(node_id, full_prefix, depth, trail)`` of every router reachable from an application root, one row per mount chain.
 
-    ``nodes``: node_id, is_root, prefix; ``mounts``: child, parent, prefix, override. A null prefix is
-    not resolvable, cycles are cut, an overriding mount replaces the child's own prefix. Chains beyond ``max_depth``
-    mounts and prefixes beyond ``max_length`` characters are left out only where a caller sets these.
+    ``nodes``: node_id, is_root, prefix; ``mounts``: child, parent, prefix, override and, for the ``trail`` of (file, line) of
+    the chain's mounts from the root down, file and line. A null prefix is not resolvable, cycles are cut, an
+    overriding mount replaces the child's own prefix. Chains beyond ``max_depth`` mounts, prefixes beyond ``max_length``
+    characters and chains of a router beyond its first ``max_chains`` by prefix and trail are left out only where a caller sets these.
 
     One join per level; each level is a table below the shared root, so any number of rows and levels goes through
     and a lost executor costs one level.
     """
     spark = nodes.sparkSession
+    placed = {"file", "line"} <= set(mounts.columns)
+    mount = F.array(F.struct("file", F.col("line").cast("int").alias("line"))) if placed else F.array()
     children = (
         mounts.where(F.col("prefix").isNotNull())
-        .select(F.col("child").alias("node_id"), "parent", F.col("prefix").alias("_mount"), "override")
+        .select(F.col("child").alias("node_id"), "parent", F.col("prefix").alias("_mount"), "override", mount.cast(TRAIL).alias("_place"))
         .join(nodes.where(~F.col("is_root") & F.col("prefix").isNotNull()).select("node_id", F.col("prefix").alias("_own")), "node_id")
     )
     step = F.concat_ws("/", "_above", "_mount", F.when(F.col("override"), F.lit("")).otherwise(F.col("_own")))
     level = nodes.where(F.col("is_root") & F.col("prefix").isNotNull()).select(
-        "node_id", F.col("prefix").alias("full_prefix"), F.lit(0).alias("depth"), F.array("node_id").alias("_chain")
+        "node_id", F.col("prefix").alias("full_prefix"), F.lit(0).alias("depth"), F.array().cast(TRAIL).alias("trail"), F.array("node_id").alias("_chain")
     )
     levels: list[str] = []
     while True:
@@ -302,17 +308,20 @@ def mount_prefixes(
         levels.append(path)
         if max_depth is not None and len(levels) > max_depth:
             break
-        above = current.select(F.col("node_id").alias("parent"), F.col("full_prefix").alias("_above"), "depth", "_chain")
+        above = current.select(F.col("node_id").alias("parent"), F.col("full_prefix").alias("_above"), "depth", "trail", "_chain")
         found = children.join(above, "parent").where(~F.array_contains("_chain", F.col("node_id")))
         level = found.select(
-            "node_id", join_route(step, F.lit("")).alias("full_prefix"), (F.col("depth") + 1).alias("depth"), F.array_append("_chain", F.col("node_id")).alias("_chain")
+            "node_id", join_route(step, F.lit("")).alias("full_prefix"), (F.col("depth") + 1).alias("depth"),
+            F.concat("trail", "_place").alias("trail"), F.array_append("_chain", F.col("node_id")).alias("_chain"),
         )
         if max_length is not None:
             level = level.where(F.length("full_prefix") <= max_length)
+        if max_chains is not None:
+            level = ordering.smallest_per_group(level, ["node_id"], [F.col("full_prefix"), F.col("trail"), F.col("_chain")], max_chains).drop("rank")
     return spark.read.schema(level.schema).parquet(*levels).drop("_chain")
 
 
 def compose_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Routes declared on routers, with every resolved prefix applied; unresolved routers give no row."""
+    """Routes declared on routers, with every resolved prefix applied and its trail as ``mounts``; unresolved routers give no row."""
     resolved = ordering.lookup_join(routes, prefixes, ["node_id"], ["path"])
-    return resolved.withColumn("path", join_route(F.col("full_prefix"), F.col("path")))
+    return resolved.withColumn("path", join_route(F.col("full_prefix"), F.col("path"))).withColumnRenamed("trail", "mounts")

@@ -51,6 +51,24 @@ def sequential_index(
     return group_row_number(renamed, [], "_order", out, start, bits).drop("_order")
 
 
+def running_sum(df: DataFrame, order_col: str, value: str, out: str, budget: int, bits: int = PIECE_BITS) -> DataFrame:
+    """Rows whose running sum of a non-negative ``value``, in the order of a unique long, stays within ``budget``.
+
+    A prefix sum in levels: sums per piece, pieces per block of 2**10 pieces, and blocks, of which there are rows / 2**(bits + 10).
+    Only pieces that begin within the budget are summed row by row.
+    """
+    pieces = df.withColumn("_piece", _piece(order_col, bits)).withColumn("_block", F.shiftright("_piece", 10))
+    sums = pieces.groupBy("_block", "_piece").agg(F.sum(value).alias("_sum"))
+    blocks = sums.groupBy("_block").agg(F.sum("_sum").alias("_total"))
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_block", before("_total", Window.orderBy("_block")).alias("_start")).where(F.col("_start") <= budget)
+    offset = F.col("_start") + before("_sum", Window.partitionBy("_block").orderBy("_piece"))
+    offsets = sums.join(starts, "_block").select("_block", "_piece", offset.alias("_offset")).where(F.col("_offset") <= budget)
+    within = Window.partitionBy("_block", "_piece").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    found = pieces.join(offsets, ["_block", "_piece"]).withColumn(out, F.sum(value).over(within) + F.col("_offset"))
+    return found.where(F.col(out) <= budget).drop("_block", "_piece", "_offset")
+
+
 def consecutive_pairs(
     df: DataFrame, keys: list[str], order_col: str, value: str, bits: int = PIECE_BITS
 ) -> DataFrame:

@@ -84,33 +84,51 @@ def stale_evidence(evidence: DataFrame, current: DataFrame) -> DataFrame:
 
 
 # -- source excerpts ---------------------------------------------------------
-def excerpts(files: DataFrame, hits: DataFrame, before: int = 10, after: int = 45, limit: int = 7000) -> DataFrame:
-    """Numbered, masked lines around each hit, one per (file, start), at most ``limit`` characters.
+HITS = 1024  # excerpts that are cut from one copy of a file's lines
 
-    ``files``: file (unique), text; ``hits``: file, line, kind. Masking comes before cutting, so a long
-    secret cannot slip past the pattern at the cut.
+
+def cuts(files: DataFrame, places: DataFrame, before: int, after: int, limit: int | None) -> DataFrame:
+    """Numbered, masked lines around each (file, line) of ``places`` (distinct): evidence_id, file, start, end, line, hash, truncated, text.
+
+    A file is split and hashed once for every ``HITS`` lines of it, however many places are in there. Masking comes before
+    cutting, so a long secret cannot slip past the pattern at the cut. Lines beyond the end of a file give no row.
     """
-    start = F.greatest(F.lit(1), F.col("line") - before)
-    wanted = (
-        hits.withColumn("start", start.cast("int"))
-        .groupBy("file", "start")
-        .agg(F.min("line").alias("line"), F.min_by("kind", "line").alias("kind"))
-    )
-    lines = F.split("text", r"\r?\n")
-    cut = (
-        wanted.join(files.select("file", "text"), "file")
-        .withColumn("_lines", F.slice(lines, F.col("start"), (F.col("line") + after - F.col("start") + 1).cast("int")))
-        .withColumn("_text", redact.source(F.array_join("_lines", "\n")))
+    grouped = places.groupBy("file", F.floor(F.col("line") / HITS).alias("_part")).agg(F.collect_list("line").alias("_hits"))
+    once = grouped.join(files.select("file", "text"), "file").select(
+        "file", "_hits", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), F.split("text", r"\r?\n").alias("_lines")
     )
+
+    def cut(line: Column) -> Column:
+        start = F.greatest(F.lit(1), line - before)
+        part = F.slice(F.col("_lines"), start, line + after - start + 1)
+        return F.struct(start.alias("start"), F.least(F.size("_lines"), line + after).alias("end"), line.alias("line"), F.array_join(part, "\n").alias("text"))
+
+    inside = F.filter(F.transform("_hits", lambda n: n.cast("int")), lambda n: n <= F.size("_lines"))
+    masked = once.select("file", "hash", F.explode(F.transform(inside, cut)).alias("c")).select("file", "hash", "c.*").withColumn("_text", redact.source(F.col("text")))
     numbered = F.array_join(
         F.transform(F.split("_text", "\n"), lambda s, i: F.concat((F.col("start") + i).cast("string"), F.lit(": "), s)), "\n"
     )
-    return cut.select(
-        tx.content_id("S", F.concat("file", F.lit(":"), F.col("start").cast("string"))).alias("evidence_id"),
-        "kind", "file", "start", "line", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), numbered.alias("_numbered"),
-    ).select(
-        "evidence_id", "kind", "file", "start", "line", "hash",
-        (F.length("_numbered") > limit).alias("truncated"), F.substring("_numbered", 1, limit).alias("text"),
+    shown = F.col("_numbered") if limit is None else F.substring("_numbered", 1, limit)
+    long = F.lit(False) if limit is None else F.length("_numbered") > limit
+    evidence_id = tx.content_id("S", F.concat("file", F.lit(":"), F.col("start").cast("string")))
+    return masked.select(evidence_id.alias("evidence_id"), "file", "start", "end", "line", "hash", numbered.alias("_numbered")).select(
+        "evidence_id", "file", "start", "end", "line", "hash", long.alias("truncated"), shown.alias("text")
+    )
+
+
+def excerpts(files: DataFrame, hits: DataFrame, before: int = 10, after: int = 45, limit: int | None = None) -> DataFrame:
+    """Excerpts of ``cuts`` around each hit, one per (file, start); cut at ``limit`` characters where a caller sets it.
+
+    ``files``: file (unique), text; ``hits``: file, line, kind. Where hits start alike, the first line decides.
+    """
+    wanted = (
+        hits.withColumn("start", F.greatest(F.lit(1), F.col("line") - before).cast("int"))
+        .groupBy("file", "start")
+        .agg(F.min("line").cast("int").alias("line"), F.min_by("kind", "line").alias("kind"))
+    )
+    found = cuts(files, wanted.select("file", "line"), before, after, limit)
+    return found.join(wanted.select("file", "line", "kind"), ["file", "line"]).select(
+        "evidence_id", "kind", "file", "start", "line", "hash", "truncated", "text"
     )
 
 
@@ -191,83 +209,102 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # -- evidence budgets --------------------------------------------------------
-def within_budget(
-    evidence: DataFrame, key: str, order: list[str], size: Column, budget: int, considered: int | None = None, max_kept: int | None = None,
-    stop_below: int = 0, batch: int = 256,
+BATCH, LARGEST_BATCH = 256, 1 << 12
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def budget_keys(
+    sized: DataFrame, key: str, order: list[str], budget: int, considered: int | None = None, max_kept: int | None = None,
+    stop_below: int = 0, used: DataFrame | None = None, batch: int = BATCH,
 ) -> DataFrame:
-    """Greedy selection per group: rows that do not fit are skipped, later smaller rows may still fit.
+    """``(key, order, size, position)`` of the rows that a greedy selection keeps per group; ``sized``: key, order, size.
 
-    ``order`` must be unique within a group. ``considered`` cuts groups to their first rows only where a caller
-    sets it; ``stop_below`` ends the selection once less than that much budget is left; ``position`` numbers the kept rows.
+    Rows that do not fit are skipped, later smaller ones may still fit. ``order`` must be unique within a group. ``used``
+    (key, used) is what a group has spent before. ``considered`` cuts groups to their first rows, ``max_kept`` to so many
+    kept rows, ``stop_below`` ends the selection once less than that much budget is left; all only where a caller sets them.
 
-    Sequential by nature, so it goes in rounds: each takes the next ``batch`` rows of every group that still fit what is
-    left of its budget, wherever they stand, and folds over these few sizes. The first of them always fits, so a
-    group of any length ends after a few rounds; Spark cuts groups to a batch before the shuffle.
+    Sizes are evaluated once. A round folds over the next rows of each group that fit what is left, wherever they stand;
+    the rows after them that still fit are written for the next round, so each round reads only what may yet be kept.
+    Batches grow by rounds, Spark cuts groups to a batch before the shuffle, and rows of size 0, which change nothing, are kept
+    without a round. The first row of a batch always fits, so every round gets on.
     """
-    spark = evidence.sparkSession
-    sized = evidence.withColumn("_size", size.cast("long"))
+    narrow = sized.select(key, F.struct(*order).alias("_at"), F.col("size").cast("long").alias("_size"))
     if considered is not None:
-        sized = ordering.smallest_per_group(sized, [key], [F.col(c) for c in order], considered, "_position").drop("_position")
-    narrow = sized.select(key, F.struct(*order).alias("_at"), "_size")
+        narrow = ordering.smallest_per_group(narrow, [key], [F.col("_at")], considered, "_place").drop("_place")
+    start = F.lit(0).cast("long")
+    if used is not None:
+        narrow = narrow.join(used.select(key, F.col("used").cast("long").alias("_used")), key, "left").withColumn("_used", F.coalesce("_used", start))
+    else:
+        narrow = narrow.withColumn("_used", start)
+    narrow = narrow.withColumn("_n", F.lit(0))
+    enough = (F.lit(budget) - F.col("_used") >= stop_below) & (F.col("_n") < F.lit(2**31 - 1 if max_kept is None else max_kept))
+    fits = enough & (F.col("_size") <= F.lit(budget) - F.col("_used"))
+    rest = _stored(narrow.where(fits), "budget")
+    parts = []
+    if max_kept is None and stop_below <= 0:
+        parts.append(rest.where("_size = 0").select(key, "_at", "_size"))
+        rest = rest.where("_size > 0")
+    at_type = narrow.schema["_at"].dataType.simpleString()
 
     def take(acc: Column, row: Column) -> Column:
-        fits = (acc["used"] + row["_size"] <= budget) & (F.lit(budget) - acc["used"] >= stop_below)
+        ok = (acc["used"] + row["_size"] <= budget) & (F.lit(budget) - acc["used"] >= stop_below)
         if max_kept is not None:
-            fits = fits & (acc["n"] < max_kept)
+            ok = ok & (acc["n"] < max_kept)
         return F.struct(
-            F.when(fits, acc["used"] + row["_size"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.when(fits, F.concat(acc["kept"], F.array(row["_at"]))).otherwise(acc["kept"]).alias("kept"),
+            F.when(ok, acc["used"] + row["_size"]).otherwise(acc["used"]).alias("used"),
+            F.when(ok, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+            F.when(ok, F.array_append(acc["kept"], row)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    at_type = narrow.schema["_at"].dataType.simpleString()
-    state, rounds = None, []
-    while True:
-        if state is None:
-            open_rows = narrow.where(F.col("_size") <= budget).withColumns({"_used": F.lit(0).cast("long"), "_n": F.lit(0)})
-        else:
-            left = state.where((F.lit(budget) - F.col("_used") >= stop_below) & (F.col("_n") < F.lit(max_kept or 2**31 - 1)))
-            open_rows = narrow.join(ordering.broadcast_if_small(left.drop("_kept")), key).where(
-                (F.col("_at") > F.col("_last")) & (F.col("_size") <= budget - F.col("_used"))
-            )
-        first = ordering.smallest_per_group(open_rows.drop("_last"), [key], [F.col("_at")], batch, "_place")
-        sizes = first.groupBy(key, "_used", "_n").agg(F.array_sort(F.collect_list(F.struct("_at", "_size"))).alias("_rows"))
-        start = F.struct(F.col("_used").alias("used"), F.col("_n").alias("n"), F.array().cast(f"array<{at_type}>").alias("kept"))
-        folded = sizes.select(key, F.element_at("_rows", -1)["_at"].alias("_last"), F.aggregate("_rows", start, take).alias("f")).select(
-            key, "_last", F.col("f.used").alias("_used"), F.col("f.n").alias("_n"), F.col("f.kept").alias("_kept")
+    while not rest.isEmpty():
+        first = ordering.smallest_per_group(rest, [key], [F.col("_at")], batch, "_place")
+        rows = first.groupBy(key, "_used", "_n").agg(F.array_sort(F.collect_list(F.struct("_at", "_size"))).alias("_rows"))
+        empty = F.array().cast(f"array<struct<_at:{at_type},_size:bigint>>")
+        folded = rows.select(
+            key, F.element_at("_rows", -1)["_at"].alias("_last"), F.aggregate("_rows", F.struct(F.col("_used").alias("used"), F.col("_n").alias("n"), empty.alias("kept")), take).alias("f")
         )
-        path = scratch(spark, "budget")
-        folded.write.parquet(path)
-        state = spark.read.schema(folded.schema).parquet(path)
-        rounds.append(path)
-        if state.isEmpty():
-            break
-    kept = spark.read.schema(state.schema).parquet(*rounds).select(key, F.explode("_kept").alias("_at")).select(key, "_at.*")
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return sized.join(kept, [key, *order]).withColumn("position", number).withColumnRenamed("_size", "size")
-
-
-def prefix_budget(rows: DataFrame, order_col: str, size: Column, budget: int = 60_000, considered: int | None = None, batch: int = 1000) -> DataFrame:
+        state = _stored(folded.select(key, "_last", F.col("f.used").alias("_used"), F.col("f.n").alias("_n"), "f.kept"), "budget")
+        parts.append(state.select(key, F.explode("kept").alias("r")).select(key, "r._at", "r._size"))
+        later = rest.select(key, "_at", "_size").join(ordering.broadcast_if_small(state.drop("kept")), key).where((F.col("_at") > F.col("_last")) & fits)
+        rest = _stored(later.drop("_last"), "budget")
+        batch = min(LARGEST_BATCH, 8 * batch)
+    if not parts:
+        parts.append(rest.select(key, "_at", "_size"))
+    kept = parts[0]
+    for part in parts[1:]:
+        kept = kept.union(part)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_at"))
+    return kept.select(key, "_at.*", F.col("_size").alias("size"), number.alias("position"))
+
+
+def within_budget(
+    evidence: DataFrame, key: str, order: list[str], size: Column, budget: int, considered: int | None = None, max_kept: int | None = None,
+    stop_below: int = 0, batch: int = BATCH,
+) -> DataFrame:
+    """The rows of ``evidence`` that ``budget_keys`` keeps, with their ``size`` and ``position`` among the kept of the group."""
+    sized = evidence.select(key, *order, size.alias("size"))
+    kept = budget_keys(sized, key, order, budget, considered, max_kept, stop_below, batch=batch)
+    return evidence.join(kept, [key, *order])
+
+
+def first_rows(rows: DataFrame, order_col: str, n: int) -> DataFrame:
+    """The ``n`` first rows in order, found on the order column alone, so that nothing wide is sorted."""
+    last = rows.select(order_col).orderBy(order_col).limit(n).agg(F.max(order_col)).first()[0]
+    return rows.where(F.col(order_col) <= F.lit(last))
+
+
+def prefix_budget(rows: DataFrame, order_col: str, size: Column, budget: int = 60_000, considered: int | None = None, bits: int = ordering.PIECE_BITS) -> DataFrame:
     """The first rows while their running size stays within ``budget``; stops at the first overflow.
 
-    ``considered`` cuts the rows only where a caller sets it. Rows are looked at in batches of the next ``batch`` in order,
-    until one does not fit; the running sums are over rows that fit, and so at most as many as the budget holds.
+    ``order_col`` is a unique long. Sizes are evaluated once, over narrow rows; ``considered`` cuts the rows only where a caller
+    sets it. Rows of size 0 go with the rows before them.
     """
-    sized = rows.withColumn("size", size.cast("long"))
     if considered is not None:
-        sized = sized.orderBy(order_col).limit(considered)
-    used, last, over = 0, None, None
-    while over is None:
-        narrow = sized.select(order_col, "size")
-        nearest = (narrow if last is None else narrow.where(F.col(order_col) > F.lit(last))).orderBy(order_col).limit(batch).collect()
-        for row in nearest:
-            used += row["size"]
-            if used > budget:
-                over = row[order_col]
-                break
-            last = row[order_col]
-        if len(nearest) < batch:
-            break
-    fitting = sized if over is None else sized.where(F.col(order_col) < F.lit(over))
-    running = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return fitting.withColumn("running", F.sum("size").over(running))
+        rows = first_rows(rows, order_col, considered)
+    sized = _stored(rows.select(order_col, size.cast("long").alias("size")), "sizes")
+    return rows.join(ordering.running_sum(sized, order_col, "size", "running", budget, bits), order_col)

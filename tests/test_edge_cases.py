@@ -3,6 +3,8 @@
 import base64
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -708,8 +710,50 @@ def test_budgets_see_every_row(spark):
     first = review.within_budget(rows, "g", ["i"], F.col("n"), 100, considered=4, max_kept=1)
     assert first.count() == 2
     a = rows.where("g = 'a'")
-    assert [r.running for r in review.prefix_budget(a, "i", F.col("n"), 1000, batch=3).orderBy("i").collect()][-1] <= 1000
-    assert review.prefix_budget(a, "i", F.col("n"), 10**6, batch=7).count() == 301
+    assert [r.running for r in review.prefix_budget(a, "i", F.col("n"), 1000, bits=3).orderBy("i").collect()][-1] <= 1000
+    assert review.prefix_budget(a, "i", F.col("n"), 10**6, bits=2).count() == 301
+
+
+def greedy(rows, budget, used, stop_below=0, max_kept=None):
+    """Plain selection in order per group."""
+    out, spent, n = [], dict(used), {}
+    for g, i, size in sorted(rows):
+        if spent.get(g, 0) + size <= budget and budget - spent.get(g, 0) >= stop_below and (max_kept is None or n.get(g, 0) < max_kept):
+            spent[g], n[g] = spent.get(g, 0) + size, n.get(g, 0) + 1
+            out.append((g, i, size, n[g]))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"stop_below": 30}, {"max_kept": 7}])
+def test_budget_keys_match_a_plain_selection(spark, limits):
+    """Many rounds, rows of size 0, a group that has spent before, a group that fits nothing."""
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([0, 0, 1, 2, 3, 40, 90, 400])) for g in "abc" for i in range(400)] + [("d", 1, 900), ("e", 1, 0)]
+    used = [("b", 250), ("e", 300)]
+    got = review.budget_keys(
+        spark.createDataFrame(rows, "g string, i int, size long"), "g", ["i"], 300, used=spark.createDataFrame(used, "g string, used long"), batch=5, **limits
+    )
+    assert sorted(tuple(r) for r in got.select("g", "i", "size", "position").collect()) == greedy(rows, 300, used, **limits)
+
+
+def test_prefix_budget_of_empty_texts(spark):
+    """Rows of size 0 before and after the overflow, over many pieces; the running sum is checked row by row."""
+    sizes = [0] * 50 + [5] * 10 + [0] * 20 + [60] + [0] * 5
+    rows = spark.createDataFrame(list(enumerate(sizes)), "n long, s int")
+    for bits in (0, 3, 20):
+        got = [(r["n"], r["running"]) for r in review.prefix_budget(rows, "n", F.col("s"), 100, bits=bits).orderBy("n").collect()]
+        assert got == [(n, sum(sizes[: n + 1])) for n in range(80)]
+    assert review.prefix_budget(rows.where("s = 0"), "n", F.col("s"), 0, bits=2).count() == 75
+    assert review.prefix_budget(rows.limit(0), "n", F.col("s")).count() == 0
+
+
+def test_excerpts_of_a_file_with_many_hits(spark):
+    text = "\n".join(f"line {i}" for i in range(1, 4001))
+    hits = spark.createDataFrame([("f", n, "route") for n in range(1, 4001, 2)], "file string, line int, kind string")
+    got = review.excerpts(spark.createDataFrame([("f", text)], "file string, text string"), hits, before=1, after=1, limit=30).collect()
+    assert len(got) == 2000 and len({r["hash"] for r in got}) == 1
+    by_line = {r["line"]: r for r in got}
+    assert by_line[3999]["text"] == "3998: line 3998\n3999: line 3999"[:30] and by_line[3999]["truncated"] and by_line[1]["text"] == "1: line 1\n2: line 2"
 
 
 def test_candidates_rank_all_matches(spark):

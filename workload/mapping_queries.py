@@ -121,19 +121,22 @@ def candidates(spark, sf):
 
 
 # -- mounts, imports ---------------------------------------------------------
-@query("j14_mounts", """with recursive t as (select c_custkey as id, '/n' || c_custkey as full_prefix, 0 as depth from customer where c_custkey = 1
-  union all select c.c_custkey, t.full_prefix || '/m' || c.c_custkey || case when c.c_custkey % 5 = 0 then '' else '/n' || c.c_custkey end, depth + 1
+@query("j14_mounts", """with recursive t as (select c_custkey as id, '/n' || c_custkey as full_prefix, 0 as depth, '' as trail from customer where c_custkey = 1
+  union all select c.c_custkey, t.full_prefix || '/m' || c.c_custkey || case when c.c_custkey % 5 = 0 then '' else '/n' || c.c_custkey end, depth + 1,
+    trail || ' routers' || c.c_nationkey || '.js:' || c.c_custkey % 100
    from t join customer c on c.c_custkey // 2 = t.id and c.c_custkey > 1)
-  select id as node_id, full_prefix, depth from t""")
+  select id as node_id, full_prefix, depth, ltrim(trail) as trail from t""")
 def mounts(spark, sf):
     """A router tree over the customers: parent = key div 2, every fifth mount overrides the child's prefix."""
-    keys = fx.table(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node_id"))
+    keys = fx.table(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node_id"), "c_nationkey")
     nodes = keys.select("node_id", (F.col("node_id") == 1).alias("is_root"), F.concat(F.lit("/n"), "node_id").alias("prefix"))
     edges = keys.where("node_id > 1").select(
         F.col("node_id").alias("child"), F.floor(F.col("node_id") / 2).alias("parent"),
         F.concat(F.lit("m"), "node_id", F.lit("/")).alias("prefix"), (F.col("node_id") % 5 == 0).alias("override"),
+        F.concat(F.lit("routers"), "c_nationkey", F.lit(".js")).alias("file"), (F.col("node_id") % 100).alias("line"),
     )
-    return mapping.mount_prefixes(nodes, edges)
+    trail = F.array_join(F.transform("trail", lambda m: F.concat(m["file"], F.lit(":"), m["line"])), " ")
+    return mapping.mount_prefixes(nodes, edges).withColumn("trail", trail)
 
 
 @query("j14_composed_routes", """with recursive t as (select c_custkey as id, '/n' || c_custkey as full_prefix, 0 as depth from customer where c_custkey = 1
@@ -239,19 +242,25 @@ def attribution(spark, sf):
 
 
 # -- excerpts and budgets ----------------------------------------------------
-@query("w11_excerpts", """with d as (select 'f' || doc_id as file, string_split(text, chr(10)) as lines, doc_id from documents),
-  h as (select file, lines, doc_id, unnest(range(1, len(lines) + 1, 7)) as line from d),
-  s as (select file, lines, greatest(1, line - 10) as start, min(line) as line from h group by all),
-  x as (select file, start, line, list_slice(lines, start, line + 45) as part from s),
-  n as (select file, start, line, array_to_string(list_transform(part, lambda v, i: (start + i - 1) || ': ' || v), chr(10)) as text from x)
-  select 'S' || left(sha256(file || ':' || start), 12) as evidence_id, file, cast(start as int) as start, cast(line as int) as line, length(text) > 7000 as truncated from n""")
+_MASKED_SOURCE = "array_to_string(part, chr(10))"
+for _pattern, _mask in ((names.SOURCE_PRIVATE_KEY, "[REDACTED PRIVATE KEY]"), (names.SOURCE_SECRET_LITERAL, r'\1"' + names.MASK + '"'), (names.SECRET_TOKEN, names.MASK)):
+    _MASKED_SOURCE = "regexp_replace({}, '{}', '{}', 'g')".format(_MASKED_SOURCE, _pattern.replace("'", "''"), _mask)
+
+
+# The masks keep no line ends here, since no secret of the documents goes over a line.
+@query("w11_excerpts", f"""with d as (select 'f' || doc_id as file, sha256(text) as hash, string_split(text, chr(10)) as lines, doc_id from documents),
+  h as (select file, hash, lines, unnest(range(1, len(lines) + 1, 7)) as line from d),
+  s as (select file, hash, lines, greatest(1, line - 10) as start, min(line) as line from h group by all),
+  x as (select *, list_slice(lines, start, line + 45) as part from s), y as (select *, string_split({_MASKED_SOURCE}, chr(10)) as masked from x),
+  n as (select file, hash, start, line, array_to_string(list_transform(masked, lambda v, i: (start + i - 1) || ': ' || v), chr(10)) as text from y)
+  select 'S' || left(sha256(file || ':' || start), 12) as evidence_id, 'route' as kind, file, cast(start as int) as start, cast(line as int) as line, hash, false as truncated, text from n""")
 def excerpts(spark, sf):
-    """An excerpt around every seventh line of every document; starts at line 1 collapse into one."""
-    files = fx.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id").alias("file"), F.replace("text", F.lit("\r"), F.lit("")).alias("text"))
+    """A whole excerpt around every seventh line of every document; starts at line 1 collapse into one."""
+    files = fx.table(spark, sf, "documents").select(F.concat(F.lit("f"), "doc_id").alias("file"), "text")
     hits = files.select(
         "file", F.explode(F.sequence(F.lit(1), F.size(F.split("text", "\n")), F.lit(7))).alias("line"), F.lit("route").alias("kind")
     )
-    return review.excerpts(files, hits).select("evidence_id", "file", "start", "line", "truncated")
+    return review.excerpts(files, hits)
 
 
 @query("w08_prefix_budget", """with f as (select doc_id, length(text) as size from documents),
