@@ -128,12 +128,39 @@ class _Index:
         return rank, groups[0] if len(groups) == 1 else np.concatenate(groups)
 
 
+def _stops(
+    places: np.ndarray, taken: np.ndarray, own: np.ndarray, rank: int, token: np.ndarray, after: np.ndarray, before: np.ndarray, vocab: Vocabulary
+) -> np.ndarray:
+    """Places that must wait because a merge before them in their word makes a pair of a lower rank.
+
+    When a place is merged, all taken places before it have been and none after it: its left neighbour is the merged token
+    where the taken place before it ends there, its right neighbour still is as it was.
+    """
+    chosen = places[taken]
+    right = after[chosen]
+    following, leading = after[right], before[chosen]
+    inner, led = following != _NONE, leading != _NONE
+    lower = np.zeros(len(chosen), bool)
+    lower[inner] = vocab.merged(np.full(int(inner.sum()), rank), token[following[inner]]) < rank
+    beside = token[leading[led]]
+    beside[np.r_[False, right[:-1] == leading[1:]][led]] = rank
+    lower[led] |= vocab.merged(beside, np.full(len(beside), rank)) < rank
+    if not lower.any():
+        return np.zeros(len(places), bool)
+    made = np.zeros(len(places), np.int64)
+    made[taken] = lower
+    earlier = np.cumsum(made) - made
+    first = np.r_[True, own[1:] != own[:-1]]
+    return earlier > earlier[first][np.cumsum(first) - 1]
+
+
 def replay(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
     """Packed token ids of each word, all merges replayed over the whole list in rank order.
 
-    A word takes one merge of a rank at a time, its leftmost; the others go back into the index. Where that merge
-    made a pair of a lower rank, the lower rank comes first. So every word sees its merges in the order an encoder
-    of that word alone would take: lowest rank first, and from the left.
+    A turn applies a rank at all its places in a word, from the left and without overlaps, up to the first merge that
+    makes a pair of a lower rank, with what stands beside it at that moment; the places after that go back into the index and
+    the lower rank comes first. So every word sees its merges in the order an encoder of that word alone would
+    take: lowest rank first, and from the left.
     """
     if not words:
         return []
@@ -158,18 +185,27 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[bytes]:
             continue
         if len(places) > 1:
             places = np.sort(places)
+            places = places[np.r_[True, places[1:] != places[:-1]]]
+        if len(places) > 1:
             own = owner[places]
-            first = np.r_[True, own[1:] != own[:-1]]
-            if not first.all():
-                again = places[~first]
-                index.add(again, np.full(len(again), rank, np.int32))
-                places = places[first]
+            follows = np.r_[False, (own[1:] == own[:-1]) & (after[places[:-1]] == places[1:])]
+            at = np.arange(len(places))
+            taken = (at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 0
+            if len(own) != int((own[1:] != own[:-1]).sum()) + 1:  # some word has several
+                stop = _stops(places, taken, own, rank, token, after, before, vocab)
+                if stop.any():
+                    again = places[stop]
+                    index.add(again, np.full(len(again), rank, np.int32))
+                    taken &= ~stop
+            places = places[taken]
         right = after[places]
-        following, leading = after[right], before[places]
+        following = after[right]
         token[places], token[right], waits[right] = rank, -1, _NONE
         after[places] = following
-        inner, led = following != _NONE, leading != _NONE
+        inner = following != _NONE
         before[following[inner]] = places[inner]
+        leading = before[places]
+        led = leading != _NONE
         made = np.full(len(places), _NONE, np.int32)
         made[inner] = vocab.merged(token[places[inner]], token[following[inner]])
         leading = leading[led]
