@@ -63,6 +63,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered_columns(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by their numbers, which nothing inside an operator is, and the numbers of ``names``."""
+    at = {name: f"c{number}" for number, name in enumerate(df.columns)}
+    return df.toDF(*at.values()), [at[name] for name in names]
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that ``df`` has not got, whatever their case."""
     taken = {c.lower() for c in df.columns}

@@ -53,13 +53,16 @@ class Tests:
             length = min(window, len(coded))
             if length:
                 grouped.setdefault(length, []).extend((coded[k : k + length], number, k) for k in range(len(coded) - length + 1))
-        # Test suffixes by length: the word ids of the window, and the items and places it stands at.
-        self.suffixes = {
-            length: (np.array([w for w, _, _ in all_], np.uint32), np.array([n for _, n, _ in all_]), np.array([k for _, _, k in all_]))
-            for length, all_ in grouped.items()
-        }
+        # Distinct test suffixes by length: the word ids of the window, and a slice of the (item, place) pairs it stands at.
+        self.suffixes = {}
+        for length, all_ in grouped.items():
+            windows = np.array([w for w, _, _ in all_], np.uint32)
+            distinct, which = np.unique(windows, axis=0, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            ends = np.cumsum(np.bincount(which.ravel()))
+            self.suffixes[length] = (distinct, ends, np.array([n for _, n, _ in all_])[order], np.array([k for _, _, k in all_])[order])
         self.seeds = {
-            size: np.unique(np.concatenate([_seed_keys(w[:, :size]) for length, (w, _, _) in self.suffixes.items() if min(length, SEED) == size]))
+            size: np.unique(np.concatenate([_seed_keys(w[0][:, :size]) for length, w in self.suffixes.items() if min(length, SEED) == size]))
             for size in {min(length, SEED) for length in self.suffixes}
         }
 
@@ -80,14 +83,13 @@ def _sort_keys(columns: np.ndarray, depth: int, pad: int) -> np.ndarray:
     return np.ascontiguousarray(wide).view(f"S{4 * depth}").ravel()
 
 
-def search(ids: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places, item numbers, item places and lengths of all test suffixes in the shard's word ids.
+def search(ids: np.ndarray, tests: Tests) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """By window length: places in the shard's word ids, and the number of the distinct test suffix that stands there.
 
     0 stands for words that no test has and for the gaps between documents. Suffixes whose first words begin no
     test suffix cannot match and are left out of the array before it is sorted.
     """
-    empty = np.zeros(0, np.int64)
-    found: list[tuple[np.ndarray, ...]] = []
+    found = []
     size = len(ids)
     padded = np.concatenate([ids, np.zeros(tests.window, ids.dtype)])
     start = np.zeros(size, bool)
@@ -101,23 +103,27 @@ def search(ids: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.nd
         start[at[seeds[near] == keys]] = True
     places = np.flatnonzero(start)
     if not len(places):
-        return empty, empty, empty, empty
+        return found
     depth = tests.window
     array_keys = _sort_keys(np.stack([padded[places + k] for k in range(depth)], axis=1), depth, 0)
     order = np.argsort(array_keys, kind="stable")
     array_keys, places = array_keys[order], places[order]
-    for length, (windows, items, item_places) in tests.suffixes.items():
+    for length, (windows, *_) in tests.suffixes.items():
         low = np.searchsorted(array_keys, _sort_keys(windows, depth, 0), side="left")
         high = np.searchsorted(array_keys, _sort_keys(windows, depth, 0xFFFFFFFF), side="right")
         hits = high - low
-        if not hits.any():
-            continue
-        suffix = np.repeat(np.arange(len(windows)), hits)
-        within = np.arange(len(suffix)) - np.repeat(np.cumsum(hits) - hits, hits)
-        found.append((places[low[suffix] + within], items[suffix], item_places[suffix], np.full(len(suffix), length)))
-    if not found:
-        return empty, empty, empty, empty
-    return tuple(np.concatenate(c) for c in zip(*found))
+        if hits.any():
+            window = np.repeat(np.arange(len(windows)), hits)
+            within = np.arange(len(window)) - np.repeat(np.cumsum(hits) - hits, hits)
+            found.append((length, places[low[window] + within], window))
+    return found
+
+
+def _spread(window: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its slice below ``ends``: the row of ``window`` and the place in the slice, one after the other."""
+    counts = np.diff(np.r_[0, ends])[window]
+    row = np.repeat(np.arange(len(window)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + (ends[window] - counts)[row]
 
 
 def longest(place: np.ndarray, item: np.ndarray, item_place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -145,16 +151,23 @@ def _shard(texts: list[str], blocks: list, with_matches: bool) -> tuple[list[int
         for start, found in zip(starts.tolist(), split):
             ids[start : start + len(found)] = np.fromiter((known(w, 0) for w in found), np.int64, len(found))
         finds = search(ids, tests)
-        if not len(finds[0]):
-            continue
-        place, item, item_place, length = longest(*finds)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + length, -1)
-        doc = np.searchsorted(starts, place, side="right") - 1
-        pairs = np.unique(doc * len(tests.names) + item)
-        for d, i in zip(*(v.tolist() for v in np.divmod(pairs, len(tests.names)))):
-            items[d].add(tests.names[i])
-        if with_matches:
+        spelled = []
+        for length, place, window in finds:
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + length, -1)
+            _, ends, owners, item_places = tests.suffixes[length]
+            doc = np.searchsorted(starts, place, side="right") - 1
+            held = np.unique(doc * len(ends) + window)  # a window of a document once, however often it stands there
+            row, at = _spread(held % len(ends), ends)
+            pairs = np.unique((held // len(ends))[row] * len(tests.names) + owners[at])
+            for d, i in zip(*(v.tolist() for v in np.divmod(pairs, len(tests.names)))):
+                items[d].add(tests.names[i])
+            if with_matches:
+                row, at = _spread(window, ends)
+                spelled.append((place[row], owners[at], item_places[at], np.full(len(row), length)))
+        if spelled:
+            place, item, item_place, length = longest(*(np.concatenate(c) for c in zip(*spelled)))
+            doc = np.searchsorted(starts, place, side="right") - 1
             for d, i, k, p, n in zip(doc.tolist(), item.tolist(), item_place.tolist(), (place - starts[doc]).tolist(), length.tolist()):
                 matches[d].append({"item_id": tests.names[i], "item_start": k, "doc_start": p, "n_words": n})
     covered = np.r_[0, np.cumsum(np.cumsum(edge) > 0)]
@@ -184,7 +197,7 @@ class _Block:
         return self.broadcast.value
 
 
-def _match(batches, blocks: list, with_matches: bool, slice_bytes: int, text_at: int, kept: list[int]) -> Iterator[pa.RecordBatch]:
+def _match(batches, blocks: list, with_matches: bool, slice_bytes: int, text_at: int, kept: list[int], into: str) -> Iterator[pa.RecordBatch]:
     for batch in base.slices(batches, text=text_at, limit=slice_bytes):
         counts, hits, items, matches = _shard(batch.column(text_at).to_pylist(), blocks, with_matches)
         columns = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))]
@@ -193,7 +206,7 @@ def _match(batches, blocks: list, with_matches: bool, slice_bytes: int, text_at:
             columns.append(pa.array(matches, _MATCH_ARROW))
             names.append("matches")
         found = pa.StructArray.from_arrays(columns, names)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*(batch.schema.names[c] for c in kept), "_found"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*(batch.schema.names[c] for c in kept), into])
 
 
 def _item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[bytes]:
@@ -246,15 +259,16 @@ def marked(
     items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
     blocks = [_Block(context.broadcast(block)) for block in _item_blocks(items, window, block_bytes)]
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("_found", _found_type(with_matches))])
+    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(into, _found_type(with_matches))])
     kept = [docs.columns.index(c) for c in columns]
     run = base.packaged(
-        _match, blocks=blocks, with_matches=with_matches, slice_bytes=slice_bytes, text_at=docs.columns.index(text_col), kept=kept
+        _match, blocks=blocks, with_matches=with_matches, slice_bytes=slice_bytes, text_at=docs.columns.index(text_col), kept=kept, into=into
     )
-    return docs.mapInArrow(run, schema).withColumnRenamed("_found", into)
+    return docs.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id, n_words, n_hit, items[, matches])`` per document row; see ``marked`` for what they mean."""
     rows = docs.select(id_col, text_col)
-    return marked(rows, benchmark, text_col, columns=[id_col], **options).select(id_col, "_found.*")
+    (into,) = base.free_names(rows, "_found")
+    return marked(rows, benchmark, text_col, columns=[id_col], into=into, **options).select(id_col, f"{into}.*")

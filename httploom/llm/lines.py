@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ DEPTH = 4
 SIMILAR = 0.7
 MIN_DOCS = 10
 COPY_SHARE = 8 / 9  # shared characters of two documents that are 0.8 similar, which the near-duplicate stage joins
-LEAF_LINES = 1 << 14  # lines of a leaf that are matched at a time
 _DIGIT = re.compile(r"[0-9]")
 _FIELD = "<*>"
 
@@ -78,36 +78,45 @@ def _lines(batches, depth: int):
 
 
 class Leaf:
-    """Templates of one leaf; all its lines have the same number of tokens.
+    """Templates of one leaf; all its lines have the same number of tokens and the same ``depth`` leading ones.
 
     A template is compared by its first line, which stays as it is, so a line's template depends on the order of the lines
     alone and not on the pieces they come in. Positions where members differ from it are the variable fields.
+
+    Where a line may differ from its template in so many tokens, the two agree at one at least of any positions that are one
+    more. So templates are found by the line's rarest tokens, and only those that share one with it are compared with it.
     """
 
-    def __init__(self, similar: float):
-        self.similar = similar
-        self.codes: dict[str, int] = {_FIELD: 0}
-        self.templates: list[np.ndarray] = []
+    def __init__(self, similar: float, depth: int = DEPTH):
+        self.similar, self.depth = similar, depth
+        self.templates: list[list[str]] = []
         self.names: list[int] = []
+        self.holders: dict[tuple[int, str], list[int]] = {}  # templates by position and token
 
     def place(self, lines: list[str], hashes: list[int]) -> list[int]:
         """Template id of each line: the first template, in order of appearance, that it is similar to."""
-        coded = np.array([[self.codes.setdefault(t, len(self.codes)) for t in line.split(" ")] for line in lines], np.int32)
-        out = np.zeros(len(lines), np.int64)
-        rest = np.arange(len(lines))
-        at = 0
-        while len(rest):
-            if at == len(self.templates):
-                self.templates.append(coded[rest[0]].copy())
-                self.names.append(hashes[rest[0]])
-            same = (coded[rest] == self.templates[at]).mean(axis=1) >= self.similar
-            out[rest[same]] = self.names[at]
-            rest = rest[~same]
-            at += 1
-        return out.tolist()
-
-
-def _templates(batches, similar: float) -> Iterator[pa.RecordBatch]:
+        out = []
+        for line, value in zip(lines, hashes):
+            tokens = line.split(" ")
+            size = len(tokens)
+            apart = next(k for k in range(size, -1, -1) if (size - k) / size >= self.similar)  # tokens that may differ
+            held = [self.holders.get((at, tokens[at]), ()) for at in range(min(self.depth, size), size)]
+            if apart >= len(held):
+                met = range(min(1, len(self.templates)))  # whatever follows the common head, the line is similar enough
+            else:
+                met = sorted(set().union(*sorted(held, key=len)[: apart + 1]))
+            found = next((t for t in met if sum(map(eq, tokens, self.templates[t])) / size >= self.similar), None)
+            if found is None:
+                found = len(self.templates)
+                self.templates.append(tokens)
+                self.names.append(value)
+                for at in range(min(self.depth, size), size):
+                    self.holders.setdefault((at, tokens[at]), []).append(found)
+            out.append(self.names[found])
+        return out
+
+
+def _templates(batches, similar: float, depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
     """Template of each distinct line; rows come sorted by leaf, so one leaf's templates are held at a time."""
     open_leaf, leaf = None, None
     for batch in batches:
@@ -118,10 +127,8 @@ def _templates(batches, similar: float) -> Iterator[pa.RecordBatch]:
         cuts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
             if leaf is None or keys[a] != open_leaf:
-                open_leaf, leaf = keys[a], Leaf(similar)
-            for at in range(a, b, LEAF_LINES):
-                stop = min(b, at + LEAF_LINES)
-                found.extend(leaf.place(lines[at:stop], hashes[at:stop]))
+                open_leaf, leaf = keys[a], Leaf(similar, depth)
+            found.extend(leaf.place(lines[a:b], hashes[a:b]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["leaf", "hash", "template"])
 
 
@@ -162,7 +169,7 @@ def recurring(
     lines = stored(numbered.mapInArrow(base.packaged(_lines, depth=depth), schema).join(_joinable(leaves, 16), "leaf", "left_semi"), "lines")
     distinct = lines.select("leaf", "hash", "line").distinct()
     ordered = distinct.repartition("leaf").sortWithinPartitions("leaf", "line", "hash").select("leaf", "hash", "line")
-    placed = stored(ordered.mapInArrow(base.packaged(_templates, similar=similar), "leaf long, hash long, template long"), "templates")
+    placed = stored(ordered.mapInArrow(base.packaged(_templates, similar=similar, depth=depth), "leaf long, hash long, template long"), "templates")
     at = lines.select("id", "leaf", "hash").join(_joinable(placed, 32), ["leaf", "hash"])
     frequent = (
         at.groupBy("leaf", "template").agg(F.count_distinct(F.struct("id")).alias("n_docs")).where(F.col("n_docs") >= min_docs)

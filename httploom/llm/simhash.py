@@ -282,9 +282,10 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs`` per near-duplicate group of ``near_duplicates``, whatever ids its rows have (see ``keep_first``).
 
-    ``_fp0``, ``_fp1``, ``_node`` must not occur in ``docs`` either.
+    Columns of ``docs`` may have any names.
     """
-    spark = docs.sparkSession
+    spark, given = docs.sparkSession, docs.columns
+    docs, (id_col, text_col) = base.numbered_columns(docs, id_col, text_col)
     names = _parts(n_parts)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{p}", T.LongType()) for p in names)])
     run = base.packaged(_with_node, text_at=docs.columns.index(text_col), shingle=shingle, seed=seed, n_parts=n_parts)
@@ -295,7 +296,7 @@ def keep_one(
     distinct = marked.select(F.col("_node").alias("node"), *(F.col(f"_{p}").alias(p) for p in names)).distinct()
     block_distance = distance if block_distance is None else block_distance
     roots = components(spark, links(distinct, plan_blocks(distinct.count(), block_distance), distance, block_distance))
-    return keep_first(marked, roots, id_col, text_col).select(*docs.columns)
+    return keep_first(marked, roots, id_col, text_col).select(*docs.columns).toDF(*given)
 
 
 def near_duplicates(

@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 import pytest
+from conftest import SF_DIR
 
 import corpus_pipeline
 from httploom.llm import near, simhash
@@ -62,6 +63,21 @@ def test_spanning_connects_chains():
     assert all(close(sets[a], sets[b]) for a, b in links) and len(links) < len(sets)
 
 
+INSIDE = ["_node", "_keys", "_digest", "_id", "_n", "_first", "_fp0", "root", "node", "c0", "_recurring", "_lines", "_quality", "_quality_raw", "_found", "label", "key"]
+
+
+@pytest.mark.parametrize("stage", [near.keep_one, simhash.keep_one, *(f for _, f in corpus_pipeline.STAGES[:4])])
+def test_columns_may_have_any_name(spark, rows, stage):
+    """Rows, ids and texts are as without the other columns, and those come back as they were."""
+    docs = spark.createDataFrame(rows("documents", "doc_id", "text", "lang", "source", "n_chars")[:60], "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = docs.selectExpr("*", *(f"concat('{name}', doc_id) as {name}" for name in INSIDE))
+    run = (lambda df: stage(spark, df, SF_DIR)) if stage not in (near.keep_one, simhash.keep_one) else stage
+    got = run(clashing)
+    assert got.columns == clashing.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted((r.doc_id, r.text) for r in run(docs).collect())
+    assert got.where(" or ".join(f"{name} <> concat('{name}', doc_id)" for name in INSIDE)).count() == 0
+
+
 @pytest.mark.parametrize("keep_one", [near.keep_one, simhash.keep_one])
 def test_ids_do_not_make_copies(spark, keep_one):
     """Different texts with no id, or with one id, all stay; copies go whatever their ids."""
