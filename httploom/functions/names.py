@@ -110,10 +110,13 @@ NUMERIC_PATH_ID = r"/(\d{1,10})(?:/|$|\?)"
 
 # -- redaction ---------------------------------------------------------------
 MASK = "[REDACTED]"
-SECRET_NAME = (
-    r"(?i)password|passwd|token|secret|api[-_]?key|authorization|cookie|session|csrf|xsrf"
+SECRET_WORDS = (
+    r"password|passwd|token|secret|api[-_]?key|authorization|cookie|session|csrf|xsrf"
     r"|private[-_]?key|credential|ssn|credit[-_]?card"
 )
+SECRET_NAME = "(?i)" + SECRET_WORDS
+# With ``^`` and ``$`` at line ends; what is kept is the name.
+SECRET_HEADER_LINE = r"^([^:\r\n]*(?i:" + SECRET_WORDS + r")[^:\r\n]*):[^\S\r\n]*.*$"
 # A name prefix such as ``access_`` is outside the match and so stays as it is.
 SECRET_ASSIGNMENT = (
     r"(?i)((?:password|passwd|token|secret|api[_-]?key|session(?:_?id)?|csrf|xsrf"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,26 +87,48 @@ def sample_records(items: DataFrame, limit: int = 3, body_limit: int | None = No
 
 
 # -- rewrites ----------------------------------------------------------------
-_PREFIX = re.compile(r"/[^?#]*")
-_ORIGIN = re.compile(r"https?://[^/?#@\s]+")
-
-
-def check_rewrites(rewrites: list[dict], max_rules: int | None = None) -> list[dict]:
-    """Validated rules, longest prefix first; duplicates, malformed rules and more than ``max_rules`` are errors."""
-    if not isinstance(rewrites, list) or (max_rules is not None and len(rewrites) > max_rules):
-        raise ValueError("Path rewrites must be a list" + ("." if max_rules is None else f" of at most {max_rules} rules."))
-    seen = set()
-    for rule in rewrites:
-        if not all(isinstance(rule.get(key), str) for key in ("origin", "from", "to")):
-            raise ValueError("Each rewrite needs origin, from and to strings.")
-        paths_ok = all(_PREFIX.fullmatch(rule[key]) and ".." not in rule[key] for key in ("from", "to"))
-        if not _ORIGIN.fullmatch(rule["origin"]) or rule["origin"] != rule["origin"].lower() or not paths_ok:
-            raise ValueError("Rewrite origins must be exact HTTP origins and prefixes must be absolute URL paths.")
-        key = (rule["origin"], rule["from"].rstrip("/"))
-        if key in seen:
-            raise ValueError("Duplicate rewrite origin/prefix.")
-        seen.add(key)
-    return sorted(rewrites, key=lambda rule: -len(rule["from"]))
+class Rewrite(NamedTuple):
+    """Paths of ``origin`` below ``head`` (all, if it is empty) are seen by the application below ``target``."""
+
+    origin: str
+    head: str
+    target: str
+
+
+def _web_origin(text: str) -> bool:
+    """Whether the text is a scheme and a lower-case host with an optional port, and nothing else."""
+    try:
+        parts = urlsplit(text)
+        whole = parts.scheme in ("http", "https") and parts.hostname and parts.username is None and (parts.port or True)
+    except ValueError:
+        return False
+    return bool(whole) and text == f"{parts.scheme}://{parts.netloc}" and text == text.lower() and not re.search(r"\s", text)
+
+
+def _absolute_path(text: str) -> bool:
+    return text[:1] == "/" and not set("?#") & set(text) and ".." not in text
+
+
+_CHECKED = {"origin": _web_origin, "from": _absolute_path, "to": _absolute_path}
+
+
+def parse_rewrites(rules: list[dict], max_rules: int | None = None) -> list[Rewrite]:
+    """The rules ``{"origin", "from", "to"}`` as ``Rewrite``, longest head first; all that is wrong with them is one error."""
+    if not isinstance(rules, list):
+        raise ValueError("rewrites: a list is expected")
+    wrong = [] if max_rules is None or len(rules) <= max_rules else [f"{len(rules)} rules, {max_rules} are allowed"]
+    parsed: dict[tuple[str, str], Rewrite] = {}
+    for number, rule in enumerate(rules, 1):
+        bad = [name for name, ok in _CHECKED.items() if not isinstance(rule, dict) or not isinstance(rule.get(name), str) or not ok(rule[name])]
+        if bad:
+            wrong.append(f"rule {number}: {', '.join(bad)}")
+            continue
+        made = Rewrite(rule["origin"], rule["from"].rstrip("/"), rule["to"])
+        if parsed.setdefault(made[:2], made) is not made:
+            wrong.append(f"rule {number}: {made.origin}{made.head or '/'} again")
+    if wrong:
+        raise ValueError("rewrites: " + "; ".join(wrong))
+    return sorted(parsed.values(), key=lambda made: len(made.head), reverse=True)
 
 
 def rewrite_paths(endpoint_rows: DataFrame, rewrites: list[dict]) -> DataFrame:
@@ -113,14 +137,10 @@ def rewrite_paths(endpoint_rows: DataFrame, rewrites: list[dict]) -> DataFrame:
     Rules are typed in by a user, so they are one conditional expression and no join.
     """
     effective = F.col("path")
-    for rule in reversed(check_rewrites(rewrites)):
-        prefix = rule["from"].rstrip("/")
-        hit = (F.col("origin") == rule["origin"]) & (
-            F.lit(prefix == "") | (F.col("path") == prefix) | F.col("path").startswith(prefix + "/")
-        )
-        rest = F.col("path").substr(F.lit(len(prefix) + 1), F.length("path"))
-        changed = F.regexp_replace(F.concat(F.lit(f"/{rule['to']}/"), rest), r"/{2,}", "/")
-        effective = F.when(hit, changed).otherwise(effective)
+    for origin, head, target in reversed(parse_rewrites(rewrites)):
+        hit = (F.col("origin") == origin) & (F.lit(not head) | (F.col("path") == head) | F.col("path").startswith(head + "/"))
+        rest = F.col("path").substr(F.lit(len(head) + 1), F.length("path"))
+        effective = F.when(hit, F.regexp_replace(F.concat(F.lit(f"/{target}/"), rest), r"/{2,}", "/")).otherwise(effective)
     return endpoint_rows.withColumn("effective_path", effective)
 
 

@@ -376,7 +376,7 @@ def test_route_methods(spark):
 )
 def test_bad_rewrites_fail(rules):
     with pytest.raises(ValueError):
-        mapping.check_rewrites(rules, max_rules=30)
+        mapping.parse_rewrites(rules, max_rules=30)
 
 
 def test_rewrite_is_bound_to_its_origin(spark):
