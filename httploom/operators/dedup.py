@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import http, jsonx, names, redact, urls
 from ..functions import text as tx
+from ..session import stored
 from . import ordering
 
 
@@ -116,15 +117,19 @@ def endpoint_changes(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
     )
 
 
+def _parameters() -> Column:
+    """Names of an item's query and top-level JSON parameters, with their place before them."""
+    return F.concat(
+        F.transform(urls.query_pairs(urls.query(F.col("url")), keep_blank=True), lambda p: F.concat(F.lit("query:"), p["name"])),
+        F.coalesce(F.transform(jsonx.object_keys(F.col("request_body")), lambda k: F.concat(F.lit("json:"), k)), F.array().cast("array<string>")),
+    )
+
+
 def parameter_changes(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
     """Query keys and top-level JSON keys that appeared on or vanished from common endpoints."""
     observed = _observations(baseline, comparison)
-    parameters = F.concat(
-        F.transform(urls.query_pairs(urls.query(F.col("url")), keep_blank=True), lambda p: F.concat(F.lit("query:"), p["name"])),
-        F.transform(jsonx.object_keys(F.col("request_body")), lambda k: F.concat(F.lit("json:"), k)),
-    )
     changed = (
-        observed.select("endpoint", "side", F.explode(F.array_distinct(parameters)).alias("parameter"))
+        observed.select("endpoint", "side", F.explode(F.array_distinct(_parameters())).alias("parameter"))
         .groupBy("endpoint", "parameter")
         .agg(F.bool_or(F.col("side") == 1).alias("before"), F.bool_or(F.col("side") == 2).alias("after"))
         .where(F.col("before") != F.col("after"))
@@ -145,18 +150,30 @@ def authorization_downgrades(baseline: DataFrame, comparison: DataFrame) -> Data
 
 
 def capture_diff(baseline: DataFrame, comparison: DataFrame) -> DataFrame:
-    """New and removed endpoints, parameter changes and authorization downgrades as one table."""
-    endpoints = endpoint_changes(baseline, comparison).where(F.col("change") != "common")
-    return (
-        endpoints.select(F.concat(F.col("change"), F.lit("_endpoint")).alias("change_type"), "endpoint", F.lit("").alias("parameter"))
-        .unionByName(
-            parameter_changes(baseline, comparison).select(
-                F.concat(F.col("change"), F.lit("_parameter")).alias("change_type"), "endpoint", "parameter"
-            )
-        )
-        .unionByName(
-            authorization_downgrades(baseline, comparison).select(
-                F.lit("authorization_downgrade").alias("change_type"), "endpoint", F.lit("").alias("parameter")
-            )
-        )
-    )
+    """New and removed endpoints, parameter changes and authorization downgrades as one table.
+
+    Each capture is read once: an item gives a row for its endpoint and one for each of its parameters, and the flags of both
+    meet in one map-side-combined aggregate. What follows reads its distinct rows.
+    """
+    observed = _observations(baseline, comparison)
+    first, second = F.col("side") == 1, F.col("side") == 2
+    none = F.lit(None).cast("string")
+    named = F.concat(F.array(none), F.array_distinct(_parameters()))
+    flags = {
+        "before": first, "after": second, "auth_before": first & F.col("has_auth"), "auth_after": second & F.col("has_auth"),
+        "success_after": second & F.col("success"),
+    }
+    rows = observed.select("endpoint", F.explode(named).alias("parameter"), *[on.alias(name) for name, on in flags.items()])
+    seen = stored(rows.groupBy("endpoint", "parameter").agg(*[F.bool_or(name).alias(name) for name in flags]), "seen")
+    change = F.when(~F.col("before"), F.lit("new")).when(~F.col("after"), F.lit("removed"))
+    ends, parameters = seen.where(F.col("parameter").isNull()), seen.where(F.col("parameter").isNotNull())
+    common = ends.where(F.col("before") & F.col("after"))
+    changed = parameters.where(change.isNotNull()).select("endpoint", "parameter", F.concat(change, F.lit("_parameter")).alias("change_type"))
+    shown = ordering.lookup_join(changed, common.select("endpoint"), ["endpoint"], ["parameter"], "left_semi")
+    whole = [
+        ends.where(change.isNotNull()).select(F.concat(change, F.lit("_endpoint")).alias("change_type"), "endpoint", F.lit("").alias("parameter")),
+        common.where(F.col("auth_before") & ~F.col("auth_after") & F.col("success_after")).select(
+            F.lit("authorization_downgrade").alias("change_type"), "endpoint", F.lit("").alias("parameter")
+        ),
+    ]
+    return whole[0].unionByName(whole[1]).unionByName(shown)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import mapping, ordering, review
 
 # Why an excerpt is shown.
@@ -108,17 +109,16 @@ def review_evidence(
     left out and smaller ones after it may still go in. Everything per endpoint is bounded by these parameters and the length
     of mount trails; bodies and excerpts are whole unless ``body_limit`` or ``text_limit`` is set.
     """
-    store = review._stored
     found = mapping.match_routes(endpoint_rows, routes)
-    candidates = store(mapping.ranked_candidates(found, matches), "candidates")
+    candidates = stored(mapping.ranked_candidates(found, matches), "candidates")
     places = matched_places(candidates, routes)
     if chosen is not None:
         places = places.unionByName(chosen_places(chosen, picks))
-    source = store(source_records(places, files, before, after, text_limit), "evidence")
+    source = stored(source_records(places, files, before, after, text_limit), "evidence")
     columns = ["endpoint_id", "at", "evidence_id", "kind", "file", "line", "record"]
-    first = store(traffic(items, endpoint_rows, samples, body_limit).select(*columns).unionByName(source.select(*columns)), "evidence")
+    first = stored(traffic(items, endpoint_rows, samples, body_limit).select(*columns).unionByName(source.select(*columns)), "evidence")
     size = F.length("record").cast("long").alias("size")
-    kept = store(review.budget_keys(first.select("endpoint_id", "at", size), "endpoint_id", ["at"], budget), "kept")
+    kept = stored(review.budget_keys(first.select("endpoint_id", "at", size), "endpoint_id", ["at"], budget), "kept")
 
     shown = source.where(F.col("kind").isin("route", "mount")).join(kept, ["endpoint_id", "at"], "left_semi").select("endpoint_id", "text")
     declared = review.related_declarations(shown, files, related).select(
@@ -127,7 +127,7 @@ def review_evidence(
     )
     starts = source.select("endpoint_id", "file", "start").distinct()
     new = source_records(declared, files, before, after, text_limit).join(starts, ["endpoint_id", "file", "start"], "left_anti")
-    last = store(new.select(*columns), "evidence")
+    last = stored(new.select(*columns), "evidence")
     used = kept.groupBy("endpoint_id").agg(F.sum("size").alias("used"))
     more = review.budget_keys(last.select("endpoint_id", "at", size), "endpoint_id", ["at"], budget, used=used)
     keys = kept.drop("position").unionByName(more.drop("position"))

@@ -24,8 +24,12 @@ def _tagged(source: str, pairs: Column, value_of) -> Column:
     )
 
 
-def parameters(items: DataFrame) -> DataFrame:
-    """One row per input occurrence: source, key, name, value, endpoint, host, index, position."""
+def parameters(items: DataFrame, json_limit: int | None = None, header_limit: int | None = None) -> DataFrame:
+    """One row per input occurrence: source, key, name, value, endpoint, host, index, position.
+
+    Values of JSON members and headers are whole unless a limit cuts them to so many characters.
+    """
+    cut = lambda limit: lambda p: p["value"] if limit is None else F.substring(p["value"], 1, limit)
     body, headers = F.col("request_body"), F.col("request_headers")
     is_form = F.lower(http.header_value(headers, "content-type")).contains("form") | (
         body.contains("=") & ~tx.strip(body).startswith("{")
@@ -37,9 +41,9 @@ def parameters(items: DataFrame) -> DataFrame:
         F.when(
             is_form & (body != ""), _tagged("body_form", urls.query_pairs(body, keep_blank=True), lambda p: p["value"])
         ).otherwise(none),
-        _tagged("json_body", jsonx.flatten(body), lambda p: F.substring(p["value"], 1, 100)),
+        _tagged("json_body", jsonx.flatten(body), cut(json_limit)),
         _tagged("cookie", http.cookie_pairs(headers), lambda p: F.lit("(value)")),
-        _tagged("header", custom, lambda p: F.substring(p["value"], 1, 60)),
+        _tagged("header", custom, cut(header_limit)),
     )
     return items.select(
         "index", "host", http.endpoint(F.col("method"), F.col("path")).alias("endpoint"), F.posexplode(found).alias("pos", "p")
@@ -75,11 +79,12 @@ def index(parameter_rows: DataFrame) -> DataFrame:
     )
 
 
-def examples(parameter_rows: DataFrame, limit: int = EXAMPLES) -> DataFrame:
-    """First distinct non-empty values (cut to 100 characters) of each parameter in arrival order."""
+def examples(parameter_rows: DataFrame, limit: int = EXAMPLES, value_limit: int | None = None) -> DataFrame:
+    """First distinct non-empty values of each parameter in arrival order, cut to ``value_limit`` characters where that is set."""
+    value = F.col("value") if value_limit is None else F.substring("value", 1, value_limit)
     first_seen = (
         parameter_rows.where(F.col("value") != "")
-        .groupBy(*KEYS, F.substring("value", 1, 100).alias("value"))
+        .groupBy(*KEYS, value.alias("value"))
         .agg(F.min(_arrival()).alias("arrival"))
     )
     return ordering.smallest_per_group(first_seen, KEYS, [F.col("arrival")], limit).select(*KEYS, "rank", "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, redact
 from ..functions import text as tx
-from ..session import scratch
+from ..session import stored
 from . import ordering
 
 # Review checks and the profiles that group them.
@@ -212,12 +212,6 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 BATCH, LARGEST_BATCH = 256, 1 << 12
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def budget_keys(
     sized: DataFrame, key: str, order: list[str], budget: int, considered: int | None = None, max_kept: int | None = None,
     stop_below: int = 0, used: DataFrame | None = None, batch: int = BATCH,
@@ -244,7 +238,7 @@ def budget_keys(
     narrow = narrow.withColumn("_n", F.lit(0))
     enough = (F.lit(budget) - F.col("_used") >= stop_below) & (F.col("_n") < F.lit(2**31 - 1 if max_kept is None else max_kept))
     fits = enough & (F.col("_size") <= F.lit(budget) - F.col("_used"))
-    rest = _stored(narrow.where(fits), "budget")
+    rest = stored(narrow.where(fits), "budget")
     parts = []
     if max_kept is None and stop_below <= 0:
         parts.append(rest.where("_size = 0").select(key, "_at", "_size"))
@@ -268,10 +262,10 @@ def budget_keys(
         folded = rows.select(
             key, F.element_at("_rows", -1)["_at"].alias("_last"), F.aggregate("_rows", F.struct(F.col("_used").alias("used"), F.col("_n").alias("n"), empty.alias("kept")), take).alias("f")
         )
-        state = _stored(folded.select(key, "_last", F.col("f.used").alias("_used"), F.col("f.n").alias("_n"), "f.kept"), "budget")
+        state = stored(folded.select(key, "_last", F.col("f.used").alias("_used"), F.col("f.n").alias("_n"), "f.kept"), "budget")
         parts.append(state.select(key, F.explode("kept").alias("r")).select(key, "r._at", "r._size"))
         later = rest.select(key, "_at", "_size").join(ordering.broadcast_if_small(state.drop("kept")), key).where((F.col("_at") > F.col("_last")) & fits)
-        rest = _stored(later.drop("_last"), "budget")
+        rest = stored(later.drop("_last"), "budget")
         batch = min(LARGEST_BATCH, 8 * batch)
     if not parts:
         parts.append(rest.select(key, "_at", "_size"))
@@ -306,5 +300,5 @@ def prefix_budget(rows: DataFrame, order_col: str, size: Column, budget: int = 6
     """
     if considered is not None:
         rows = first_rows(rows, order_col, considered)
-    sized = _stored(rows.select(order_col, size.cast("long").alias("size")), "sizes")
+    sized = stored(rows.select(order_col, size.cast("long").alias("size")), "sizes")
     return rows.join(ordering.running_sum(sized, order_col, "size", "running", budget, bits), order_col)

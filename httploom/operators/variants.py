@@ -6,12 +6,15 @@ holds boundary numbers and a marker word only.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import http, jsonx, names, urls
 from ..functions import text as tx
 from . import ordering
+
 MARKER = "review-marker"
 REVIEW_TARGET = "https://example.invalid/"
 DEFAULT_VALUES = {
@@ -298,9 +301,7 @@ def manifest_summary(findings: DataFrame, cases: DataFrame) -> DataFrame:
 
 # -- review templates --------------------------------------------------------
 def _matcher(kind: str, part: str, values: list[str]) -> str:
-    import json
-
-    return json.dumps({"type": kind, "part": part, {"word": "words", "regex": "regex", "dsl": "dsl"}[kind]: values})
+    return json.dumps({"type": kind, "part": part, "words" if kind == "word" else kind: values})
 
 
 # What a reviewer's template looks for, per category.
@@ -323,10 +324,12 @@ MATCHERS = {
     ],
     "IDOR": [_matcher("dsl", "body", ["status_code_1 == 200 && status_code_2 == 200 && body_1 != body_2"])],
 }
+# Request headers that a category's template adds.
+TEMPLATE_HEADERS = {"CORS Misconfiguration": [("Origin", REVIEW_TARGET.rstrip("/"))]}
 
 
 def review_templates(findings: DataFrame, items: DataFrame) -> DataFrame:
-    """One review template per eligible GET finding: targets, matchers, severity fixed to ``info``.
+    """One review template per eligible GET finding: targets, added request headers, matchers, severity fixed to ``info``.
 
     Targets hold the captured path and, where the category varies a value, the changed path.
     """
@@ -353,9 +356,13 @@ def review_templates(findings: DataFrame, items: DataFrame) -> DataFrame:
     matchers = F.when(category == "Security Headers", header_matchers)
     for name, fixed in MATCHERS.items():
         matchers = matchers.when(category == name, F.array(*[F.lit(m) for m in fixed]))
+    headers = F.array().cast("array<struct<name:string,value:string>>")
+    for name, added in TEMPLATE_HEADERS.items():
+        given = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in added])
+        headers = F.when(category == name, given).otherwise(headers)
     shaped = pointed.select(
         "finding_id", "category", F.concat("title", F.lit(" (review candidate)")).alias("name"), F.lit("info").alias("severity"),
-        F.col("item.slug").alias("source_item"), "host", targets.alias("targets"), matchers.alias("matchers"),
+        F.col("item.slug").alias("source_item"), "host", targets.alias("targets"), headers.alias("request_headers"), matchers.alias("matchers"),
         F.when(category.isin("Security Headers"), F.lit("or")).otherwise(F.lit("and")).alias("matchers_condition"),
     )
     return shaped.where(F.size("matchers") > 0)

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from . import dedup
 
 
-def documents(items: DataFrame) -> DataFrame:
-    """Masked JSON document and metadata per item; embeddings are joined by the caller on ``id``."""
+def documents(items: DataFrame, body_limit: int | None = None) -> DataFrame:
+    """Masked JSON document and metadata per item; embeddings are joined by the caller on ``id``.
+
+    Bodies are whole; with ``body_limit`` they are cut to so many characters and ``truncated`` tells where one was.
+    """
     masked = dedup.redact_items(items)
-    text = F.to_json(
-        F.struct(
-            F.col("slug").alias("item"), "method", "url",
-            F.substring("request_body", 1, 2000).alias("request"), F.substring("response_body", 1, 2000).alias("response"),
-        )
-    )
+    bodies = ["request_body", "response_body"]
+    shown = [F.col(c) if body_limit is None else F.substring(c, 1, body_limit) for c in bodies]
+    long = F.lit(False) if body_limit is None else F.greatest(*(F.length(c) for c in bodies)) > body_limit
+    text = F.to_json(F.struct(F.col("slug").alias("item"), "method", "url", shown[0].alias("request"), shown[1].alias("response")))
     return masked.select(
-        F.col("index").cast("string").alias("id"), text.alias("document"), "method", "path", "host", "status"
+        F.col("index").cast("string").alias("id"), text.alias("document"), long.alias("truncated"), "method", "path", "host", "status"
     )
 
 

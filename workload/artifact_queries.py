@@ -63,7 +63,7 @@ def wasm(spark, sf):
 
 
 # -- vectors -----------------------------------------------------------------
-@query("t04_vector_documents", f"""with {fx.TI} select cast(idx as varchar) as id, method, path, host, status,
+@query("t04_vector_documents", f"""with {fx.TI} select cast(idx as varchar) as id, method, path, host, status, false as truncated,
   '{{"item":"' || slug || '","method":"' || method || '","url":"' || url || '","request":"' || replace({fx.MASKED_BODY}, '"', '\\"') || '","response":"' ||
    case when response_body like '{{%' then replace(replace(response_body, ':', ': '), '"', '\\"') else response_body end || '"}}' as document
   from ti""")
@@ -184,17 +184,25 @@ def manifest_summary(spark, sf):
     return variants.manifest_summary(found, variants.manifest(found, fx.te_items(spark, sf)))
 
 
+_MATCHERS = {c: "\n".join(variants.MATCHERS[c]).replace("'", "''") for c in ("IDOR", "CORS Misconfiguration")}
+_OWN_TARGET = "path || case when query <> '' then '?' || query else '' end"
+
+
 @query("v04_templates", f"""with {fx.TI}, t as (
-  select idx, 'IDOR' as category, path || case when query <> '' then '?' || query else '' end || '|' || regexp_replace(path, '/[0-9]+', '/' || (k + 1)) || case when query <> '' then '?' || query else '' end as targets, 'and' as c, slug, host
+  select idx, 'IDOR' as category, 'Potential IDOR: GET ' || path as title, {_OWN_TARGET} || '|' || regexp_replace(path, '/[0-9]+', '/' || (k + 1)) || case when query <> '' then '?' || query else '' end as targets,
+    '{_MATCHERS["IDOR"]}' as matchers, '' as request_headers, slug, host
    from ti where method = 'GET' and (path like '/items/%')
-  union all select idx, 'CORS Misconfiguration', path || case when query <> '' then '?' || query else '' end, 'and', slug, host from ti where method = 'GET' and k % 10 = 0)
-  select idx, category, 'info' as severity, targets, c as matchers_condition, slug as source_item, host from t""")
+  union all select idx, 'CORS Misconfiguration', 'Wildcard CORS review: GET ' || path, {_OWN_TARGET}, '{_MATCHERS["CORS Misconfiguration"]}', 'Origin: https://example.invalid', slug, host
+   from ti where method = 'GET' and k % 10 = 0)
+  select idx, category, title || ' (review candidate)' as name, 'info' as severity, targets, matchers, request_headers, 'and' as matchers_condition, slug as source_item, host from t""")
 def templates(spark, sf):
     items = fx.te_items(spark, sf)
     found = findings.row_findings(items, findings.id_rule(), findings.cors_rule(), findings.unauthenticated_rule())
     made = variants.review_templates(found.withColumn("finding_id", F.col("ord")), items)
+    added = F.array_join(F.transform("request_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n")
     return made.select(
-        F.col("finding_id").alias("idx"), "category", "severity", F.array_join("targets", "|").alias("targets"), "matchers_condition", "source_item", "host"
+        F.col("finding_id").alias("idx"), "category", "name", "severity", F.array_join("targets", "|").alias("targets"),
+        F.array_join("matchers", "\n").alias("matchers"), added.alias("request_headers"), "matchers_condition", "source_item", "host",
     )
 
 

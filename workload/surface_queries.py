@@ -74,9 +74,9 @@ _PR = f"""{fx.TE}, pr as (
   union all select 'body_form', split_part(p, '=', 1), split_part(p, '=', 2), idx, method, path, host from (select *, unnest(string_split(request_body, '&')) as p from te where request_body like 'order%')
   union all select 'json_body', unnest(['user_id', 'active', 'profile.token']), unnest([cast(user_id as varchar), 'true', 't' || k]), idx, method, path, host from te where request_body like '{{%'
   union all select 'cookie', unnest(['sid', 'theme']), '(value)', idx, method, path, host from te where user_id % 2 = 0
-  union all select 'header', split_part(p, ': ', 1), left(split_part(p, ': ', 2), 60), idx, method, path, host from (select *, unnest(string_split(request_headers_text, chr(10))) as p from te) where p not like 'Host:%'),
+  union all select 'header', split_part(p, ': ', 1), split_part(p, ': ', 2), idx, method, path, host from (select *, unnest(string_split(request_headers_text, chr(10))) as p from te) where p not like 'Host:%'),
   pk as (select *, lower(name) as key, method || ' ' || path as endpoint from pr)"""
-_EXAMPLES = """ex as (select source, key, left(value, 100) as value, min(idx) as first from pk where value <> '' group by all),
+_EXAMPLES = """ex as (select source, key, value, min(idx) as first from pk where value <> '' group by source, key, value),
   rk as (select *, row_number() over (partition by source, key order by first) as rank from ex)"""
 
 
