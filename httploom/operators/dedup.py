@@ -61,21 +61,14 @@ def tag_sessions(items: DataFrame) -> DataFrame:
 
 def redact_items(items: DataFrame) -> DataFrame:
     """Mask every text field, drop raw bytes, then recompute the slug and request hash."""
-    masked = items.withColumns(
-        {
-            "url": redact.url(F.col("url")),
-            "path": redact.url(F.col("path")),
-            "request_headers": redact.headers(F.col("request_headers")),
-            "response_headers": redact.headers(F.col("response_headers")),
-            "request_body": redact.message(F.col("request_body")),
-            "response_body": redact.message(F.col("response_body")),
-            "request_raw": redact.message(F.col("request_raw")),
-            "response_raw": redact.message(F.col("response_raw")),
-            "comment": redact.message_body(F.col("comment")),
-            "response_status_line": redact.message_body(F.col("response_status_line")),
-            "response_bytes": F.lit(None).cast("binary"),
-        }
-    )
+    kinds = {
+        redact.url_rule: ["url", "path"],
+        redact.header_rule: ["request_headers", "response_headers"],
+        redact.message_rule: ["request_body", "response_body", "request_raw", "response_raw"],
+        redact.body_rule: ["comment", "response_status_line"],
+    }
+    masked = redact.columns(items, {name: rule(F.col(name)) for rule, found in kinds.items() for name in found})
+    masked = masked.withColumn("response_bytes", F.lit(None).cast("binary"))
     return rebuild_slug(masked).withColumn("sha256", F.sha2(F.col("request_raw").cast("binary"), 256)).select(*items.columns)
 
 
