@@ -10,6 +10,7 @@ from ..functions import http, urls
 from ..functions import text as tx
 from ..operators import filters, ordering
 from ..schema import conform
+from ..session import stored
 
 _TEXT = T.StringType()
 
@@ -30,6 +31,9 @@ XML_ITEM = T.StructType(
 )
 
 
+TAIL = 1 << 16
+
+
 # -- XML ---------------------------------------------------------------------
 def read_xml(spark: SparkSession, path: str | list[str], checked: bool = True) -> DataFrame:
     """Items of one or more XML exports, numbered through in file-name and document order.
@@ -54,15 +58,17 @@ def read_xml(spark: SparkSession, path: str | list[str], checked: bool = True) -
 def number_by_block(rows: DataFrame) -> DataFrame:
     """1..n over (_file, _block, _at) without moving the rows.
 
-    ``_at`` counts up by one inside a block, so a row's place is its distance from the block's first row
-    plus the sizes of all earlier blocks. The broadcast holds one row per file block, fewer than the file
-    listing the driver keeps for the scan itself.
+    ``_at`` counts up by one inside a block, so a row's place is its distance from the block's first row plus the sizes of the
+    earlier blocks of its file and of all earlier files. Block sizes are a table, so counting them before the join costs
+    nothing: few are broadcast, many join by shuffle.
     """
-    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    blocks = stored(rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "blocks")
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before("_n", Window.orderBy("_file")).alias("_start"))
+    within = F.col("_start") + before("_n", Window.partitionBy("_file").orderBy("_block"))
+    offsets = blocks.join(files, "_file").select("_file", "_block", "_first", within.alias("_offset"))
     return (
-        rows.join(F.broadcast(offsets), ["_file", "_block"])
+        rows.join(ordering.broadcast_if_small(offsets), ["_file", "_block"])
         .withColumn("index", F.col("_offset") + F.col("_at") - F.col("_first") + 1)
         .drop("_file", "_block", "_at", "_first", "_offset")
     )
@@ -131,29 +137,33 @@ def normalise(rows: DataFrame) -> DataFrame:
 
 
 def document_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per XML file: root element, start and end tags, entity declarations, export metadata. Line by line."""
+    """Per XML file: root element, start and end tags, entity declarations, export metadata.
+
+    The head is looked for in lines that begin in the first block of a file, the end in the last ``TAIL`` characters of its last
+    line with text; no other line is searched.
+    """
+    meta = F.col("_metadata")
     lines = spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.col("value"), meta["file_path"].alias("file"), (meta["file_block_start"] == 0).alias("head"),
+        F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
     )
-    element = F.regexp_extract("value", r"<([A-Za-z][\w.\-]*)", 1)
-    root_tag = F.regexp_extract("value", r"(<items\b[^>]*>?)", 1)
-    has_root = root_tag != ""
+    opened = F.when(F.col("head"), F.col("value"))
+    element = F.nullif(F.regexp_extract(opened, r"<([A-Za-z][\w.\-]*)", 1), F.lit(""))
+    root_tag = F.nullif(F.regexp_extract(opened, r"(<items\b[^>]*>?)", 1), F.lit(""))
+    where = lambda found: F.when(found, F.col("at"))
     attribute = lambda name: F.regexp_extract("root_tag", rf"\b{name}=[\"']([^\"']*)", 1)
     return (
         lines.groupBy("file")
         .agg(
-            F.min_by(F.when(element != "", element), F.when(element != "", F.col("at"))).alias("root"),
-            F.min_by(F.when(has_root, root_tag), F.when(has_root, F.col("at"))).alias("root_tag"),
-            F.min(F.when(has_root, F.col("at"))).alias("root_at"),
-            F.min(F.when(tx.before(F.col("value"), "<items").contains("<!ENTITY"), F.col("at"))).alias("entity_at"),
-            F.max_by(
-                F.col("value").rlike(r"(?:</items\s*>|<items\b[^>]*/>)\s*(?:<!--.*-->\s*)?$"),
-                F.when(F.col("value").rlike(r"\S"), F.col("at")),
-            ).alias("closed"),
+            F.min_by(element, where(element.isNotNull())).alias("root"),
+            F.min_by(root_tag, where(root_tag.isNotNull())).alias("root_tag"),
+            F.min(where(root_tag.isNotNull())).alias("root_at"),
+            F.min(where(tx.before(opened, "<items").contains("<!ENTITY"))).alias("entity_at"),
+            F.max_by(F.substring("value", -TAIL, TAIL), where(tx.strip(F.col("value")) != "")).alias("end"),
         )
         .select(
-            "file", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("closed", F.lit(False)).alias("closed"),
+            "file", F.coalesce("root", F.lit("")).alias("root"),
+            F.coalesce(F.col("end").rlike(r"(?:</items\s*>|<items\b[^>]*/>)\s*(?:<!--.*-->\s*)?$"), F.lit(False)).alias("closed"),
             F.coalesce(F.col("entity_at") <= F.col("root_at"), F.col("entity_at").isNotNull()).alias("has_entities"),
             attribute(r"\w+Version").alias("tool_version"), attribute("exportTime").alias("export_time"),
         )

@@ -257,6 +257,50 @@ def document_check(spark, sf):
     )
 
 
+# What is done to the export of each host: nothing, cut before its end, another root, an entity, a message that is no base64.
+_DAMAGE = {1: "truncated", 2: "wrong root", 3: "entity", 4: "bad base64"}
+
+
+def write_host_exports(spark, sf) -> dict[str, str]:
+    """An XML document per host of `te`, some of them damaged; their folders by host. Lines are written in order, one task a host."""
+    rows = fx.te_messages(spark, sf)
+    number = F.regexp_extract("host", r"h(\d+)", 1).cast("int")
+    element = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    escaped = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
+    raw = F.base64(F.encode("request_raw", "UTF-8"))
+    message = F.when((number == 4) & (F.col("idx") % 3 == 0), F.concat(F.lit("*"), raw)).otherwise(raw)
+    item = F.concat(
+        F.lit("<item>"), element("url", escaped("url")), element("host", F.col("host")), element("method", F.col("method")), element("path", F.col("path")),
+        F.lit('<request base64="true">'), message, F.lit("</request></item>"),
+    )
+    root = F.when(F.col("n") == 2, F.lit("records")).otherwise(F.lit("items"))
+    entity = F.when(F.col("n") == 3, F.lit('<!DOCTYPE items [<!ENTITY x "y">]>\n')).otherwise(F.lit(""))
+    hosts = rows.select("host", number.alias("n")).distinct()
+    first = hosts.select("host", F.lit(-1).cast("long").alias("at"), F.concat(F.lit('<?xml version="1.0"?>\n'), entity, F.lit("<"), root, F.lit(' toolVersion="9.9">')).alias("value"))
+    last = hosts.where("n <> 1").select("host", F.lit(2**62).alias("at"), F.concat(F.lit("</"), root, F.lit(">")).alias("value"))
+    lines = rows.select("host", F.col("idx").alias("at"), item.alias("value")).unionByName(first).unionByName(last)
+    path = scratch(spark, "host-exports")
+    lines.repartition("host").sortWithinPartitions("host", "at").select("host", "value").write.partitionBy("host").text(path)
+    return {f"h{n}.example.test": f"{path}/host=h{n}.example.test" for n in range(7)}
+
+
+@query("s02_damaged_documents", f"""with {fx.TE} select host, case host {' '.join(f"when 'h{n}.example.test' then '{kind}'" for n, kind in _DAMAGE.items())} else '' end as damage,
+  case when host in ('h0.example.test', 'h5.example.test', 'h6.example.test') then count(*) end as items from te group by host""")
+def damaged_documents(spark, sf):
+    """Every damaged document is refused as a whole; the others give all their items."""
+    folders = write_host_exports(spark, sf)
+
+    def outcome(host: str) -> tuple:
+        damage = _DAMAGE.get(int(host[1]), "")
+        try:
+            return host, damage, exports.read_xml(spark, folders[host]).agg(F.count(F.lit(1)), F.max("sha256")).first()[0]
+        except Exception:
+            return host, damage, None
+
+    present = sorted(r[0] for r in fx.te(spark, sf).select("host").distinct().collect())  # seven hosts at most
+    return spark.createDataFrame([outcome(host) for host in present], "host string, damage string, items long")
+
+
 @query("s03_export_meta", "select '9.9' as tool_version, '2024-02-01' as export_time, count(*) > 0 as has_files from events")
 def export_meta(spark, sf):
     return exports.export_meta(spark, write_xml_export(spark, sf)).select("tool_version", "export_time", (F.col("files") > 0).alias("has_files"))
