@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import dedup, review
+from ..functions import redact
+from ..sinks import items as sink
+from . import dedup, findings, review, surface
+
+# Files of an export that come before its items.
+SUMMARY_FILE, FINDINGS_FILE = "attack-surface-index.json", "security-findings.json"
 
 
 def records(items: DataFrame, body_limit: int | None = None) -> DataFrame:
@@ -50,3 +55,49 @@ def corpus_context(
     kept = review.budget_keys(sized, "corpus", ["slug", "index"], budget, considered, max_items, floor).drop("corpus", "slug")
     shown = records(items.join(F.broadcast(kept.select("index")), "index", "left_semi"), body_limit)
     return shown.join(kept, "index")
+
+
+def _first_findings(found: DataFrame, limit: int) -> DataFrame:
+    """One row: the masked JSON record of the ``limit`` first findings in report order."""
+    order = F.struct(findings.severity_rank(F.col("severity")).alias("s"), "rule_order", "ord", "host", "title", "detail")
+    first = found.withColumn("_order", order).orderBy("_order").limit(limit)
+    masked = first.withColumns({name: redact.message_body(F.col(name)) for name in ("title", "detail")})
+    listed = masked.agg(F.array_sort(F.collect_list(F.struct("_order", F.struct("category", "severity", "title", "detail", "host", "items").alias("f")))).alias("l"))
+    return listed.select(F.to_json(F.struct(F.lit(FINDINGS_FILE).alias("file"), F.transform("l", lambda e: e["f"]).alias("data"))).alias("record"))
+
+
+def export_records(items: DataFrame, body_limit: int | None = None) -> DataFrame:
+    """One masked JSON record per item: metadata, headers and bodies of both messages (cut at ``body_limit`` where that is set)."""
+    shown = lambda c: F.col(c) if body_limit is None else F.substring(c, 1, body_limit)
+    part = lambda side: F.struct(F.col(f"{side}.headers").alias("headers"), shown(f"{side}.body").alias("body")).alias(side)
+    data = F.struct("metadata", part("request"), part("response")).alias("data")
+    masked = sink.nested(dedup.redact_items(items), "index", "slug")
+    return masked.select("index", "slug", F.to_json(F.struct(F.col("slug").alias("file"), data)).alias("record"))
+
+
+def export_context(
+    items: DataFrame, found: DataFrame | None = None, budget: int = 48_000, max_items: int = 50, floor: int = 500, max_findings: int = 50,
+    body_limit: int | None = None,
+) -> DataFrame:
+    """``(position, file, size, record)`` of a whole export: index summary, first findings, then items in path order.
+
+    What does not fit is skipped. Items end at ``max_items`` or once less than ``floor`` is left. All items are masked once to be
+    measured, the kept ones once more to be shown.
+    """
+    totals = F.struct(F.struct(*surface.summary(items).columns).alias("summary")).alias("data")
+    heads = [(SUMMARY_FILE, surface.summary(items).select(F.to_json(F.struct(F.lit(SUMMARY_FILE).alias("file"), totals)).alias("record")))]
+    if found is not None:
+        heads.append((FINDINGS_FILE, _first_findings(found, max_findings)))
+    used, kept = 0, []
+    for name, head in heads:  # two rows at most, each of bounded size
+        record = head.first()["record"]
+        if used + len(record) + 1 <= budget:
+            used += len(record) + 1
+            kept.append((len(kept) + 1, name, len(record) + 1, record))
+    spark = items.sparkSession
+    sized = export_records(items, body_limit).select(F.lit(1).alias("corpus"), "slug", "index", (F.length("record") + 1).alias("size"))
+    keys = review.budget_keys(sized, "corpus", ["slug", "index"], budget, None, max_items, floor, spark.createDataFrame([(1, used)], "corpus int, used long"))
+    keys = keys.select("index", "size", (F.col("position") + len(kept)).alias("position"))
+    shown = export_records(items.join(F.broadcast(keys.select("index")), "index", "left_semi"), body_limit).join(keys, "index")
+    head = spark.createDataFrame(kept, "position int, file string, size long, record string")
+    return head.unionByName(shown.select("position", F.col("slug").alias("file"), "size", "record"))

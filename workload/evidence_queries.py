@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from httploom.functions import names
-from httploom.operators import evidence, mapping
+from httploom.operators import context, evidence, findings, mapping
 
 from . import fixtures as fx
+from .finding_queries import _EP
 from .mapping_queries import _TE_RESPONSE, _header_json
 from .registry import query
 
@@ -149,3 +150,33 @@ def review_evidence(spark, sf):
     return found.join(named, "endpoint_id").select(
         "endpoint", "position", "evidence_id", "kind", "file", "line", "size", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256")
     )
+
+
+_MASKED_REQUEST = f"""method || ' ' || {fx._TARGET} || ' HTTP/1.1' || chr(13) || chr(10) ||
+  replace(regexp_replace(request_headers_text, '(Authorization|Cookie): [^\\n]*', '\\1: [REDACTED]', 'g'), chr(10), chr(13) || chr(10)) || chr(13) || chr(10) || chr(13) || chr(10) || {fx.MASKED_BODY}"""
+
+
+@query("t07_export_context", f"""with recursive {fx.TI},
+  head1 as (select cast(to_json(struct_pack(file := '{context.SUMMARY_FILE}', data := struct_pack(summary := struct_pack(total_items := count(*), unique_hosts := count(distinct host),
+    unique_tools := count(distinct tool), unique_endpoints := count(distinct method || ' ' || host || path), unique_sessions := count(distinct session_tag))))) as varchar) as record from ti),
+  u as (select * from ti where status like '2%' and user_id % 3 = 0 and user_id % 2 <> 0 order by idx limit 50),
+  head2 as (select cast(to_json(struct_pack(file := '{context.FINDINGS_FILE}', data := coalesce(list(struct_pack(category := 'Authentication', severity := 'Medium',
+    title := 'Unauthenticated 2xx: ' || {_EP}, detail := 'Endpoint returned success without any auth headers in request.', host := host, items := [slug]) order by idx), []))) as varchar) as record from u),
+  heads as (select 1 as p, '{context.SUMMARY_FILE}' as file, record from head1 union all select 2, '{context.FINDINGS_FILE}', record from head2),
+  fit as (select *, length(record) + 1 as size, sum(length(record) + 1) over (order by p) as running from heads),
+  r as (select idx, slug, cast(to_json(struct_pack(file := slug, data := struct_pack(metadata := struct_pack("index" := idx, tool := tool, time := strftime(time, '%Y-%m-%d %H:%M:%S'), url := url, host := host,
+     host_ip := '', port := '443', protocol := 'https', method := method, path := path, extension := '', status := status, response_length := '', mime_type := '', comment := '',
+     sha256 := sha256({_MASKED_REQUEST}), session_tag := session_tag),
+    request := struct_pack(headers := cast({_header_json('request_headers_text')} as json), body := {fx.MASKED_BODY}),
+    response := struct_pack(headers := cast({_header_json('response_headers_text')} as json), body := {_TE_RESPONSE})))) as varchar) as record from ti),
+  d as (select *, length(record) + 1 as size, row_number() over (order by slug, idx) as p from r),
+  t as (select cast(0 as bigint) as p, (select cast(sum(size) as bigint) from fit where running <= 48000) as used, 0 as n, false as kept
+   union all select d.p, t.used + case when t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50 then d.size else 0 end,
+    t.n + case when t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50 then 1 else 0 end, t.used + d.size <= 48000 and 48000 - t.used >= 500 and t.n < 50
+   from t join d on d.p = t.p + 1),
+  whole as (select 0 as part, p, file, size, record from fit where running <= 48000 union all select 1, d.p, slug, size, record from d join t using (p) where kept)
+  select cast(row_number() over (order by part, p) as int) as position, file, size, record from whole""")
+def export_context(spark, sf):
+    """Index summary, the first findings and masked items in path order, while they fit."""
+    items = fx.te_items(spark, sf)
+    return context.export_context(items, findings.row_findings(items, findings.unauthenticated_rule()))

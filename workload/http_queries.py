@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from httploom.functions import http, redact, urls
+from httploom.functions import http, names, redact, urls
 from httploom.functions import text as tx
 from httploom.operators import dedup, findings
 
@@ -296,7 +296,13 @@ def redact_items(spark, sf):
     )
 
 
-@query("r06_source", f"""with {fx.TD} select idx, len(string_split(response_body, chr(10))) + 5 as line_count, 0 as leaks from td""")
+_MASKED_SOURCE = "response_body"
+for _pattern, _mask in ((names.SOURCE_SECRET_LITERAL, r'\1"' + names.MASK + '"'), (names.SECRET_TOKEN, names.MASK)):
+    _MASKED_SOURCE = "regexp_replace({}, '{}', '{}', 'g')".format(_MASKED_SOURCE, _pattern.replace("'", "''"), _mask)
+
+
+@query("r06_source", f"""with {fx.TD} select idx, len(string_split(response_body, chr(10))) + 5 as line_count, 0 as leaks,
+  {_MASKED_SOURCE} || chr(10) || 'const api_key = "{names.MASK}";' || chr(10) || '[REDACTED PRIVATE KEY]' || repeat(chr(10), 3) || 'end' as masked from td""")
 def redact_source(spark, sf):
     """Documents with a key block and quoted secrets appended: masked, line count kept."""
     planted = (
@@ -305,5 +311,5 @@ def redact_source(spark, sf):
     rows = fx.td(spark, sf).withColumn("masked", redact.source(F.concat("response_body", F.lit(planted))))
     return rows.select(
         "idx", F.size(F.split("masked", "\n")).cast("long").alias("line_count"),
-        F.col("masked").contains("k-secret").cast("int").alias("leaks"),
+        F.col("masked").contains("k-secret").cast("int").alias("leaks"), "masked",
     )
