@@ -40,18 +40,29 @@ def nested(items: DataFrame, *extra: str) -> DataFrame:
 
 
 # -- layouts -----------------------------------------------------------------
+SESSION_BUCKETS = 64
+
+
+def session_dir(tag: Column) -> Column:
+    return http.safe_dirname(tx.or_else(tag, "session_anon"))
+
+
+def session_bucket(session: Column) -> Column:
+    """Folder of a session: sessions grow with the traffic, folders do not."""
+    return F.lpad(F.pmod(F.xxhash64(session), F.lit(SESSION_BUCKETS)).cast("string"), 2, "0")
+
+
 def layout_columns(layout: str, include_host: bool = False) -> dict[str, Column]:
     """Partition columns of a layout, outermost first."""
     tool = http.safe_dirname(F.col("tool"))
     host = http.safe_dirname(tx.or_else(F.col("host"), "unknown"))
-    session = http.safe_dirname(tx.or_else(F.col("session_tag"), "session_anon"))
     part = lambda fmt: F.coalesce(F.date_format("time", fmt), F.lit("unknown_datetime"))
     layouts = {
         "flat": {"tool_dir": tool},
         "by_host": {"tool_dir": tool, "host_dir": host},
         "host_first": {"host_dir": host, "tool_dir": tool},
         "site_map": {"host_dir": host},
-        "by_session": {"session_dir": session, "tool_dir": tool},
+        "by_session": {"session_bucket": session_bucket(session_dir(F.col("session_tag"))), "tool_dir": tool},
         "by_time": {"date": part("yyyy-MM-dd"), "hour": part("HH"), "minute": part("mm"), **({"host_dir": host} if include_host else {})},
     }
     if layout not in layouts:
@@ -59,16 +70,21 @@ def layout_columns(layout: str, include_host: bool = False) -> dict[str, Column]
     return layouts[layout]
 
 
+def inner_columns(layout: str) -> dict[str, Column]:
+    """Sorted columns below the folders of a layout, where folders of their own would be too many."""
+    inner = {
+        "site_map": {"path_segments": http.path_segments(F.col("path"), F.col("url"))},
+        "by_session": {"session_dir": session_dir(F.col("session_tag"))},
+    }
+    return inner.get(layout, {})
+
+
 def arranged(items: DataFrame, layout: str, include_host: bool = False) -> tuple[DataFrame, list[str]]:
     """Items with their layout columns. ``rebalance`` sizes the output files: rows of one directory meet
     in few tasks, and a directory holding much of the data is split over many."""
-    columns = layout_columns(layout, include_host)
-    tagged = items.withColumns(columns)
-    sort = list(columns)
-    if layout == "site_map":  # one directory per host; the tree below it is a sorted column, not folders
-        tagged = tagged.withColumn("path_segments", http.path_segments(F.col("path"), F.col("url")))
-        sort = [*sort, "path_segments"]
-    return tagged.hint("rebalance", *columns).sortWithinPartitions(*sort, "index"), list(columns)
+    columns, inner = layout_columns(layout, include_host), inner_columns(layout)
+    tagged = items.withColumns({**columns, **inner})
+    return tagged.hint("rebalance", *columns).sortWithinPartitions(*columns, *inner, "index"), list(columns)
 
 
 def write_items(items: DataFrame, path: str, layout: str = "flat", fmt: str = "json", include_host: bool = False) -> None:
@@ -80,10 +96,16 @@ def write_items(items: DataFrame, path: str, layout: str = "flat", fmt: str = "j
         raise ValueError("No items match the selection")
     rows, partition = arranged(items, layout, include_host)
     if fmt == "json":
-        rows = nested(rows, *partition, *(["path_segments"] if layout == "site_map" else []))
+        rows = nested(rows, *partition, *inner_columns(layout))
     rows.write.mode("errorifexists").partitionBy(*partition).format(fmt).save(path)
 
 
+def of_session(rows: DataFrame, session: str) -> DataFrame:
+    """Rows of one session of a ``by_session`` layout that was read with its folders as columns; other folders are not read."""
+    name = session_dir(F.lit(session))
+    return rows.where((F.col("session_bucket") == session_bucket(name)) & (F.col("session_dir") == name))
+
+
 # -- snapshot ----------------------------------------------------------------
 def snapshot(items: DataFrame) -> DataFrame:
     """Flat 24-column form with headers as JSON text."""

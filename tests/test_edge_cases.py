@@ -804,3 +804,20 @@ def test_item_limit_is_off_by_default(spark):
     assert catalogue.QUERIES["w16_first_items"](spark, sf_dir).distinct().count() == events > 1000
     given = items(spark, {"path": "/a"}, {"path": "/b"}, {"path": "/c"})
     assert sorted(r["index"] for r in filters.first_items(given, 2).collect()) == [1, 2]
+
+
+def test_session_layout_has_few_folders(spark, tmp_path):
+    """Folders do not grow with the sessions; a session's items are all found again, in one bucket."""
+    traffic = conform(spark.range(2000).select(
+        F.col("id").alias("index"), F.concat(F.lit("session_"), (F.col("id") % 500).cast("string")).alias("session_tag"), F.lit("proxy").alias("tool")
+    ))
+    path = f"{tmp_path}/out"
+    sink.write_items(traffic, path, "by_session")
+    rows = spark.read.schema("metadata struct<index:long>, session_dir string, session_bucket string, tool_dir string").json(path)
+    assert rows.select("session_bucket", "tool_dir").distinct().count() <= sink.SESSION_BUCKETS
+    counted = {r["session_dir"]: r["count"] for r in rows.groupBy("session_dir").count().collect()}
+    assert counted == {f"session_{n}": 4 for n in range(500)}
+    assert sorted(r[0] for r in sink.of_session(rows, "session_7").select("metadata.index").collect()) == [7, 507, 1007, 1507]
+    with open(next(iter(tmp_path.glob("out/*/*/*.json")))) as lines:
+        names = [json.loads(line)["session_dir"] for line in lines]
+    assert names == sorted(names)
