@@ -1,8 +1,9 @@
-"""Near-duplicates by exact similarity: pairs meet on MinHash bands and are verified on their shingle sets.
+"""Near-duplicates by exact similarity: pairs meet on SimHash blocks or MinHash bands and are verified on their shingle sets.
 
-The similarity of two documents is the Jaccard similarity of their sets of word shingles. A key is made of the smallest
-permuted hashes of a band; a pair of similarity ``s`` misses all bands with probability ``(1 - s ** ROWS) ** BANDS``, which
-is 3.2e-6 at 0.8. Whatever meets is verified, so no pair below the limit is linked.
+The similarity of two documents is the Jaccard similarity of their sets of word shingles. Close SimHash fingerprints are found
+by the operator (``simhash.links``); they miss many pairs near the limit, so pairs meet on MinHash bands too. A key of those is
+made of the smallest permuted hashes of a band; a pair of similarity ``s`` misses all bands with probability
+``(1 - s ** ROWS) ** BANDS``, which is 3.2e-6 at 0.8. Whatever meets is verified, so no pair below the limit is linked.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BANDS = 24
 ROWS = 4
 ALL_PAIRS = 24  # documents of a key that are paired; more are searched together
 _CHUNK = 1 << 12  # shingles that are permuted at a time
+_LOOKUPS = 1 << 18  # shingles that are looked up at a time
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,15 +62,17 @@ def similar(common, left, right, limit: float):
 
 def _mark(batches, text_at: int, shingle: int):
     for batch in base.slices(batches, text=text_at):
-        nodes, keys = [], []
+        nodes, keys, prints = [], [], []
         for text in batch.column(text_at).to_pylist():
             found = shingles(text, shingle)
+            prints.append(simhash.fingerprint(text or "", shingle)[0])
             nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
             keys.append(band_keys(found))
         offsets = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
         values = pa.array(np.concatenate(keys).view(np.int64))
-        columns = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, values)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_node", "_keys"])
+        longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, prints)]
+        columns = [longs[0], pa.ListArray.from_arrays(offsets, values), longs[1]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_node", "_keys", "_print"])
 
 
 def _meet(batches, all_pairs: int) -> Iterator[pa.RecordBatch]:
@@ -114,7 +118,7 @@ def _verify(batches, limit: float, shingle: int) -> Iterator[pa.RecordBatch]:
             known[node] = shingles(text, shingle)
         return known[node]
 
-    for batch in batches:
+    for batch in base.slices(batches, text=2, limit=base.SLICE_BYTES // 2):
         a, b, left, right = (c.to_pylist() for c in batch.columns)
         keep = []
         for m, n, s, t in zip(a, b, left, right):
@@ -127,8 +131,18 @@ def _verify(batches, limit: float, shingle: int) -> Iterator[pa.RecordBatch]:
 def spanning(sets: list[np.ndarray], limit: float) -> list[tuple[int, int]]:
     """Verified links that connect all that chains of similar pairs connect among ``sets``; at most one per member."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat, owner, rest = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.ones(len(sets), bool)
+    flat, owner, rest = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes), np.ones(len(sets), bool)
     links = []
+
+    def shared(mine: np.ndarray) -> np.ndarray:
+        """Members of each set that are in ``mine``; in pieces, so that lookups take no more memory than the sets."""
+        common = np.zeros(len(sets), np.int64)
+        for at in range(0, len(flat) if len(mine) else 0, _LOOKUPS):
+            part = flat[at : at + _LOOKUPS]
+            hits = mine[np.minimum(np.searchsorted(mine, part), len(mine) - 1)] == part
+            common += np.bincount(owner[at : at + _LOOKUPS][hits], minlength=len(sets))
+        return common
+
     for start in range(len(sets)):
         if not rest[start]:
             continue
@@ -138,10 +152,7 @@ def spanning(sets: list[np.ndarray], limit: float) -> list[tuple[int, int]]:
             inside = rest[owner]
             if not inside.all():
                 flat, owner = flat[inside], owner[inside]
-            mine = sets[here]
-            hits = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-            common = np.bincount(owner[hits], minlength=len(sets))
-            reached = np.flatnonzero(rest & similar(common, sizes, sizes[here], limit)).tolist()
+            reached = np.flatnonzero(rest & similar(shared(sets[here]), sizes, sizes[here], limit)).tolist()
             rest[reached] = False
             links.extend((here, r) for r in reached)
             queue.extend(reached)
@@ -156,7 +167,7 @@ def _search(batches, limit: float, shingle: int) -> Iterator[pa.RecordBatch]:
         found = [sorted((nodes[a], nodes[b])) for a, b in spanning(sets, limit)]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
+    for batch in base.slices(batches, text=2):
         for key, node, text in zip(*(c.to_pylist() for c in batch.columns)):
             if nodes and key != open_key:
                 yield finish()
@@ -180,9 +191,12 @@ def links(marked: DataFrame, text_col: str, limit: float = SIMILAR, shingle: int
     keyed = marked.select("_node", "_keys").distinct().select(F.explode("_keys").alias("key"), "_node")
     ordered = keyed.repartition("key").sortWithinPartitions("key", "_node")
     met = stored(ordered.mapInArrow(base.packaged(_meet, all_pairs=all_pairs), "key long, a long, b long"), "met")
-    pairs = met.where("b is not null").select("a", "b").distinct()
+    prints = marked.select(F.col("_node").alias("node"), F.col("_print").alias("fp0")).distinct()
+    close = stored(simhash.links(prints, simhash.plan_blocks(prints.count())).where("a <> b"), "close")
+    pairs = met.where("b is not null").select("a", "b").union(close).distinct()
     many = met.where("b is null").select("key", F.col("a").alias("node"))
-    nodes = met.select(F.explode(F.array("a", "b")).alias("_node")).where("_node is not null").distinct()
+    ends = F.explode(F.array("a", "b")).alias("_node")
+    nodes = met.select(ends).union(close.select(ends)).where("_node is not null").distinct()
     one = marked.join(lines._joinable(nodes, 16), "_node", "left_semi").groupBy(F.col("_node").alias("node")).agg(F.first(text_col).alias("text"))
     texts = stored(one, "texts")
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -209,7 +223,7 @@ def keep_one(
     """
     spark, names = docs.sparkSession, docs.columns
     docs, (id_col, text_col) = base.numbered_columns(docs, id_col, text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_print", T.LongType())])
     run = base.packaged(_mark, text_at=docs.columns.index(text_col), shingle=shingle)
     path = scratch(spark, "marked")
     docs.mapInArrow(run, schema).write.parquet(path)

@@ -85,3 +85,22 @@ def test_ids_do_not_make_copies(spark, keep_one):
     docs = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[2]), (None, texts[0])]
     found = keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in found) == sorted([(0, texts[0]), (0, texts[1]), (8, texts[2]), (7, texts[3]), (7, texts[4])])
+
+
+def test_close_fingerprints_meet_and_are_verified(spark, monkeypatch):
+    """SimHash finds pairs without any band; those below the limit are not joined."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-1] + ["other"])), (3, " ".join(f"v{i}" for i in range(400)))]
+    fps = [int(simhash.fingerprint(t, 5)[0]) for _, t in docs]
+    assert (fps[0] ^ fps[1]).bit_count() <= simhash.DISTANCE < (fps[0] ^ fps[2]).bit_count()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def no_bands(batches, all_pairs):
+        for batch in batches:
+            pass
+        return
+        yield
+
+    monkeypatch.setattr(near, "_meet", no_bands)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [1, 3]
+    assert near.keep_one(frame, similar=0.999).count() == 3
