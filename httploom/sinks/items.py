@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import http
 from ..functions import text as tx
 
-_METADATA = [
+METADATA = [
     "index", "tool", "time_raw", "url", "host", "host_ip", "port", "protocol", "method", "path", "extension", "status",
     "response_length", "mime_type", "comment", "sha256", "session_tag",
 ]
@@ -28,7 +28,7 @@ def nested(items: DataFrame, *extra: str) -> DataFrame:
     """
     return items.select(
         *extra,
-        F.struct(*[F.col(c).alias("time" if c == "time_raw" else c) for c in _METADATA]).alias("metadata"),
+        F.struct(*[F.col(c).alias("time" if c == "time_raw" else c) for c in METADATA]).alias("metadata"),
         F.struct(
             F.col("request_raw").alias("raw"), F.map_from_entries("request_headers").alias("headers"), F.col("request_body").alias("body")
         ).alias("request"),

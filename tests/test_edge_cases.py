@@ -821,3 +821,34 @@ def test_session_layout_has_few_folders(spark, tmp_path):
     with open(next(iter(tmp_path.glob("out/*/*/*.json")))) as lines:
         names = [json.loads(line)["session_dir"] for line in lines]
     assert names == sorted(names)
+
+
+def test_export_masks_what_may_fit(spark, monkeypatch):
+    """Any number of first items gives the same export; items that cannot fit are not masked to find that out."""
+    rng = random.Random(3)
+    rows = [
+        {"path": f"/a/{n}?password=p{n}&q={'x' * rng.randrange(9)}", "request_body": "token=" + "s" * rng.randrange(300), "response_body": "b" * rng.randrange(60),
+         "request_headers": {"Cookie": "c" * rng.randrange(40), "X": "y"}, "comment": None if n % 3 else "c", "request_raw": "GET / HTTP/1.1\r\n\r\n"}
+        for n in range(40)
+    ]
+    given = items(spark, *rows).where("index <> 7")
+    sizes = context.export_records(given).select("index", F.length("record").alias("size")).join(given.select("index", context._least_size().alias("least")), "index").collect()
+    assert all(0 < r["least"] <= r["size"] for r in sizes)
+    seen, plain = [], context.export_records
+    monkeypatch.setattr(context.dedup, "redact_items", lambda df: df)  # the order of work is what follows
+
+    def counted(df, body_limit=None):
+        seen.append(df.count())
+        return plain(df, body_limit)
+
+    monkeypatch.setattr(context, "export_records", counted)
+    for budget, most, floor in ((5000, 50, 100), (60_000, 9, 500)):
+        found = []
+        for first in (3, 1000):
+            monkeypatch.setattr(context, "FIRST_ITEMS", first)
+            found.append(sorted(tuple(r) for r in context.export_context(given, None, budget, most, floor).collect()))
+        assert found[0] == found[1] and len(found[0]) <= most + 1
+    del seen[:]
+    monkeypatch.setattr(context, "FIRST_ITEMS", 4)
+    context._export_keys(given, 2000, 50, 500, 0, None)
+    assert max(seen) < 10
