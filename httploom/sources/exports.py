@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +42,113 @@ def read_xml(spark: SparkSession, path: str | list[str], checked: bool = True) -
 
     Malformed documents fail the read; nothing partial comes back.
     """
+    documents = stored(_documents(spark, path), "documents")
     if checked:
-        check_xml(spark, path)
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", "item")
-        .option("mode", "FAILFAST")
-        .option("ignoreSurroundingSpaces", "false")
-        .schema(XML_ITEM)
-        .load(path)
-        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-        .withColumn("_at", F.monotonically_increasing_id())  # rises within a block
+        _refuse_bad(documents)
+    plain, whole = _by_reader(documents, path)
+    rows = []
+    if plain is not None:
+        value = F.col("value")
+        items = _chunks(spark, plain).where(~F.ltrim(value, F.lit(tx.WHITESPACE)).startswith("</items"))
+        # Only the first item of a file has more than blanks before it.
+        item = F.when(value.contains("<items"), F.regexp_extract(value, _ITEM, 1)).otherwise(value)
+        parsed = F.from_xml(F.concat(item, F.lit(_ITEM_END)), XML_ITEM, _XML_OPTIONS)
+        rows.append(items.select(parsed.alias("_x"), "_file", "_block", "_at").select("_x.*", "_file", "_block", "_at"))
+    if whole is not None:
+        rows.append(
+            spark.read.format("xml")
+            .options(rowTag="item", **_XML_OPTIONS)
+            .schema(XML_ITEM)
+            .load(whole)
+            .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+            .withColumn("_at", F.monotonically_increasing_id())  # rises within a block
+        )
+    return from_xml_rows(number_by_block(reduce(DataFrame.unionByName, rows)))
+
+
+_XML_OPTIONS = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
+_ITEM_END = "</item>"
+# A chunk is what stands before an item's end tag, or after the last one. What may stand before an item of a plain document:
+# blanks; before the first one, declaration, document type and root tag.
+_HEAD = r"\uFEFF?\s*(?:<\?xml[^<>]*\?>)?\s*(?:<!DOCTYPE[^<>\[\]]*(?:\[(?:\s++|<!(?:ELEMENT|ATTLIST)[^<>]*>)*+\])?\s*>)?\s*<items(?:\s(?:[^<>]*[^<>/])?)?>"
+_ITEM = rf"(?s)\A(?:{_HEAD})?\s*(<item(?:\s(?:[^<>]*[^<>/])?)?>.*)\z"
+_OPENED = r"\A<item(?:\s(?:[^<]*[^</])?)?\z"
+_CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
+# What the end tag alone does not cut rightly: items in items or without an end tag of this spelling, comments, open sections.
+_ODD = ("<item", "</item", "<!--", "<![CDATA[", "]]>", "<?")
+
+
+def _chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Texts between the end tags of items with file, block and place: a long file is read by many tasks."""
+    return (
+        spark.read.option("lineSep", _ITEM_END)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        .withColumn("_at", F.monotonically_increasing_id())
     )
-    return from_xml_rows(number_by_block(raw))
+
+
+def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Per XML file its root element and tag, whether it is closed, declares entities, and is plain; one pass over the chunks.
+
+    The first chunk of a plain file holds the root tag, the last one closes it, all others are an item after blanks, so that items are
+    told by their end tags alone. A file with comments, sections that hold an end tag, items without content and the like is not
+    plain; neither is a damaged one. Patterns are tried on few or short texts only.
+    """
+    value = F.col("value")
+    text = F.ltrim(value, F.lit(tx.WHITESPACE))  # stripping both ends would walk through every text
+    rooted, begun = value.contains("<items"), text.startswith("<item") & ~text.startswith("<items")
+    first = F.when((F.col("_block") == 0) & ~text.startswith("</items"), F.when(begun, F.substring(text, 1, 256)).otherwise(value))
+    head = F.when(rooted, value.rlike(rf"\A{_HEAD}")).otherwise(F.lit(False))
+    tail = F.when(text.startswith("</items"), text.rlike(r"\A</items\s*>\s*\z")).otherwise(F.lit(False))
+    item = F.when(rooted, F.regexp_extract(value, _ITEM, 1)).otherwise(text)
+    section = F.col("item").contains("<![CDATA[")
+    inner = F.substring(F.when(section, F.regexp_replace("item", _CDATA, "")).otherwise(F.col("item")), 6, 1 << 30)
+    odd = reduce(lambda a, b: a | b, [inner.contains(sign) for sign in _ODD])
+    opened = tx.before(F.col("item"), ">").rlike(_OPENED) & F.col("item").contains(">")
+    element = lambda c: F.nullif(F.regexp_extract(c, r"<([A-Za-z][\w.\-]*)", 1), F.lit(""))
+    end = F.substring(value, -TAIL, TAIL).rlike(r"(?:</items\s*>|<items\b[^>]*/>)\s*(?:<!--.*-->\s*)?$")
+    kinds = _chunks(spark, path).withColumn("item", item).select(
+        "_file", "_block", "_at", head.alias("head"), tail.alias("tail"), (tail | (opened & ~odd)).alias("known"),
+        element(first).alias("root"), F.when(rooted, F.nullif(F.regexp_extract(first, r"(<items\b[^>]*>?)", 1), F.lit(""))).alias("root_tag"),
+        F.when(F.col("_block") == 0, tx.before(value, "<items").contains("<!ENTITY")).alias("entity"), (text != "").alias("shown"),
+        F.when(rooted | value.contains("</items"), end).otherwise(F.lit(False)).alias("end"),
+    )
+    where = lambda c: F.when(c, F.col("_at"))
+    blocks = kinds.groupBy("_file", "_block").agg(
+        F.min("_at").alias("first"), F.max("_at").alias("last"), F.bool_and("known").alias("known"),
+        F.count_if("head").alias("heads"), F.count_if("tail").alias("tails"),
+        F.min(where(F.col("head"))).alias("head_at"), F.max(where(F.col("tail"))).alias("tail_at"),
+        F.min_by("root", where(F.col("root").isNotNull())).alias("root"), F.min_by("root_tag", where(F.col("root_tag").isNotNull())).alias("root_tag"),
+        F.min(where(F.col("root_tag").isNotNull())).alias("root_at"), F.min(where(F.col("entity"))).alias("entity_at"),
+        F.max_by("end", where(F.col("shown"))).alias("end"), F.max(where(F.col("shown"))).alias("shown_at"),
+    )
+    given = F.when(F.col("shown_at").isNotNull(), F.col("_block"))
+    found = blocks.groupBy("_file").agg(
+        F.bool_and("known").alias("known"), F.sum("heads").alias("heads"), F.sum("tails").alias("tails"),
+        F.min_by(F.col("head_at") == F.col("first"), "_block").alias("starts"), F.max_by(F.col("tail_at") == F.col("last"), "_block").alias("ends"),
+        F.min_by("root", "_block").alias("root"), F.min_by("root_tag", "_block").alias("root_tag"), F.min("root_at").alias("root_at"),
+        F.min("entity_at").alias("entity_at"), F.max_by("end", given).alias("end"),
+    )
+    plain = F.col("known") & (F.col("heads") == 1) & (F.col("tails") == 1) & F.col("starts") & F.col("ends")
+    return found.select(
+        F.col("_file").alias("file"), F.coalesce("root", F.lit("")).alias("root"), "root_tag", F.coalesce("end", F.lit(False)).alias("closed"),
+        F.coalesce(F.col("entity_at") <= F.col("root_at"), F.col("entity_at").isNotNull()).alias("has_entities"),
+        F.coalesce(plain, F.lit(False)).alias("plain"),
+    )
+
+
+def _by_reader(documents: DataFrame, path: str | list[str]) -> tuple[str | list[str] | None, str | list[str] | None]:
+    """What is read in blocks and what file by file: the paths as they are if all files are alike, else their names."""
+    odd, all_files = documents.where("not plain").count(), documents.count()
+    if odd == 0:
+        return (path, None) if all_files else (None, path)
+    if odd == all_files:
+        return None, path
+    # As paths to read: decoded, with the signs of patterns escaped.
+    name = F.regexp_replace(urls.percent_decode(F.col("file"), plus=False), r"([\\{}\[\]*?])", r"\\$1")
+    names = lambda plain: [r[0] for r in documents.where(F.col("plain") == plain).select(name).toLocalIterator()]
+    return names(True), names(False)
 
 
 def number_by_block(rows: DataFrame) -> DataFrame:
@@ -60,17 +156,19 @@ def number_by_block(rows: DataFrame) -> DataFrame:
 
     ``_at`` counts up by one inside a block, so a row's place is its distance from the block's first row plus the sizes of the
     earlier blocks of its file and of all earlier files. Block sizes are a table, so counting them before the join costs
-    nothing: few are broadcast, many join by shuffle.
+    nothing: few are broadcast, many join by shuffle. Files that are cut into other blocks at the second reading fail it.
     """
     blocks = stored(rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")), "blocks")
     before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before("_n", Window.orderBy("_file")).alias("_start"))
     within = F.col("_start") + before("_n", Window.partitionBy("_file").orderBy("_block"))
-    offsets = blocks.join(files, "_file").select("_file", "_block", "_first", within.alias("_offset"))
+    offsets = blocks.join(files, "_file").select("_file", "_block", "_n", "_first", within.alias("_offset"))
+    place = F.col("_at") - F.col("_first")
+    moved = F.raise_error(F.lit("XML files were cut into other blocks between two readings")).cast("long")
     return (
-        rows.join(ordering.broadcast_if_small(offsets), ["_file", "_block"])
-        .withColumn("index", F.col("_offset") + F.col("_at") - F.col("_first") + 1)
-        .drop("_file", "_block", "_at", "_first", "_offset")
+        rows.join(ordering.broadcast_if_small(offsets), ["_file", "_block"], "left")
+        .withColumn("index", F.when((place >= 0) & (place < F.col("_n")), F.col("_offset") + place + 1).otherwise(moved))
+        .drop("_file", "_block", "_at", "_n", "_first", "_offset")
     )
 
 
@@ -139,40 +237,21 @@ def normalise(rows: DataFrame) -> DataFrame:
 def document_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Per XML file: root element, start and end tags, entity declarations, export metadata.
 
-    The head is looked for in lines that begin in the first block of a file, the end in the last ``TAIL`` characters of its last
-    line with text; no other line is searched.
+    The head is looked for in the first block of a file, the end in the last ``TAIL`` characters after its last item.
     """
-    meta = F.col("_metadata")
-    lines = spark.read.text(path).select(
-        F.col("value"), meta["file_path"].alias("file"), (meta["file_block_start"] == 0).alias("head"),
-        F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
-    )
-    opened = F.when(F.col("head"), F.col("value"))
-    element = F.nullif(F.regexp_extract(opened, r"<([A-Za-z][\w.\-]*)", 1), F.lit(""))
-    root_tag = F.nullif(F.regexp_extract(opened, r"(<items\b[^>]*>?)", 1), F.lit(""))
-    where = lambda found: F.when(found, F.col("at"))
     attribute = lambda name: F.regexp_extract("root_tag", rf"\b{name}=[\"']([^\"']*)", 1)
-    return (
-        lines.groupBy("file")
-        .agg(
-            F.min_by(element, where(element.isNotNull())).alias("root"),
-            F.min_by(root_tag, where(root_tag.isNotNull())).alias("root_tag"),
-            F.min(where(root_tag.isNotNull())).alias("root_at"),
-            F.min(where(tx.before(opened, "<items").contains("<!ENTITY"))).alias("entity_at"),
-            F.max_by(F.substring("value", -TAIL, TAIL), where(tx.strip(F.col("value")) != "")).alias("end"),
-        )
-        .select(
-            "file", F.coalesce("root", F.lit("")).alias("root"),
-            F.coalesce(F.col("end").rlike(r"(?:</items\s*>|<items\b[^>]*/>)\s*(?:<!--.*-->\s*)?$"), F.lit(False)).alias("closed"),
-            F.coalesce(F.col("entity_at") <= F.col("root_at"), F.col("entity_at").isNotNull()).alias("has_entities"),
-            attribute(r"\w+Version").alias("tool_version"), attribute("exportTime").alias("export_time"),
-        )
+    return _documents(spark, path).select(
+        "file", "root", "closed", "has_entities", attribute(r"\w+Version").alias("tool_version"), attribute("exportTime").alias("export_time"),
     )
 
 
 def check_xml(spark: SparkSession, path: str | list[str]) -> None:
     """Refuse a wrong root element, a truncated document or entity declarations."""
-    bad = document_summary(spark, path).where((F.col("root") != "items") | ~F.col("closed") | F.col("has_entities"))
+    _refuse_bad(_documents(spark, path))
+
+
+def _refuse_bad(documents: DataFrame) -> None:
+    bad = documents.where((F.col("root") != "items") | ~F.col("closed") | F.col("has_entities"))
     first = bad.select("file", "root", "closed", "has_entities").first()  # one row at most
     if first is not None:
         if first["root"] != "items":

@@ -612,6 +612,52 @@ def test_bad_documents_fail(spark, tmp_path, text):
         exports.read_xml(spark, str(path)).collect()
 
 
+def read_in_small_blocks(spark, path, columns):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        items = exports.read_xml(spark, str(path))
+        scanned = items.rdd.getNumPartitions()
+        return scanned, [tuple(r) for r in items.select(*columns).orderBy("index").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_long_export_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "long.xml"
+    items = "\n".join(f"<item><url>http://a.test/{i}</url><comment>é{i} &amp; <![CDATA[<b>]]></comment></item>" for i in range(1, 301))
+    path.write_text(f'<?xml version="1.0"?>\n<items toolVersion="1">\n{items}\n</items>\n', encoding="utf-8")
+    tasks, rows = read_in_small_blocks(spark, path, ["index", "url", "comment"])
+    assert rows == [(i, f"http://a.test/{i}", f"é{i} & <b>") for i in range(1, 301)]
+    assert tasks > 5
+
+
+def test_documents_not_cut_by_end_tags(spark, tmp_path):
+    """Sections that hold an end tag, comments and other spellings of the end tag: such files are read as a whole, others in blocks."""
+    items = "".join(f"<item><url>u{i}</url></item>\n" for i in range(200))
+    odd = {
+        "a [1] é.xml": "<item><url>x</url><comment><![CDATA[</item><item>]]></comment></item>", "c.xml": "<item><url>x</url><comment></item></comment></item >".replace("</item></comment>", "</comment>"),
+        "d.xml": "<!-- <item><url>no</url></item> --><item><url>x</url></item>",
+    }
+    for name, text in odd.items():
+        (tmp_path / name).write_text(f"<items>{text}<item><url>y</url></item></items>", encoding="utf-8")
+    for name in ("b é.xml", "e.xml"):
+        (tmp_path / name).write_text(f"<items>{items}</items>", encoding="utf-8")
+    judged = {r["file"].rsplit("/", 1)[1][0]: r["plain"] for r in exports._documents(spark, str(tmp_path)).collect()}
+    assert judged == {"a": False, "b": True, "c": False, "d": False, "e": True}
+    _, rows = read_in_small_blocks(spark, tmp_path, ["index", "url", "comment"])
+    plain = [f"u{i}" for i in range(200)]
+    assert [r[1] for r in rows] == ["x", "y", *plain, "x", "y", "x", "y", *plain]
+    assert [r[0] for r in rows] == list(range(1, 407)) and rows[0][2] == "</item><item>"
+
+
+@pytest.mark.parametrize("between", ["<url>", "</items><items>", "stray </b>"])
+def test_damage_between_items_fails(spark, tmp_path, between):
+    path = tmp_path / "bad.xml"
+    path.write_text(f"<items><item><url>a</url></item>{between}<item><url>b</url></item></items>")
+    with pytest.raises(Exception):
+        exports.read_xml(spark, str(path)).collect()
+
+
 def test_unknown_format_fails(spark):
     with pytest.raises(ValueError):
         exports.read_export(spark, "x", "other")
