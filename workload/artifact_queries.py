@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from httploom.functions import http
 from httploom.operators import assets, findings, ordering, variants, vectors
 from httploom.plans import composite
-from httploom.session import scratch
+from httploom.session import scratch, stored
 from httploom.sinks import items as sink
 from httploom.sources import code, exports
 
@@ -237,15 +237,16 @@ def xml_items(spark, sf):
 @query("s01_xml_numbering", "select count(*) as items, count(*) as numbers, 1 as first_number, count(*) as last_number, true as in_document_order from events")
 def xml_numbering(spark, sf):
     """Numbers run from 1 to n and follow the document order of every file."""
-    items = exports.read_xml(spark, write_xml_export(spark, sf), checked=False)
-    spans = items.select("index", F.col("comment").cast("long").alias("c"))
+    path = write_xml_export(spark, sf)
+    items = exports.read_xml(spark, path, checked=False)
+    spans = stored(items.select("index", F.col("comment").cast("long").alias("c")), "spans")  # the files are read once for it
     # Within a file comments rise; files are as many as there are descents plus one.
     pairs = ordering.consecutive_pairs(spans.withColumn("g", F.lit(0)), ["g"], "index", "c")
     descents = pairs.where("dst < src").agg(F.count(F.lit(1)).alias("n")).scalar()
-    width = spark.sparkContext.defaultParallelism
-    return items.agg(
+    files = len(spark.read.text(path).inputFiles())
+    return spans.agg(
         F.count(F.lit(1)).alias("items"), F.count_distinct("index").alias("numbers"), F.min("index").cast("int").alias("first_number"), F.max("index").alias("last_number")
-    ).withColumn("in_document_order", descents < width)
+    ).withColumn("in_document_order", descents < files)
 
 
 @query("s02_document_check", "select true as all_items, true as all_closed, false as any_entities, '9.9' as tool_version, '2024-02-01' as export_time from events limit 1")
