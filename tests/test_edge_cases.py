@@ -16,6 +16,7 @@ from httploom.plans import composite
 from httploom.schema import conform
 from httploom.sinks import items as sink
 from httploom.sources import captures, code, exports
+from workload import fixtures
 
 
 def items(spark, *rows):
@@ -658,6 +659,30 @@ def test_damage_between_items_fails(spark, tmp_path, between):
         exports.read_xml(spark, str(path)).collect()
 
 
+def test_items_are_built_in_bounded_tasks(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert fixtures.spread(rows, task_rows=20).rdd.getNumPartitions() == 50
+    assert fixtures.spread(rows, task_rows=20).agg(F.sum("id")).first()[0] == 499500
+
+
+def test_snapshot_sorts_bounded_parts(spark, tmp_path):
+    """One split with all items becomes several sorted files, so no task sorts them all."""
+    rows = spark.range(0, 20000, 1, 1).select(
+        F.col("id").alias("index"), F.concat(F.lit("h"), F.col("id") % 5).alias("host"), F.sha2(F.col("id").cast("string"), 256).alias("request_raw")
+    )
+    small = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    for key in small:
+        spark.conf.set(key, "100k")
+    try:
+        sink.write_snapshot(conform(rows), str(tmp_path / "s"))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    written = spark.read.parquet(str(tmp_path / "s"))
+    assert len(written.inputFiles()) > 1 and written.select("item_index").distinct().count() == written.count() == 20000
+
+
 def test_unknown_format_fails(spark):
     with pytest.raises(ValueError):
         exports.read_export(spark, "x", "other")
