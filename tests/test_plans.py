@@ -94,3 +94,8 @@ def test_aggregates_combine_before_the_shuffle(spark):
     for df in (dedup.endpoint_changes(items, items), findings.missing_security_headers(items)):
         text = plan(df)
         assert "partial_bit_or" in text or "partial_bool_or" in text or "partial_max" in text
+
+
+def test_building_items_deals_narrow_rows(spark):
+    dealt = [node for node in plan(fx.build_te_items(spark, SF_DIR)).split("\n\n") if "Exchange" in node.split("\n")[0]]
+    assert dealt and all("props" in node and "request_raw" not in node for node in dealt)
