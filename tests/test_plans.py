@@ -99,3 +99,20 @@ def test_aggregates_combine_before_the_shuffle(spark):
 def test_building_items_deals_narrow_rows(spark):
     dealt = [node for node in plan(fx.build_te_items(spark, SF_DIR)).split("\n\n") if "Exchange" in node.split("\n")[0]]
     assert dealt and all("props" in node and "request_raw" not in node for node in dealt)
+
+
+def test_parameter_rows_are_not_sorted_to_be_grouped(spark):
+    rows = parameters.parameters(fx.te_items(spark, SF_DIR))
+    assert "SortAggregate" not in plan(parameters.examples(rows))
+    for node in plan(parameters.index(rows)).split("\n\n"):
+        assert "SortAggregate" not in node.split("\n")[0] or "count(1)" not in node
+
+
+def test_first_spelling_of_a_parameter_is_that_of_the_first_place(spark):
+    columns = "source string, key string, name string, value string, endpoint string, host string, index long, pos int"
+    row = lambda name, index, pos, endpoint: ("query", "id", name, f"{name}{pos}", endpoint, "h", index, pos)
+    big = (1 << 62) + 1
+    rows = spark.createDataFrame([row("id", big, 3, "a"), row("ID", big, 2, "b"), row("Id", big, 2**31 - 1, "a")], columns)
+    found = parameters.index(rows).first()
+    assert (found["name"], found["occurrences"], found["endpoint_count"], found["host_count"]) == ("ID", 3, 2, 1)
+    assert found["example_values"] == ["ID2", "id3", f"Id{2**31 - 1}"]
