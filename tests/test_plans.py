@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from httploom.operators import dedup, filters, findings, mapping, parameters, surface, vectors
+from httploom.operators import dedup, filters, findings, mapping, parameters, surface, variants, vectors
 from workload import catalogue
 from workload import fixtures as fx
 
@@ -116,3 +116,29 @@ def test_first_spelling_of_a_parameter_is_that_of_the_first_place(spark):
     found = parameters.index(rows).first()
     assert (found["name"], found["occurrences"], found["endpoint_count"], found["host_count"]) == ("ID", 3, 2, 1)
     assert found["example_values"] == ["ID2", "id3", f"Id{2**31 - 1}"]
+
+
+def test_manifest_reads_findings_that_are_made_once(spark):
+    items = fx.te_items(spark, SF_DIR)
+    found = findings.row_findings(items, findings.id_rule()).withColumn("finding_id", F.col("ord"))
+    assert "Potential IDOR" not in plan(variants.manifest(found, items))
+
+
+@pytest.mark.parametrize(
+    "url, point, expected",
+    [
+        ("https://a/x/1/y?q=%20z#f", ("path_segment", "path[2]", "1", 2), "https://a/x/V &/y?q=%20z#f"),
+        ("https://a/1", ("path_segment", "path[1]", "1", 1), "https://a/V &"),
+        ("https://a/x", ("path_segment", "path[7]", "1", 7), "https://a/x"),
+        ("https://a/p?a=1&b=2&b=3&c=%2B+#f", ("query_param", "b", "2", 0), "https://a/p?a=1&b=V+%26&b=3&c=%2B+#f"),
+        ("https://a/p?b=2", ("query_param", "b", "2", 0), "https://a/p?b=V+%26"),
+        ("https://a/p?a=1", ("query_param", "n", "", 0), "https://a/p?a=1&n=V+%26"),
+        ("https://a/p", ("query_param", "n", "", 0), "https://a/p?n=V+%26"),
+        ("https://a/p?a=1#f", ("json_body", "id", "1", 0), "https://a/p?a=1#f"),
+    ],
+)
+def test_value_is_put_between_the_pieces_of_a_url(spark, url, point, expected):
+    row = spark.createDataFrame([(url, point)], f"url string, point {variants.POINT}")
+    pieces = variants.url_pieces(F.col("url"), F.col("point"))
+    assert row.select(pieces.alias("p")).select(variants.joined_url(F.col("p"), F.lit("V &"))).first()[0] == expected
+    assert row.select(variants.substituted_url(F.col("url"), F.col("point"), F.lit("V &"))).first()[0] == expected
