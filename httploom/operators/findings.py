@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import http, jsonx, names, urls
 from ..functions import text as tx
 from ..schema import FINDING
+from ..session import stored
 
 COLUMNS = [field.name for field in FINDING.fields]
 # Order of the rules in a report; findings sort by it within a severity.
@@ -408,8 +409,11 @@ def severity_rank(severity: Column) -> Column:
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
-    """Severity first, then rule and first appearance: a range-partitioned global sort."""
-    return findings.orderBy(severity_rank(F.col("severity")), "rule_order", "ord", "host", "title", "detail")
+    """Severity first, then rule and first appearance: a range-partitioned global sort.
+
+    The sort reads its input twice, once for the ranges, so the findings are stored before.
+    """
+    return stored(findings, "findings").orderBy(severity_rank(F.col("severity")), "rule_order", "ord", "host", "title", "detail")
 
 
 def count_by_severity(findings: DataFrame) -> DataFrame:

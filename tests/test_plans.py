@@ -142,3 +142,8 @@ def test_value_is_put_between_the_pieces_of_a_url(spark, url, point, expected):
     pieces = variants.url_pieces(F.col("url"), F.col("point"))
     assert row.select(pieces.alias("p")).select(variants.joined_url(F.col("p"), F.lit("V &"))).first()[0] == expected
     assert row.select(variants.substituted_url(F.col("url"), F.col("point"), F.lit("V &"))).first()[0] == expected
+
+
+def test_sorting_findings_does_not_make_them_twice(spark):
+    text = plan(findings.sort_findings(findings.all_findings(fx.te_items(spark, SF_DIR))))
+    assert "Generate" not in text and text.count("Scan parquet") == 2  # tree line and detail line
