@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, names, redact, urls
 from ..functions import text as tx
-from ..session import scratch
+from ..session import scratch, stored
 from . import ordering
 
 ENDPOINT_KEYS = ["method", "origin", "path"]
@@ -47,15 +47,25 @@ def session_groups(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFra
     firsts = items.where(F.col("session_tag") != "").groupBy(_session()).agg(
         F.min("index").alias("first_index"), F.min("session_tag").alias("session_tag")
     )
+    return _named_groups(firsts, bits).select("session", "session_tag", "session_group")
+
+
+def _named_groups(firsts: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
     numbered = ordering.sequential_index(firsts, "first_index", "number", bits=bits)
-    return numbered.select("session", "session_tag", F.concat(F.lit("session-group-"), "number").alias("session_group"))
+    return numbered.withColumn("session_group", F.concat(F.lit("session-group-"), "number"))
 
 
 def samples(items: DataFrame, limit: int = 3) -> DataFrame:
-    """First item of each (status, session) variant, at most ``limit`` variants per endpoint."""
-    variants = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session").agg(F.min("index").alias("index"))
+    """First item of each (status, session) variant, at most ``limit`` variants per endpoint.
+
+    Items are read once; the names of the sessions come from the variants, which hold each session's first item.
+    """
+    visits = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session").agg(F.min("index").alias("index"))
+    variants = stored(visits, "variants")
     chosen = ordering.smallest_per_group(variants, ENDPOINT_KEYS, [F.col("index")], limit)
-    named = ordering.lookup_join(chosen, session_groups(items).drop("session_tag"), ["session"], ["index"], "left")
+    firsts = variants.where(F.col("session") != "").groupBy("session").agg(F.min("index").alias("first_index"))
+    groups = _named_groups(firsts).select("session", "session_group")
+    named = ordering.lookup_join(chosen, groups, ["session"], ["index"], "left")
     return named.select(
         *ENDPOINT_KEYS, F.col("rank").cast("long").alias("rank"), "status",
         F.coalesce("session_group", F.lit("unknown")).alias("session_group"), "index",

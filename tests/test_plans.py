@@ -147,3 +147,8 @@ def test_value_is_put_between_the_pieces_of_a_url(spark, url, point, expected):
 def test_sorting_findings_does_not_make_them_twice(spark):
     text = plan(findings.sort_findings(findings.all_findings(fx.te_items(spark, SF_DIR))))
     assert "Generate" not in text and text.count("Scan parquet") == 2  # tree line and detail line
+
+
+def test_samples_read_items_once(spark):
+    text = plan(mapping.samples(fx.te_items(spark, SF_DIR)))
+    assert "request_headers" not in text and "session_tag" not in text
