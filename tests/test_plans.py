@@ -152,3 +152,10 @@ def test_sorting_findings_does_not_make_them_twice(spark):
 def test_samples_read_items_once(spark):
     text = plan(mapping.samples(fx.te_items(spark, SF_DIR)))
     assert "request_headers" not in text and "session_tag" not in text
+
+
+def test_only_the_items_of_samples_are_masked(spark):
+    tree = plan(mapping.sample_records(fx.te_items(spark, SF_DIR))).split("\n\n")[0].splitlines()
+    python = [n for n, line in enumerate(tree) if "ArrowEvalPython" in line]
+    joins = [n for n, line in enumerate(tree) if "Join" in line]
+    assert python and joins and max(python) < min(joins)
