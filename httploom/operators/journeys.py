@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import http, names, urls
+from ..session import stored
 from . import ordering
 
 FLOW_KEYS = ["host", "session", "value"]
@@ -86,11 +87,11 @@ def request_values(items: DataFrame) -> DataFrame:
 def id_flow(items: DataFrame, hot_rows: int = ordering.HOT_ROWS) -> DataFrame:
     """Edges from the first response carrying a value to each later request using it.
 
-    The source side is one row per (host, session, value); hot values are salted on the target side.
+    The source side is one row per (host, session, value); hot values are salted on the target side, which is stored because
+    it is counted and joined.
     """
-    joined = ordering.lookup_join(
-        request_values(items), response_values(items), FLOW_KEYS, ["target_item", "pos"], hot_rows=hot_rows
-    )
+    uses = stored(request_values(items), "uses")
+    joined = ordering.lookup_join(uses, response_values(items), FLOW_KEYS, ["target_item", "pos"], hot_rows=hot_rows)
     return joined.where(F.col("source_item") < F.col("target_item")).select(
         "value", "source_item", "source_endpoint", "target_item", "target_endpoint", "target_context"
     )

@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from httploom.operators import dedup, filters, findings, mapping, parameters, surface, variants, vectors
+from httploom.operators import dedup, filters, findings, journeys, mapping, parameters, surface, variants, vectors
 from workload import catalogue
 from workload import fixtures as fx
 
@@ -159,3 +159,8 @@ def test_only_the_items_of_samples_are_masked(spark):
     python = [n for n, line in enumerate(tree) if "ArrowEvalPython" in line]
     joins = [n for n, line in enumerate(tree) if "Join" in line]
     assert python and joins and max(python) < min(joins)
+
+
+def test_id_flow_reads_request_headers_once_for_each_side(spark):
+    text = plan(journeys.id_flow(fx.te_items(spark, SF_DIR), hot_rows=200))
+    assert sum("request_headers" in line for line in text.splitlines() if line.startswith("ReadSchema")) == 1
