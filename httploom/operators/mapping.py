@@ -31,14 +31,17 @@ def _visits(items: DataFrame) -> DataFrame:
 
 
 def endpoints(items: DataFrame, bits: int = ordering.PIECE_BITS) -> DataFrame:
-    """One row per (method, origin, path): id by first appearance, captures, distinct status/session variants."""
+    """One row per (method, origin, path): id by first appearance, captures, distinct status/session variants.
+
+    The endpoints are stored before they are numbered, so that items are read once however often the result is used.
+    """
     per_variant = _visits(items).groupBy(*ENDPOINT_KEYS, "status", "session").agg(
         F.count(F.lit(1)).alias("n"), F.min("index").alias("first_index")
     )
     rolled = per_variant.groupBy(*ENDPOINT_KEYS).agg(
         F.sum("n").alias("captures"), F.count(F.lit(1)).alias("variants"), F.min("first_index").alias("first_index")
     )
-    numbered = ordering.sequential_index(rolled, "first_index", "number", bits=bits)
+    numbered = ordering.sequential_index(stored(rolled, "endpoints"), "first_index", "number", bits=bits)
     return numbered.withColumn("endpoint_id", F.concat(F.lit("E"), "number"))
 
 

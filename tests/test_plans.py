@@ -164,3 +164,7 @@ def test_only_the_items_of_samples_are_masked(spark):
 def test_id_flow_reads_request_headers_once_for_each_side(spark):
     text = plan(journeys.id_flow(fx.te_items(spark, SF_DIR), hot_rows=200))
     assert sum("request_headers" in line for line in text.splitlines() if line.startswith("ReadSchema")) == 1
+
+
+def test_endpoints_are_read_from_a_stored_table(spark):
+    assert "request_headers" not in plan(mapping.endpoints(fx.te_items(spark, SF_DIR)))
