@@ -62,12 +62,12 @@ def tag_sessions(items: DataFrame) -> DataFrame:
 def redact_items(items: DataFrame) -> DataFrame:
     """Mask every text field, drop raw bytes, then recompute the slug and request hash."""
     kinds = {
-        redact.url_rule: ["url", "path"],
-        redact.header_rule: ["request_headers", "response_headers"],
-        redact.message_rule: ["request_body", "response_body", "request_raw", "response_raw"],
-        redact.body_rule: ["comment", "response_status_line"],
+        redact.url: ["url", "path"],
+        redact.headers: ["request_headers", "response_headers"],
+        redact.message: ["request_body", "response_body", "request_raw", "response_raw"],
+        redact.message_body: ["comment", "response_status_line"],
     }
-    masked = redact.columns(items, {name: rule(F.col(name)) for rule, found in kinds.items() for name in found})
+    masked = items.withColumns({name: mask(F.col(name)) for mask, found in kinds.items() for name in found})
     masked = masked.withColumn("response_bytes", F.lit(None).cast("binary"))
     return rebuild_slug(masked).withColumn("sha256", F.sha2(F.col("request_raw").cast("binary"), 256)).select(*items.columns)
 

@@ -215,6 +215,31 @@ def test_redact_raw_message(spark):
     )
 
 
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("GET /a?q=%ED%A0%80%ED%a0%zz&n=%C3%A9&e HTTP/1.1\n\nx", "GET /a?q=%EF%BF%BD%EF%BF%BD%25zz&n=%C3%A9&e= HTTP/1.1\r\n\r\nx"),
+        ("HTTP/1.1 200 OK\rx\ncookie\r\nA:b\r\n\r\n", "HTTP/1.1 200 OK\r\ncookie [REDACTED]\r\nA:b\r\n\r\n"),
+        ("HTTP/1.1 200 OK\r\nA: [1,2]\r\n\r\n{\"n\":1.50}", "HTTP/1.1 200 OK\r\nA:[1, 2]\r\n\r\n{\"n\": 1.5}"),
+        ("e\u0301sk-a1a1a1a1a1a1a1a1 sk-a1a1a1a1a1a1a1a1", "e\u0301sk-a1a1a1a1a1a1a1a1 [REDACTED]"),
+        ("pa\u017f\u017fword=1 Bearer\xa0x", "pa\u017f\u017fword=1 Bearer\xa0x"),
+    ],
+)
+def test_redact_odd_messages(spark, text, masked):
+    assert one(spark, redact.message(F.lit(text))) == masked
+
+
+def test_redact_takes_missing_values_and_bytes_that_are_no_text(spark):
+    row = spark.sql(
+        "select cast(x'ff70617373776f72643d61' as string) b, cast(null as string) n, "
+        "array(named_struct('name', 'Cookie', 'value', cast(null as string)), named_struct('name', cast(null as string), 'value', 'token=a'), null) h, "
+        "cast(null as array<struct<name: string, value: string>>) nh"
+    )
+    got = row.select(redact.message_body(F.col("b")), redact.url(F.col("n")), redact.headers(F.col("h")), redact.headers(F.col("nh"))).first()
+    assert got[0] == "\ufffdpassword=[REDACTED]" and got[1] is None and got[3] is None
+    assert [tuple(p) for p in got[2]] == [("Cookie", "[REDACTED]"), (None, "token=[REDACTED]"), (None, None)]
+
+
 def test_redacted_items_hold_no_secret(spark):
     raw = "POST /login?session=s3cr3t HTTP/1.1\r\nAuthorization: Bearer s3cr3t\r\n\r\n" + '{"user": {"password": "s3cr3t"}, "pin_token": 5550123}'
     row = items(
