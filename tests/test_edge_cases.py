@@ -4,7 +4,9 @@ import base64
 import json
 
 import random
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,6 +264,25 @@ def test_source_redaction_keeps_lines(spark):
     assert masked.count("\n") == text.count("\n") and "two" not in masked and "token = request.header" in masked
 
 
+def test_source_redaction_of_long_words_is_linear():
+    started = time.perf_counter()
+    assert redact._mask_source("a" * 60_000 + "\nx-token = 'b'") == "a" * 60_000 + "\nx-token = \"[REDACTED]\""
+    assert time.perf_counter() - started < 5
+
+
+def test_source_redaction_holds_one_slice_of_a_batch(spark, monkeypatch):
+    texts = pa.array([f"{n} password = '{'s' * 1000}'" if n % 7 else None for n in range(1, 3001)])
+    sizes = []
+    monkeypatch.setattr(redact, "_SLICE_BYTES", 100_000)
+    got = []
+    for part in redact._mask_sources.func(iter([texts, texts.slice(0, 0)])):
+        sizes.append(len(part))
+        got += part.to_pylist()
+    assert max(sizes) < 200 and got == [f'{n} password = "[REDACTED]"' if n % 7 else None for n in range(1, 3001)]
+    rows = spark.range(5000).select(F.concat(F.col("id").cast("string"), F.lit(" token: "), F.lit("'x'")).alias("t"), "id")
+    assert rows.where(redact.source(F.col("t")) != F.concat(F.col("id").cast("string"), F.lit(' token: "[REDACTED]"'))).count() == 0
+
+
 # -- findings ----------------------------------------------------------------
 def test_cookie_flags_per_cookie_and_host(spark):
     cookies = "good=1; HttpOnly; Secure; SameSite=Lax\nweak=1; HttpOnly; SameSite=Lax"
