@@ -168,6 +168,12 @@ def test_fields_are_masked_without_lambdas_over_rows(spark):
     assert tree.count("ArrowEvalPython") == 1 and "lambda" not in text
 
 
+def test_vector_documents_mask_what_they_show(spark):
+    text = plan(vectors.documents(fx.te_items(spark, SF_DIR)))
+    read = next(line for line in text.splitlines() if line.startswith("ReadSchema"))
+    assert "request_body" in read and "request_raw" not in read and "response_headers" not in read
+
+
 def test_id_flow_reads_request_headers_once_for_each_side(spark):
     text = plan(journeys.id_flow(fx.te_items(spark, SF_DIR), hot_rows=200))
     assert sum("request_headers" in line for line in text.splitlines() if line.startswith("ReadSchema")) == 1
